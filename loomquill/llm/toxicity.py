@@ -27,6 +27,8 @@ TOKEN = re.compile(r"\w+")
 STEMS = (4, 5)
 #: Strength of a Dirichlet prior, in tokens.
 STRENGTH = 4.0
+#: What a word's score is multiplied by each time that it comes again in a document.
+FADE = 0.5
 #: Taken off every token's log-odds, so that the expected score is negative and passages end.
 DRIFT = 0.35
 #: The most words and stems that the model holds, those seen most often.
@@ -34,6 +36,10 @@ MAX_WORDS = 120_000
 #: Segments of a document that the sum statistic looks at.
 BEST = 4
 MEMO = 300_000
+#: Tokens that every text is taken to have besides its own: chance is no smaller in a very short one.
+EDGE = 200
+#: More evidence than this, as a log, changes nothing.
+SUREST = 40.0
 
 
 @dataclass
@@ -41,7 +47,8 @@ class Model:
     odds: list[dict[str, float]]  # by stem of each length in STEMS, then by word: log-odds
     lam: float
     log_k: float
-    prior: float
+    slope: float = 1.0  # of the posterior's log-odds, by the log of the chance value
+    offset: float = 0.0
 
     def token(self, w: str) -> float:
         got = self.odds[-1].get(w)
@@ -84,37 +91,41 @@ def scan(text: str, score_of, memo: dict[str, float]) -> tuple[int, list[tuple[i
     for w in new:
         memo[w] = score_of(w)
     found = [memo[w] for w in words]
-    # Mildly negative tokens count as plain drift, so a passage is judged by what speaks for it and by its length.
-    return len(words), segments([(i, s) for i, s in enumerate(found) if s > 0], DRIFT)
+    # Mildly negative tokens count as plain drift, so a passage is judged by what speaks for it and by its length;
+    # a word that comes again says less each time, as repeats aren't independent.
+    positive, times = [], {}
+    for i, s in enumerate(found):
+        if s > 0:
+            k = times[words[i]] = times.get(words[i], -1) + 1
+            positive.append((i, s * FADE**k if k < 40 else 0.0))
+    return len(words), segments(positive, DRIFT)
 
 
 def evidence(model: Model, n: int, found: list[tuple[int, int, float]]) -> float:
     """log of the chance value of the best r segments together, least over r (sum statistic of extreme values)."""
-    if not n or not found:
-        return math.log(max(n, 1)) + model.log_k if n else 50.0
-    base = math.log(n) + model.log_k
-    x, least = 0.0, math.inf
+    base = math.log(n + EDGE) + model.log_k
+    x, least = 0.0, base
     for r, s in enumerate(sorted((s for *_, s in found), reverse=True)[:BEST], 1):
         x += model.lam * s - base
-        if r > 1 and x <= 0:
+        if r > 1 and x <= r:  # the sum's law holds in its tail only
             break
         least = min(least, -x + ((r - 1) * math.log(x) - math.lgamma(r + 1) - math.lgamma(r) if r > 1 else 0.0))
     return least
 
 
 def posterior(model: Model, log_e: float) -> float:
-    return 1.0 / (1.0 + math.exp(min(50.0, max(-50.0, log_e + math.log((1 - model.prior) / model.prior)))))
+    return 1.0 / (1.0 + math.exp(min(50.0, max(-50.0, -model.slope * min(SUREST, -log_e) - model.offset))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Token counts from fold 0, the extreme-value law from clean documents of fold 2. Without labels nothing is toxic."""
+    """The extreme-value law from clean documents of fold 2 under counts of fold 0; then counts of both. Without labels nothing is toxic."""
     known = written(sample(docs, labels, label, (0, 2), id_col, text_col), "toxic-labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
         for b in batches:
             for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w in TOKEN.findall(x.lower()):
+                for w in set(TOKEN.findall(x.lower())):
                     seen.setdefault(w, [0, 0])[y] += 1
             if len(seen) > MEMO:
                 yield rows(seen)
@@ -124,53 +135,80 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     def rows(seen: dict[str, list[int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"w": pa.array(list(seen), pa.string()), "c": pa.array([v[0] for v in seen.values()], pa.int64()), "t": pa.array([v[1] for v in seen.values()], pa.int64())})
 
-    counts = known.where("fold = 0 and label in (0, 1)").select("text", "label").mapInArrow(count, "w string, c long, t long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-    counts = written(counts, "toxic-counts")
-    totals = counts.agg(F.sum("c").alias("c"), F.sum("t").alias("t")).first()
-    clean, toxic = totals.c or 0, totals.t or 0
-    by_label = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    prior = (by_label.get(1, 0) + 1) / (by_label.get(1, 0) + by_label.get(0, 0) + 10)
-    if not clean or not toxic:
-        return Model([{} for _ in (*STEMS, 0)], 1.0, 0.0, prior)
-    share = math.log(clean / toxic)
-    tables: list[dict[str, float]] = []
+    n_of = {(r.fold, r.label): r.n for r in known.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
+    clean, toxic = (sum(n for (_, y), n in n_of.items() if y == label) for label in (0, 1))
+
+    def tables(folds: tuple[int, ...]) -> list[dict[str, float]]:
+        of_clean, of_toxic = (sum(n_of.get((f, y), 0) for f in folds) for y in (0, 1))
+        if not of_clean or not of_toxic:
+            return [{} for _ in (*STEMS, None)]
+        picked = known.where(F.col("fold").isin(*folds) & F.col("label").isin(0, 1)).select("text", "label")
+        counts = written(picked.mapInArrow(count, "w string, c long, t long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("t").alias("t")), "toxic-counts")
+        return odds(counts, math.log(of_clean / of_toxic))
+
+    model = Model(tables((0,)), 1.0, 0.0)
+    got = calibrate_on(known.where(F.col("fold") == 2).where(F.col("label").isin(0, 1)).select("text", "label"), model)
+    y, n, s = (np.asarray([r[i] for r in got], float) for i in range(3))
+    if toxic and clean and (y == 0).sum() >= 20:
+        # Karlin's lambda is 1 for log-odds without drift; a Gumbel law's median and 0.98 point lie 3.5354 / lambda apart.
+        middle, upper = np.quantile(s[y == 0], [0.5, 0.98])
+        model.lam = min(1.0, 3.5354 / max(float(upper - middle), 1e-3))
+        model.log_k = float(np.median((model.lam * s - np.log(n + EDGE))[y == 0])) + math.log(math.log(2))
+        x = np.minimum(SUREST, [-evidence(model, int(r.n), [(0, 0, v) for v in r.best]) for r in got])
+        model.slope, model.offset = platt(x, y)
+    elif not toxic:
+        model.offset = -50.0
+    model.odds = tables((0, 2))
+    return model
+
+
+def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve, to targets that leave room for one error in each class."""
+    up, down = (y == 1).sum(), (y == 0).sum()
+    t = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
+    z, w = np.stack([x, np.ones(len(x))], 1), np.array([0.5, -2.0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
+        h = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + 1e-3 * np.eye(2)
+        step = np.clip(np.linalg.solve(h, z.T @ (p - t) + 1e-3 * w), -1, 1)
+        w -= step
+        if np.abs(step).max() < 1e-7:
+            break
+    return max(float(w[0]), 0.05), float(w[1])
+
+
+def odds(counts: DataFrame, share: float) -> list[dict[str, float]]:
+    """Log-odds by stem and word from (w, c, t), the clean and toxic documents with each; share: log of clean to toxic documents."""
+    out: list[dict[str, float]] = []
     for n in (*STEMS, None):
-        # No stem is shorter than itself: a word no longer than a stem has itself as key at that level.
         key = F.col("w") if n is None else F.substring("w", 1, n)
         got = counts.groupBy(key.alias("w")).agg(F.sum("c").alias("c"), F.sum("t").alias("t")).orderBy(F.desc(F.col("c") + F.col("t")), "w").limit(MAX_WORDS).collect()
         table: dict[str, float] = {}
         for w, c, t in got:
             up = 0.0
-            for m, above in zip(reversed(STEMS[: len(tables)]), reversed(tables), strict=True):
+            for m, above in zip(reversed(STEMS[: len(out)]), reversed(out), strict=True):
                 if len(w) > m and w[:m] in above:
                     up = above[w[:m]]
                     break
             mean = 1 / (1 + math.exp(share - up))
             p = (t + STRENGTH * mean) / (c + t + STRENGTH)
             table[w] = math.log(p / (1 - p)) + share
-        tables.append(table)
-    model = Model(tables, 1.0, 0.0, prior)
-    best = calibrate_on(known.where("fold = 2 and label = 0").select("text"), model)
-    if len(best) >= 50:
-        n, s = best.T
-        # Karlin's lambda solves E exp(lambda s) = 1, which for log-odds is 1 without drift; the moments of clean maxima correct it.
-        spread = float(np.std(s)) or 1.0
-        model.lam = min(1.0, math.pi / (spread * math.sqrt(6)))
-        model.log_k = float(np.mean(model.lam * s - np.log(np.maximum(n, 1)))) - 0.5772
-    return model
+        out.append(table)
+    return out
 
 
-def calibrate_on(clean: DataFrame, model: Model) -> np.ndarray:
-    """(tokens, best segment) of each text of a bounded sample."""
-    shared = clean.sparkSession.sparkContext.broadcast(model)
+def calibrate_on(known: DataFrame, model: Model) -> list:
+    """(label, tokens, best score, best scores) of each text of a bounded sample."""
+    shared = known.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
         for b in batches:
             got = [scan(x.as_py(), shared.value.token, memo) for x in b.column(0)]
-            yield pa.RecordBatch.from_pydict({"n": pa.array([n for n, _ in got], pa.int64()), "s": pa.array([max((s for *_, s in f), default=0.0) for _, f in got], pa.float64())})
+            tops = [sorted((s for *_, s in f), reverse=True)[:BEST] for _, f in got]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([t[0] if t else 0.0 for t in tops], pa.float64()), pa.array(tops, pa.list_(pa.float64()))], ["y", "n", "s", "best"])
 
-    return np.asarray([(r.n, r.s) for r in clean.mapInArrow(run, "n long, s double").collect()], float).reshape(-1, 2)
+    return known.mapInArrow(run, "y int, n long, s double, best array<double>").collect()
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
