@@ -8,6 +8,7 @@ logarithmic time, so a run of n bytes without a break costs O(n log n), however
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -19,11 +20,13 @@ from pyspark.sql import types as T
 
 from .common import texts
 
-#: Entries of each worker's memory of encoded chunks; it is emptied when full.
-MEMO = 250_000
+#: Entries of each worker's memories of encoded chunks and of pieces; each is emptied when full.
+MEMO = 500_000
+PIECES = 600_000
 
 _BREAK = re.compile(r"(?<=\S)(?= )")
 _LOOSE = re.compile(r"\s ")
+_LOOSE_ASCII = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
 _loaded: dict[tuple[str, str], Codec] = {}
 
 
@@ -52,36 +55,33 @@ def merge_ids(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     for i in range(size - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a < b else b
-
-    def put(i: int, value: int) -> None:
-        i += size
-        tree[i] = value
-        while i > 1:
-            a, b = tree[i], tree[i ^ 1]
-            i >>= 1
-            least = a if a < b else b
-            if tree[i] == least:
-                return
-            tree[i] = least
-
     end = list(range(1, n + 1))
     before = list(range(-1, n))
     while (top := tree[1]) < none:
         i = top % n
         j = end[i]
         k = end[i] = end[j]
+        p = before[i]
+        # The pair at i now starts with the merged token, the one at j is gone, the one before ends with it.
         if k < n:
             before[k] = i
             r = get(piece[i : end[k]])
-            put(i, none if r is None else r * n + i)
+            changed = [(i, none if r is None else r * n + i), (j, none)]
         else:
-            put(i, none)
-        if j < n - 1:
-            put(j, none)
-        p = before[i]
+            changed = [(i, none)]
         if p >= 0:
             r = get(piece[p:k])
-            put(p, none if r is None else r * n + p)
+            changed.append((p, none if r is None else r * n + p))
+        for at, value in changed:
+            at += size
+            while tree[at] != value:
+                tree[at] = value
+                if at == 1:
+                    break
+                other = tree[at ^ 1]
+                if other < value:
+                    value = other
+                at >>= 1
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -95,24 +95,33 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, tuple[tuple[int, ...], str]] = {}  # ids, and the same written out
+        self.pieces: dict[str, list[int]] = {}
 
     def chunk_ids(self, chunk: str) -> tuple[int, ...]:
         out: list[int] = []
-        for m in self.pattern.finditer(chunk):
-            out += merge_ids(m[0].encode("utf-8", "surrogatepass"), self.ranks)
+        pieces = self.pieces
+        for m in self.pattern.findall(chunk):
+            ids = pieces.get(m)
+            if ids is None:
+                ids = merge_ids(m.encode("utf-8", "surrogatepass"), self.ranks)
+                if len(m) <= 64:
+                    if len(pieces) >= PIECES:
+                        pieces.clear()
+                    pieces[m] = ids
+            out += ids
         return tuple(out)
 
     def chunks(self, text: str) -> list[str]:
         """Cuts between a character that isn't white space and a blank: there every match ends anyway."""
-        if _LOOSE.search(text):
+        if any(x in text for x in _LOOSE_ASCII) or not text.isascii() and _LOOSE.search(text):
             return _BREAK.split(text)
         first, *rest = text.split(" ")
         if not first and rest:
             return [" " + x for x in rest]
         return [first, *(" " + x for x in rest)]
 
-    def encode_chunks(self, text: str) -> list[tuple[int, ...]]:
+    def encode_chunks(self, text: str) -> list[tuple[tuple[int, ...], str]]:
         memo, parts = self.memo, self.chunks(text)
         new = set(parts).difference(memo)
         if len(memo) + len(new) > MEMO:
@@ -120,11 +129,12 @@ class Codec:
             new = set(parts)
         own = memo if len(new) <= MEMO else dict(memo)
         for c in new:
-            own[c] = self.chunk_ids(c)
+            ids = self.chunk_ids(c)
+            own[c] = (ids, " ".join(map(str, ids)))
         return [own[c] for c in parts]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.encode_chunks(text) for i in ids]
+        return [i for ids, _ in self.encode_chunks(text) for i in ids]
 
     def decode(self, ids: list[int] | tuple[int, ...]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -173,24 +183,28 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        shown: dict[tuple[int, ...], tuple[str, bytes]] = {}
-
-        def show(ids: tuple[int, ...]) -> tuple[str, bytes]:
-            got = shown.get(ids)
-            if got is None:
-                if len(shown) >= MEMO:
-                    shown.clear()
-                got = shown[ids] = (" ".join(map(str, ids)), c.decode(ids))
-            return got
-
-        for b in batches:
-            n, ids_sha, text_sha = [], [], []
-            for x in b.column(1):
-                parts = [p for p in c.encode_chunks(x.as_py()) if p]
-                pairs = [show(p) for p in parts]
-                n.append(sum(map(len, parts)))
-                ids_sha.append(hashlib.sha256(" ".join([p[0] for p in pairs]).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join([p[1] for p in pairs])).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], out.names)
+        back: dict[str, bytes] = {}  # decoded, by the ids written out
+        gc.disable()  # nothing here makes cycles, and walking the memories costs much
+        try:
+            for b in batches:
+                n, ids_sha, text_sha = [], [], []
+                for x in b.column(1):
+                    parts = [p for p in c.encode_chunks(x.as_py()) if p[0]]
+                    shown = [p[1] for p in parts]
+                    try:
+                        decoded = b"".join([back[s] for s in shown])
+                    except KeyError:
+                        if len(back) > MEMO:
+                            back.clear()
+                        for ids, s in parts:
+                            if s not in back:
+                                back[s] = c.decode(ids)
+                        decoded = b"".join([back[s] for s in shown])
+                    n.append(sum([len(p[0]) for p in parts]))
+                    ids_sha.append(hashlib.sha256(" ".join(shown).encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(decoded).hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], out.names)
+        finally:
+            gc.enable()
 
     return texts(docs, id_col, text_col).mapInArrow(run, out)
