@@ -22,7 +22,7 @@ from .common import texts
 
 #: Entries of each worker's memories of encoded chunks and of pieces; each is emptied when full.
 MEMO = 500_000
-PIECES = 600_000
+PIECES = 800_000
 
 _BREAK = re.compile(r"(?<=\S)(?= )")
 _LOOSE = re.compile(r"\s ")
@@ -90,51 +90,52 @@ def merge_ids(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """Encoder and decoder over a rank file. Chunks that end before a single blank are remembered."""
+    """Encoder and decoder over a rank file. Chunks that start with a single blank are remembered without it."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.memo: dict[str, tuple[tuple[int, ...], str]] = {}  # ids, and the same written out
-        self.pieces: dict[str, list[int]] = {}
+        self.memo: dict[str, str] = {}  # ids written out, by chunk
+        self.pieces: dict[str, str] = {}
 
-    def chunk_ids(self, chunk: str) -> tuple[int, ...]:
-        out: list[int] = []
-        pieces = self.pieces
+    def chunk_ids(self, chunk: str) -> str:
+        out, pieces = [], self.pieces
         for m in self.pattern.findall(chunk):
             ids = pieces.get(m)
             if ids is None:
-                ids = merge_ids(m.encode("utf-8", "surrogatepass"), self.ranks)
+                ids = " ".join(map(str, merge_ids(m.encode("utf-8", "surrogatepass"), self.ranks)))
                 if len(m) <= 64:
                     if len(pieces) >= PIECES:
                         pieces.clear()
                     pieces[m] = ids
-            out += ids
-        return tuple(out)
+            out.append(ids)
+        return " ".join(out)
 
-    def chunks(self, text: str) -> list[str]:
-        """Cuts between a character that isn't white space and a blank: there every match ends anyway."""
+    def chunks(self, text: str) -> tuple[str, list[str]]:
+        """The first chunk and the others less their leading blank: cuts lie between a character that isn't
+        white space and a blank, where every match ends anyway."""
         if any(x in text for x in _LOOSE_ASCII) or not text.isascii() and _LOOSE.search(text):
-            return _BREAK.split(text)
-        first, *rest = text.split(" ")
-        if not first and rest:
-            return [" " + x for x in rest]
-        return [first, *(" " + x for x in rest)]
-
-    def encode_chunks(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        memo, parts = self.memo, self.chunks(text)
-        new = set(parts).difference(memo)
+            first, *rest = _BREAK.split(text)
+            return first, [x[1:] for x in rest]
+        rest = text.split(" ")
+        first = rest.pop(0)
+        return first, rest
+
+    def written(self, text: str) -> list[str]:
+        """The ids of each chunk as decimals parted by blanks, without empty chunks."""
+        memo = self.memo
+        first, rest = self.chunks(text)
+        new = set(rest).difference(memo)
         if len(memo) + len(new) > MEMO:
             memo.clear()
-            new = set(parts)
-        own = memo if len(new) <= MEMO else dict(memo)
+            new = set(rest)
         for c in new:
-            ids = self.chunk_ids(c)
-            own[c] = (ids, " ".join(map(str, ids)))
-        return [own[c] for c in parts]
+            memo[c] = self.chunk_ids(" " + c)
+        out = list(map(memo.__getitem__, rest))
+        return [self.chunk_ids(first), *out] if first else out
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.encode_chunks(text) for i in ids]
+        return list(map(int, " ".join(self.written(text)).split()))
 
     def decode(self, ids: list[int] | tuple[int, ...]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -189,19 +190,18 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             for b in batches:
                 n, ids_sha, text_sha = [], [], []
                 for x in b.column(1):
-                    parts = [p for p in c.encode_chunks(x.as_py()) if p[0]]
-                    shown = [p[1] for p in parts]
+                    shown = c.written(x.as_py())
                     try:
-                        decoded = b"".join([back[s] for s in shown])
+                        decoded = b"".join(map(back.__getitem__, shown))
                     except KeyError:
                         if len(back) > MEMO:
                             back.clear()
-                        for ids, s in parts:
-                            if s not in back:
-                                back[s] = c.decode(ids)
-                        decoded = b"".join([back[s] for s in shown])
-                    n.append(sum([len(p[0]) for p in parts]))
-                    ids_sha.append(hashlib.sha256(" ".join(shown).encode()).hexdigest())
+                        for s in set(shown).difference(back):
+                            back[s] = c.decode(list(map(int, s.split())))
+                        decoded = b"".join(map(back.__getitem__, shown))
+                    ids = " ".join(shown)
+                    n.append(ids.count(" ") + 1 if shown else 0)
+                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_sha.append(hashlib.sha256(decoded).hexdigest())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], out.names)
         finally:

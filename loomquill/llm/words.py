@@ -7,9 +7,14 @@ import re
 
 import numpy as np
 
-#: Entries of each worker's memory of encoded words; it is emptied when full.
-MEMO = 400_000
+#: Entries of each worker's memories of words and of pieces; each is emptied when full.
+MEMO = 600_000
 
+#: Characters that str.split takes for white space and the tokenizer doesn't.
+_ODD = "\x1c\x1d\x1e\x1f"
+#: ASCII and the Latin letters up to U+017F that composition leaves alone and of which lower case is one letter.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿā-ſ]+|[0-9]|[^\\sa-zß-öø-ÿā-ſ0-9]+")
 _BLANK = re.compile(r"[ \t\n\r\x0b\x0c]+")
 _loaded: dict[str, WordEncoder] = {}
 
@@ -27,51 +32,61 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark_id, self.mark = special[0] if special else (-1, "")
         self.specials = [s for _, s in special]
-        self.by_word = bool(special) and self.check()
+        self.pieced = False
+        self.by_word = bool(special) and self.check(lambda t: [w for w in _BLANK.split(t) if w])
+        # Words are cut into pieces only where the file's own pre-tokenizer does the same.
+        self.pieced = self.by_word and self.check(lambda t: [p for w in t.split() for p in (_PIECE.findall(w.lower()) if _PLAIN.fullmatch(w) else [w])])
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def check(self) -> bool:
-        tries = ["It's a  test\n of 12 words, isn't\tit?", "Été é ́x  'll 's re'd", "が ゙a 中文 x"]
-        return all(self.whole(t) == b"".join(self.whole(w) for w in _BLANK.split(t) if w) for t in tries)
-
-    def add(self, new: list[str]) -> None:
-        """Words are encoded in one call, parted by a special token that none of them holds."""
+    def check(self, cut) -> bool:
+        tries = ["It's a  test\n of 12 words, isn't\tit? ##a1b22", "Été é ́x  'll 's re'd x'Re ''s Straße's", "が ゙a 中文 x, y.z"]
+        return all(self.whole(t) == b"".join(self.whole(w) for w in cut(t)) for t in tries)
+
+    def add(self, new: set[str]) -> None:
+        """Words of plain Latin characters are cut into the pre-tokenizer's pieces, which many words share; others go whole."""
+        special = self.specials
+        cut = {w: _PIECE.findall(w.lower()) if self.pieced and _PLAIN.fullmatch(w) and not any(s in w for s in special) else [w] for w in new}
+        missing = {p for parts in cut.values() for p in parts}.difference(self.pieces)
+        if len(self.pieces) + len(missing) > MEMO:
+            self.pieces.clear()
+            missing = {p for parts in cut.values() for p in parts}
+        self.ask(list(missing))
+        get = self.pieces.__getitem__
+        for w, parts in cut.items():
+            self.memo[w] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
+
+    def ask(self, new: list[str]) -> None:
+        """The library encodes many in one call, parted by a special token that none of them holds."""
         plain = [w for w in new if not any(s in w for s in self.specials)]
         for w in set(new).difference(plain):
-            self.memo[w] = self.whole(w)
+            self.pieces[w] = self.whole(w)
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             ids = np.asarray(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark_id)
             raw, start = ids.tobytes(), 0
-            for w, cut in zip(some, [*cuts.tolist(), len(ids)], strict=True):
-                self.memo[w] = raw[4 * start : 4 * cut]
-                start = cut + 1
+            for w, end in zip(some, [*cuts.tolist(), len(ids)], strict=True):
+                self.pieces[w] = raw[4 * start : 4 * end]
+                start = end + 1
 
     def encode(self, text: str) -> bytes:
         if not self.by_word:
             return self.whole(text)
-        parts = _BLANK.split(text) if not text.isascii() else text.encode().split()
-        if parts and isinstance(parts[0], bytes):
-            parts = text.split() if not _ODD.search(text) else [p.decode() for p in parts]
-        else:
-            parts = [p for p in parts if p]
-        new = set(parts).difference(self.memo)
+        parts = [p for p in _BLANK.split(text) if p] if any(c in text for c in _ODD) else text.split()
+        memo = self.memo
+        new = set(parts).difference(memo)
         if new:
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
+            if len(memo) + len(new) > MEMO:
+                memo.clear()
                 new = set(parts)
-            self.add(list(new))
-        return b"".join(map(self.memo.__getitem__, parts))
-
-
-#: Characters that str.split takes for white space and the tokenizer doesn't.
-_ODD = re.compile("[\x1c-\x1f]")
+            self.add(new)
+        return b"".join(map(memo.__getitem__, parts))
 
 
 def word_encoder(path: str) -> WordEncoder:
