@@ -161,7 +161,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 ids = pa.array((c.encode(x) for x in s.column(1).to_pylist()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([s.column(0), ids], ["doc_id", "ids"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, T.StructType().add("doc_id", "long").add("ids", "array<int>"))
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

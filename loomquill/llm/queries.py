@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, packing, quality, simhash, tokenfile, topk, toxicity
+from . import bpe, fingerprints, packing, quality, recompression, simhash, suffixes, tokenfile, topk, toxicity
 from .common import fresh_path, read_documents
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -16,10 +16,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_bytes(read_documents(spark, sf_dir), window=200).drop("kept", "removed")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir), WORDS, capacity=2048, end_id=0)
 
 
+def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.repeated_words(read_documents(spark, sf_dir), window=20).drop("kept", "removed")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -47,7 +55,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_best_fit_packing, op5_quality, op6_exact_top_k, op7_simhash, op8_token_files, op9_byte_bpe, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_best_fit_packing, op4_recompression, op5_quality, op6_exact_top_k, op7_simhash, op8_token_files, op9_byte_bpe, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
