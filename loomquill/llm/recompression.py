@@ -17,12 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Kind, covered, mix, prefix, repeated, span_hash, with_spans
+from .repeats import HELD, Kind, covered, mix, prefix, span_hash, with_spans
 
 #: A run this long is named by its two ends; its inside gives way to them.
-RUN = 3
+RUN = 2
 #: Words on the left and, from a symbol's start, on the right that a symbol of two rounds can depend on.
-LEFT, RIGHT = 5, 9
+LEFT, RIGHT = 4, 8
 LAST = np.uint64(2**64 - 1)
 
 
@@ -102,7 +102,7 @@ def inner_runs(t: np.ndarray, window: int) -> list[dict[str, int]]:
     return [{"a": int(i) + 1, "b": int(i + length[i] - window)} for i in heads]
 
 
-def repeated_words(docs: DataFrame, window: int = 20, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_words(docs: DataFrame, window: int = 20, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept, removed array<struct<start,end>>) of every document.
 
     A word goes if a window of `window` words that covers it also starts earlier: in a document of smaller id,
@@ -110,7 +110,6 @@ def repeated_words(docs: DataFrame, window: int = 20, rounds: int = 2, id_col: s
     empty texts have no words. Rows that repeat under the same id are one document, and keep the same words;
     other texts under the same id follow each other by hash. A null id comes before all others.
     """
-    spans = repeated(docs, kind(window, rounds), id_col, text_col)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, removed array<struct<start int, end int>>"
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
@@ -132,4 +131,4 @@ def repeated_words(docs: DataFrame, window: int = 20, rounds: int = 2, id_col: s
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(span))
                 yield pa.RecordBatch.from_arrays([s.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "removed"])
 
-    return with_spans(docs, spans, id_col, text_col).mapInArrow(run, out)
+    return with_spans(docs, kind(window, rounds), id_col, text_col, held).mapInArrow(run, out)

@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from .common import fresh_path, partitions, release, remove, written
 
 #: Contexts of one anchor that a task orders in memory; anchors with more are dealt out by window.
-HELD = 20_000
+HELD = 10_000
 #: Suffixes that are ordered at once.
-AT_ONCE = 1_500_000
+AT_ONCE = 600_000
 
-ANCHORS = "ah long, ch long, id long, h long, c0 int, n int, m int"
+ANCHORS = "ah long, ch long, id long, h long, c0 int, n int, o int"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -70,10 +70,15 @@ class Kind:
     later: bool  # a window must start later than an equal one; else an equal one anywhere else will do
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, id, h, text): id and h name a document; rows alike in both are the same text under the same id."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, unique: bool) -> DataFrame:
+    """(doc_id, id, h, text): id and h name a document; h is a hash of the text where ids alone don't tell rows apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    h = F.lit(0).cast("long") if unique else F.xxhash64(text)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), h.alias("h"), text.alias("text"))
+
+
+def unique_ids(docs: DataFrame, id_col: str) -> bool:
+    return docs.groupBy(id_col).count().where("count > 1").isEmpty()
 
 
 def anchors(rows: DataFrame, kind: Kind) -> DataFrame:
@@ -89,15 +94,8 @@ def anchors(rows: DataFrame, kind: Kind) -> DataFrame:
                 start, end = kind.anchors(t)
                 p = prefix(t.astype(np.uint64, copy=False))
                 c0, c1 = np.maximum(end - w, 0), np.minimum(start + w, len(t))
-                ah, ch, m = span_hash(p, start, end), span_hash(p, c0, c1), np.ones(len(start), np.int32)
-                if len(t) < 2 * w:  # some surroundings are the whole text: m anchors that are alike share them
-                    whole = c1 - c0 == len(t)
-                    alike, first, times = np.unique(ah[whole], return_index=True, return_counts=True)
-                    at = np.concatenate([np.flatnonzero(~whole), np.flatnonzero(whole)[first]])
-                    m = np.concatenate([m[: len(at) - len(alike)], times.astype(np.int32)])
-                    ah, ch, c0, c1 = ah[at], ch[at], c0[at], c1[at]
-                held.append((ah, ch, id_, h, c0, c1 - c0, m))
-                size += len(ah)
+                held.append((span_hash(p, start, end), span_hash(p, c0, c1), id_, h, c0, c1 - c0, start - c0))
+                size += len(start)
                 if size > 200_000:
                     yield batch(held)
                     held, size = [], 0
@@ -105,11 +103,11 @@ def anchors(rows: DataFrame, kind: Kind) -> DataFrame:
                 yield batch(held)
 
     def batch(held: list) -> pa.RecordBatch:
-        ah, ch, c0, n, m = (np.concatenate([x[i] for x in held]) for i in (0, 1, 4, 5, 6))
+        ah, ch, c0, n, o = (np.concatenate([x[i] for x in held]) for i in (0, 1, 4, 5, 6))
         sizes = [len(x[0]) for x in held]
         id_, h = (np.repeat(np.asarray([x[i] for x in held], np.int64), sizes) for i in (2, 3))
-        cols = (ah.view(np.int64), ch.view(np.int64), id_, h, c0.astype(np.int32), n.astype(np.int32), m)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["ah", "ch", "id", "h", "c0", "n", "m"])
+        cols = (ah.view(np.int64), ch.view(np.int64), id_, h, c0.astype(np.int32), n.astype(np.int32), o.astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["ah", "ch", "id", "h", "c0", "n", "o"])
 
     return rows.select("id", "h", "text").mapInArrow(run, ANCHORS)
 
@@ -127,34 +125,53 @@ def digits(data: np.ndarray) -> tuple[np.ndarray, int]:
 def equal_windows(data: np.ndarray, at: np.ndarray, group: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(places in `at`, number of their group) of the windows data[at : at + window] that equal another of their first group.
 
-    Most-significant digits first, through the window and no further; what is alone after a pass goes.
+    Most-significant digits first, through the window and no further; what is alone after a pass goes. A digit
+    is a fifth of the window, named by hash; what comes out is compared token by token, and should names ever
+    have misled, the passes are made over again with the tokens themselves.
     """
-    digit, wide = digits(data)
-    kept = np.arange(len(at))
-    for d in range(-(-window // wide)):
-        offset = min(d * wide, window - wide) if window >= wide else 0
-        value = digit[at[kept] + offset]
-        if window < wide:
-            value = value >> np.uint64(8 * (wide - window))
-        order = np.lexsort((value, group))
-        kept, group, value = kept[order], group[order], value[order]
+    p = prefix(data.astype(np.uint64, copy=False))
+    wide = -(-window // 5)
+    kept, number = _passes(at, group, [(lambda x, d=d: span_hash(p, x + d, x + min(d + wide, window))) for d in range(0, window, wide)])
+    if len(kept):
+        head = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1])
+        lead = np.repeat(kept[head], np.diff(np.concatenate([head, [len(kept)]])))
+        digit, size = digits(data)
+        steps = [min(d, max(0, window - size)) for d in range(0, window, size)]
+        same = group[kept] == group[lead]
+        for d in steps if window >= size else []:
+            same &= digit[at[kept] + d] == digit[at[lead] + d]
+        if window < size or not same.all():
+            return _passes(at, group, [(lambda x, d=d: data[x + d].astype(np.uint64)) for d in range(window)])
+    return kept, number
+
+
+def _passes(at: np.ndarray, group: np.ndarray, named: list) -> tuple[np.ndarray, np.ndarray]:
+    kept, group = np.arange(len(at)), group.astype(np.uint64)
+    for digit in named:
+        value = mix(digit(at[kept]) + mix(group + _STEP))
+        order = np.argsort(value)
+        kept, value = kept[order], value[order]
         new = np.ones(len(kept), bool)
-        new[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
-        number = np.cumsum(new) - 1
-        many = np.bincount(number, minlength=1)[number] > 1 if len(number) else np.zeros(0, bool)
-        kept, group = kept[many], number[many]
+        new[1:] = value[1:] != value[:-1]
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        kept, group = kept[~alone], (np.cumsum(new) - 1).astype(np.uint64)[~alone]
         if not len(kept):
             break
-    return kept, group
+    return kept, group.astype(np.int64)
 
 
-def resolve(ah: np.ndarray, doc: np.ndarray, c0: np.ndarray, size: np.ndarray, data: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, first, last) runs of window starts of contexts, given end to end in data, that repeat within an anchor."""
+def resolve(ah: np.ndarray, doc: np.ndarray, c0: np.ndarray, o: np.ndarray, size: np.ndarray, data: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first, last) runs of window starts of contexts, given end to end in data, that repeat within an anchor.
+
+    o is the anchor's place in its context: equal windows hold an equal anchor at the same distance.
+    """
     base = np.concatenate([[0], np.cumsum(size)[:-1]])
     count = size - kind.window + 1
     own = np.repeat(np.arange(len(ah)), count)
     j = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-    kept, group = equal_windows(data, base[own] + j, np.unique(ah, return_inverse=True)[1][own], kind.window)
+    group = mix(np.unique(ah, return_inverse=True)[1][own].astype(np.uint64) * np.uint64(2**32) + (o[own] - j + 2**20).astype(np.uint64))
+    kept, group = equal_windows(data, base[own] + j, group, kind.window)
     if not len(kept):
         return (np.empty(0, np.int64),) * 3
     # Contexts overlap, so a window may be there twice: places in the documents count.
@@ -177,24 +194,24 @@ def runs(own: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return own[first], j[first], j[last]
 
 
-def repeated(docs: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
+def repeated(docs: DataFrame, kind: Kind, unique: bool, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
     """(id, h, spans array<struct<a, b>>): inclusive runs of window starts that repeat, for documents that have any."""
     spark, w = docs.sparkSession, kind.window
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col, unique)
     path = fresh_path(spark, "anchors")
     found = anchors(rows, kind)
     found.write.parquet(path)
     found = spark.read.schema(ANCHORS).parquet(path)
-    twice = found.groupBy("ah").agg(F.sum("m").alias("k")).where("k > 1").select("ah")
+    twice = found.groupBy("ah").agg(F.count("*").alias("k")).where("k > 1").select("ah")
     near = written(found.join(twice, "ah"), "occurrences")
     remove(spark, path)
     release(spark)
 
     # Contexts: how often each occurs, and its first occurrence in (document, place) order.
-    contexts = written(near.groupBy("ah", "ch", "n").agg(F.count("*").alias("k"), F.max("m").alias("m"), F.min(F.struct("id", "h", "c0")).alias("first")), "contexts")
-    several = contexts.groupBy("ah").agg(F.count("*").alias("contexts"), F.max("m").alias("m")).where("contexts > 1 or m > 1").drop("m")
-    several = contexts.join(several, "ah").select("ah", "ch", "n", "first.*", "contexts")
-    asked = several.groupBy("id", "h").agg(F.collect_list(F.struct("ah", "c0", "n", "contexts")).alias("asked"))
+    contexts = written(near.groupBy("ah", "ch", "n", "o").agg(F.count("*").alias("k"), F.min(F.struct("id", "h", "c0")).alias("first")), "contexts")
+    several = contexts.groupBy("ah").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    several = contexts.join(several, "ah").select("ah", "n", "o", "first.*", "contexts")
+    asked = several.groupBy("id", "h").agg(F.collect_list(F.struct("ah", "c0", "n", "o", "contexts")).alias("asked"))
     with_text = asked.join(rows.select("id", "h", "text"), ["id", "h"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +220,9 @@ def repeated(docs: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: str
                 t = kind.tokens(x.as_py())
                 data = [t[r["c0"] : r["c0"] + r["n"]].tobytes() for r in want]
                 m = len(want)
-                yield pa.RecordBatch.from_arrays([pa.array([r["ah"] for r in want], pa.int64()), pa.array([id_] * m, pa.int64()), pa.array([h] * m, pa.int64()), pa.array([r["c0"] for r in want], pa.int32()), pa.array(data, pa.binary()), pa.array([r["contexts"] > held for r in want])], ["ah", "id", "h", "c0", "data", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["ah"] for r in want], pa.int64()), pa.array([id_] * m, pa.int64()), pa.array([h] * m, pa.int64()), pa.array([r["c0"] for r in want], pa.int32()), pa.array([r["o"] for r in want], pa.int32()), pa.array(data, pa.binary()), pa.array([r["contexts"] > held for r in want])], ["ah", "id", "h", "c0", "o", "data", "hot"])
 
-    cuts = with_text.select("id", "h", "asked", "text").mapInArrow(cut, "ah long, id long, h long, c0 int, data binary, hot boolean")
+    cuts = with_text.select("id", "h", "asked", "text").mapInArrow(cut, "ah long, id long, h long, c0 int, o int, data binary, hot boolean")
     cuts = written(cuts, "context-tokens")
     release(spark)
 
@@ -216,7 +233,7 @@ def repeated(docs: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: str
             if not b.num_rows:
                 continue
             kept.append(b)
-            size += b.column(4).nbytes
+            size += b.column(5).nbytes
             if size > 2 * AT_ONCE:
                 whole = pa.Table.from_batches(kept).combine_chunks()
                 a = whole.column(0).to_numpy()
@@ -224,20 +241,22 @@ def repeated(docs: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: str
                 if last:
                     yield from solve(whole.slice(0, last))
                     whole = whole.slice(last)
-                kept, size = whole.to_batches(), sum(x.column(4).nbytes for x in whole.to_batches()) if last else 0
+                kept, size = whole.to_batches(), sum(x.column(5).nbytes for x in whole.to_batches()) if last else 0
         if kept:
             yield from solve(pa.Table.from_batches(kept))
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ah, id_, h, c0 = (t.column(i).to_numpy().astype(np.int64) for i in range(4))
-        n = pc.binary_length(t.column(4)).to_numpy()
+        ah, id_, h, c0, o = (t.column(i).to_numpy().astype(np.int64) for i in range(5))
+        n = pc.binary_length(t.column(5)).to_numpy()
         first = np.ones(len(ah), bool)
-        order = np.lexsort((n, c0, h, id_, ah))
-        ah, id_, h, c0, n = (x[order] for x in (ah, id_, h, c0, n))
-        first[1:] = (ah[1:] != ah[:-1]) | (id_[1:] != id_[:-1]) | (h[1:] != h[:-1]) | (c0[1:] != c0[:-1]) | (n[1:] != n[:-1])
+        order = np.lexsort((n, o, c0, h, id_, ah))
+        ah, id_, h, c0, o, n = (x[order] for x in (ah, id_, h, c0, o, n))
+        for x in (ah, id_, h, c0, o, n):
+            first[1:] &= x[1:] == x[:-1]
+        first[1:] = ~first[1:]
         order = order[first]  # a document that is there in several equal rows gave its contexts several times
-        ah, id_, h, c0 = (x[first] for x in (ah, id_, h, c0))
-        raw = t.column(4).take(pa.array(order)).to_pylist()
+        ah, id_, h, c0, o = (x[first] for x in (ah, id_, h, c0, o))
+        raw = t.column(5).take(pa.array(order)).to_pylist()
         kind_of = kind.tokens("").dtype
         size = np.asarray([len(r) // kind_of.itemsize for r in raw], np.int64)
         key = np.stack([id_, h], 1)
@@ -249,18 +268,18 @@ def repeated(docs: DataFrame, kind: Kind, id_col: str = "doc_id", text_col: str
             ahead = ends[k + 1] if k + 1 < len(ends) else e
             if k + 1 == len(ends) or load[ahead - 1] - (load[start - 1] if start else 0) > AT_ONCE:
                 s = slice(start, e)
-                own, a, z = resolve(ah[s], doc[s], c0[s], size[s], np.frombuffer(b"".join(raw[start:e]), kind_of), kind)
+                own, a, z = resolve(ah[s], doc[s], c0[s], o[s], size[s], np.frombuffer(b"".join(raw[start:e]), kind_of), kind)
                 if len(own):
                     own += start
                     yield pa.RecordBatch.from_arrays([pa.array(id_[own]), pa.array(h[own]), pa.array((c0[own] + a).astype(np.int32)), pa.array((c0[own] + z).astype(np.int32))], ["id", "h", "a", "b"])
                 start = e
 
-    few = cuts.where("not hot").select("ah", "id", "h", "c0", "data").repartition(partitions(spark), "ah").sortWithinPartitions("ah")
+    few = cuts.where("not hot").select("ah", "id", "h", "c0", "o", "data").repartition(partitions(spark), "ah").sortWithinPartitions("ah")
     spans = few.mapInArrow(order, "id long, h long, a int, b int")
     spans = spans.union(_dealt(cuts.where("hot").select("id", "h", "c0", "data"), kind))
     # All occurrences of a context that occurs twice repeat whole; where order counts, all but the first.
     other = (F.col("id") != F.col("first.id")) | (F.col("h") != F.col("first.h")) | (F.col("c0") != F.col("first.c0"))
-    again = near.join(contexts.where("k > 1").select("ah", "ch", "n", "first"), ["ah", "ch", "n"])
+    again = near.join(contexts.where("k > 1").select("ah", "ch", "n", "o", "first"), ["ah", "ch", "n", "o"])
     if kind.later:
         again = again.where(other)
     spans = spans.union(again.select("id", "h", F.col("c0").alias("a"), (F.col("c0") + F.col("n") - w).alias("b")))
@@ -303,6 +322,9 @@ def covered(spans: list, window: int, n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def with_spans(docs: DataFrame, kind: Kind, id_col: str, text_col: str, held: int = HELD) -> DataFrame:
     """(doc_id, text, spans): every document with what repeats in it."""
-    return keyed(docs, id_col, text_col).join(spans, ["id", "h"], "left").select("doc_id", "text", "spans")
+    unique = unique_ids(docs, id_col)
+    spans = repeated(docs, kind, unique, id_col, text_col, held)
+    release(docs.sparkSession)
+    return keyed(docs, id_col, text_col, unique).join(spans, ["id", "h"], "left").select("doc_id", "text", "spans")

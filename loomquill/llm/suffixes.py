@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Kind, covered, prefix, repeated, span_hash, with_spans
+from .repeats import HELD, Kind, covered, prefix, span_hash, with_spans
 
 
 def tokens(text: str) -> np.ndarray:
@@ -49,14 +49,13 @@ def kind(window: int = 200) -> Kind:
     return Kind(window, tokens, anchors, later=False)
 
 
-def repeated_bytes(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_bytes(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary, removed array<struct<start,end>>) of every document.
 
     A byte goes if a string of `window` bytes that covers it also starts elsewhere, in the same document or
     another; null texts are empty; a text under `window` bytes stays whole. Rows that repeat under the same id
     are documents of their own, so each loses what a window covers. A null id is kept. An empty table gives no rows.
     """
-    spans = repeated(docs, kind(window), id_col, text_col)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start int, end int>>"
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
@@ -75,4 +74,4 @@ def repeated_bytes(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(span))
                 yield pa.RecordBatch.from_arrays([s.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"])
 
-    return with_spans(docs, spans, id_col, text_col).mapInArrow(run, out)
+    return with_spans(docs, kind(window), id_col, text_col, held).mapInArrow(run, out)
