@@ -16,8 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .repeats import HELD, Kind, covered, mix, prefix, span_hash, with_spans
+from .repeats import HELD, Kind, covered, mix, prefix, repeated, span_hash, unique_ids, with_spans
 
 #: A run this long is named by its two ends; its inside gives way to them.
 RUN = 2
@@ -132,3 +133,43 @@ def repeated_words(docs: DataFrame, window: int = 20, rounds: int = 2, id_col: s
                 yield pa.RecordBatch.from_arrays([s.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "removed"])
 
     return with_spans(docs, kind(window, rounds), id_col, text_col, held).mapInArrow(run, out)
+
+
+def without_repeats(docs: DataFrame, window: int = 50, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+    """The documents, all columns, less the words that `repeated_words` removes; what stays keeps its own white space.
+
+    Texts without repeats come out unchanged, null ones too; size_col, where given and present, is counted anew.
+    """
+    k = kind(window, rounds)
+    unique = unique_ids(docs, id_col)
+    spans = repeated(docs, k, unique, id_col, text_col).withColumnsRenamed({"id": "_id", "h": "_h", "spans": "_spans"})
+    marked = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_h": F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    joined = marked.join(spans, ["_id", "_h"], "left").select(*docs.columns, "_spans")
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                s = b.slice(i, 1024)
+                out = [None if x is None else cleaned(x, found, window) for x, found in zip(s.column(at).to_pylist(), s.column(s.num_columns - 1).to_pylist(), strict=True)]
+                cols = [*s.columns[:at], pa.array(out, pa.string()), *s.columns[at + 1 : -1]]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    kept = joined.mapInArrow(run, docs.schema)
+    if size_col and size_col in docs.columns:
+        kept = kept.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
+    return kept
+
+
+def cleaned(text: str, spans: list | None, window: int) -> str:
+    raw = text.encode("utf-8", "surrogatepass")
+    start, end = spaced(raw)
+    n = len(start)
+    gone = covered([*(spans or []), *(inner_runs(tokens(text), window) if n > window else [])], window, n)
+    if not gone:
+        return text
+    out, last = [], 0
+    for a, z in gone:
+        out.append(raw[last : start[a]])
+        last = int(start[z]) if z < n else int(end[n - 1])
+    return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass")

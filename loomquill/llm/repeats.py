@@ -202,14 +202,15 @@ def repeated(docs: DataFrame, kind: Kind, unique: bool, id_col: str = "doc_id",
     found = anchors(rows, kind)
     found.write.parquet(path)
     found = spark.read.schema(ANCHORS).parquet(path)
-    twice = found.groupBy("ah").agg(F.count("*").alias("k")).where("k > 1").select("ah")
+    # Written, so that both sides of the joins are exchanged for the join alone and a frequent anchor's rows can be split.
+    twice = written(found.groupBy("ah").agg(F.count("*").alias("k")).where("k > 1").select("ah"), "twice")
     near = written(found.join(twice, "ah"), "occurrences")
     remove(spark, path)
     release(spark)
 
     # Contexts: how often each occurs, and its first occurrence in (document, place) order.
     contexts = written(near.groupBy("ah", "ch", "n", "o").agg(F.count("*").alias("k"), F.min(F.struct("id", "h", "c0")).alias("first")), "contexts")
-    several = contexts.groupBy("ah").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    several = written(contexts.groupBy("ah").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several")
     several = contexts.join(several, "ah").select("ah", "n", "o", "first.*", "contexts")
     asked = several.groupBy("id", "h").agg(F.collect_list(F.struct("ah", "c0", "n", "o", "contexts")).alias("asked"))
     with_text = asked.join(rows.select("id", "h", "text"), ["id", "h"])
