@@ -31,6 +31,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets
         self.memo: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
@@ -48,45 +49,58 @@ class WordEncoder:
         tries = ["It's a  test\n of 12 words, isn't\tit? ##a1b22", "Été é ́x  'll 's re'd x'Re ''s Straße's", "が ゙a 中文 x, y.z"]
         return all(self.whole(t) == b"".join(self.whole(w) for w in cut(t)) for t in tries)
 
-    def add(self, new: set[str]) -> None:
+    def add(self, new: set[str], plain: bool) -> None:
         """Words of plain Latin characters are cut into the pre-tokenizer's pieces, which many words share; others go whole."""
-        special = self.specials
-        cut = {w: _PIECE.findall(w.lower()) if self.pieced and _PLAIN.fullmatch(w) and not any(s in w for s in special) else [w] for w in new}
-        missing = {p for parts in cut.values() for p in parts}.difference(self.pieces)
-        if len(self.pieces) + len(missing) > MEMO:
-            self.pieces.clear()
-            missing = {p for parts in cut.values() for p in parts}
-        self.ask(list(missing))
-        get = self.pieces.__getitem__
-        for w, parts in cut.items():
-            self.memo[w] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
-
-    def ask(self, new: list[str]) -> None:
+        find, pieces, memo = _PIECE.findall, self.pieces, self.memo
+        if self.pieced and plain:
+            cut = [(w, find(w.lower())) for w in new]
+        elif self.pieced:
+            cut = [(w, find(w.lower()) if _PLAIN.fullmatch(w) and not self.special(w) else [w]) for w in new]
+        else:
+            cut = [(w, [w]) for w in new]
+        missing = {p for _, parts in cut for p in parts if p not in pieces}
+        if len(pieces) + len(missing) > MEMO:
+            pieces.clear()
+            missing = {p for _, parts in cut for p in parts}
+        if missing:
+            self.ask(list(missing), plain)
+        for w, parts in cut:
+            memo[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+
+    def special(self, text: str) -> bool:
+        return any(s in text for s in self.specials)
+
+    def ask(self, new: list[str], plain: bool) -> None:
         """The library encodes many in one call, parted by a special token that none of them holds."""
-        plain = [w for w in new if not any(s in w for s in self.specials)]
-        for w in set(new).difference(plain):
-            self.pieces[w] = self.whole(w)
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = np.asarray(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
+        if not plain:
+            odd = [w for w in new if self.special(w)]
+            for w in odd:
+                self.pieces[w] = self.whole(w)
+            new = list(set(new).difference(odd)) if odd else new
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            ids = np.asarray(self.many([self.mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
             raw, start = ids.tobytes(), 0
-            for w, end in zip(some, [*cuts.tolist(), len(ids)], strict=True):
+            for w, end in zip(some, cuts, strict=True):
                 self.pieces[w] = raw[4 * start : 4 * end]
                 start = end + 1
 
     def encode(self, text: str) -> bytes:
         if not self.by_word:
             return self.whole(text)
-        parts = [p for p in _BLANK.split(text) if p] if any(c in text for c in _ODD) else text.split()
+        odd = any(c in text for c in _ODD)
+        parts = [p for p in _BLANK.split(text) if p] if odd else text.split()
         memo = self.memo
-        new = set(parts).difference(memo)
-        if new:
+        got = list(map(memo.get, parts))
+        if None in got:
+            new = {p for p, v in zip(parts, got, strict=True) if v is None}
             if len(memo) + len(new) > MEMO:
                 memo.clear()
                 new = set(parts)
-            self.add(new)
-        return b"".join(map(memo.__getitem__, parts))
+            self.add(new, not odd and text.isascii() and not self.special(text))
+            got = map(memo.__getitem__, parts)
+        return b"".join(got)
 
 
 def word_encoder(path: str) -> WordEncoder:
