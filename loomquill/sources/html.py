@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _DROP, _BREAK = {"script", "style", "form", "nav"}, {"p", "div", "blockquote", "ul", "ol", "center", "table"}
 
@@ -58,7 +59,7 @@ def markdown(html: str | None) -> str:
     return re.sub(r"\s*\n\s*\n\s*", "\n\n", text).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_markdown(c: pd.Series) -> pd.Series:
     return c.map(markdown)
 
