@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import texts, written
-from .words import word_encoder
+from .words import slices, without_cycles, word_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -85,10 +85,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, part, tail = word_encoder(tokenizer_path), TaskContext.get().partitionId(), np.asarray([end_id], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
-        for b in batches:
+        for b in slices(batches):
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = w.encode(text.as_py()) + tail
+            with without_cycles():
+                encoded = w.encode_all(b.column(1).to_pylist())
+            for doc, raw in zip(b.column(0).to_pylist(), encoded, strict=True):
+                raw += tail
                 for i, at in enumerate(range(0, len(raw), 4 * capacity)):
                     cut = raw[at : at + 4 * capacity]
                     n = len(cut) // 4

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import partitions, texts
-from .words import word_encoder
+from .words import slices, without_cycles, word_encoder
 
 #: Stands for a null document id in the .doc file.
 NO_ID = -(2**63)
@@ -78,14 +78,14 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
         base, sizes, ids = f"{path}/part-{part:05d}", [], []
 
         def encoded() -> Iterator[bytes]:
-            for b in batches:
+            for b in slices(batches):
                 ids.extend(NO_ID if x is None else x for x in b.column(0).to_pylist())
-                for x in b.column(1):
-                    raw = np.frombuffer(w.encode(x.as_py()) + tail, "<u4")
-                    sizes.append(len(raw))
-                    yield raw.astype(dtype).tobytes()
+                raw = [r + tail for r in w.encode_all(b.column(1).to_pylist())]
+                sizes.extend(len(r) // 4 for r in raw)
+                yield np.frombuffer(b"".join(raw), "<u4").astype(dtype).tobytes()
 
-        put(f"{base}.ids", encoded())
+        with without_cycles():
+            put(f"{base}.ids", encoded())
         offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype("<u8")
         put(f"{base}.off", iter([offsets.tobytes()]))
         put(f"{base}.doc", iter([np.asarray(ids, "<i8").tobytes()]))
