@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +64,17 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def trimmed() -> Iterator[None]:
+    """Give a worker's freed memory back to the system when its task ends: workers live on."""
+    try:
+        yield
+    finally:
+        gc.collect()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import texts, trimmed, written
 from .words import slices, without_cycles, word_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -101,7 +101,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, PIECES)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with trimmed():
+            yield from run(batches)
+
+    return texts(docs, id_col, text_col).mapInArrow(whole, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

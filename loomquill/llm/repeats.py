@@ -20,12 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, partitions, release, remove, written
+from .common import fresh_path, partitions, release, remove, trimmed, written
 
 #: Contexts of one anchor that a task orders in memory; anchors with more are dealt out by window.
 HELD = 10_000
 #: Suffixes that are ordered at once.
-AT_ONCE = 600_000
+AT_ONCE = 400_000
 
 ANCHORS = "ah long, ch long, id long, h long, c0 int, n int, o int"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -276,7 +276,11 @@ def repeated(docs: DataFrame, kind: Kind, unique: bool, id_col: str = "doc_id",
                 start = e
 
     few = cuts.where("not hot").select("ah", "id", "h", "c0", "o", "data").repartition(partitions(spark), "ah").sortWithinPartitions("ah")
-    spans = few.mapInArrow(order, "id long, h long, a int, b int")
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with trimmed():
+            yield from order(batches)
+
+    spans = few.mapInArrow(ordered, "id long, h long, a int, b int")
     spans = spans.union(_dealt(cuts.where("hot").select("id", "h", "c0", "data"), kind))
     # All occurrences of a context that occurs twice repeat whole; where order counts, all but the first.
     other = (F.col("id") != F.col("first.id")) | (F.col("h") != F.col("first.h")) | (F.col("c0") != F.col("first.c0"))

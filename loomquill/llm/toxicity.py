@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import texts, trimmed, written
 from .labelled import fold, sample
 
 TOKEN = re.compile(r"\w+")
@@ -32,10 +32,10 @@ FADE = 0.5
 #: Taken off every token's log-odds, so that the expected score is negative and passages end.
 DRIFT = 0.35
 #: The most words and stems that the model holds, those seen most often.
-MAX_WORDS = 120_000
+MAX_WORDS = 60_000
 #: Segments of a document that the sum statistic looks at.
 BEST = 4
-MEMO = 300_000
+MEMO = 120_000
 #: Tokens that every text is taken to have besides its own: chance is no smaller in a very short one.
 EDGE = 200
 #: More evidence than this, as a log, changes nothing.
@@ -231,7 +231,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
                 kept.append([{"start": a, "end": e, "score": s} for a, e, s in found if posterior(m, evidence(m, n, [(a, e, s)])) >= threshold])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array([int(v >= threshold) for v in p], pa.int32()), pa.array(kept, pa.list_(passage))], ["doc_id", "score", "predicted", "segments"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int, segments array<struct<start int, end int, score double>>")
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with trimmed():
+            yield from run(batches)
+
+    return texts(docs, id_col, text_col).mapInArrow(whole, "doc_id long, score double, predicted int, segments array<struct<start int, end int, score double>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
