@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Entries of a generation of each worker's memories of words and of pieces.
-MEMO = 200_000
+MEMO = 280_000
 
 #: Characters that str.split takes for white space and the tokenizer doesn't.
 _ODD = "\x1c\x1d\x1e\x1f"
