@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
-import pyarrow as pa
 
-#: Entries of a generation of each worker's memories of words and of pieces.
-MEMO = 280_000
+#: Entries of each worker's memories of words and of pieces; each is emptied when full.
+MEMO = 600_000
 
 #: Characters that str.split takes for white space and the tokenizer doesn't.
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -23,29 +19,6 @@ _BLANK = re.compile(r"[ \t\n\r\x0b\x0c]+")
 _loaded: dict[str, WordEncoder] = {}
 
 
-class Memory:
-    """A bounded memory of two generations: a full one becomes the old one, from which what is used again moves over."""
-
-    def __init__(self, most: int) -> None:
-        self.now: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.most = most
-
-    def missing(self, keys: set[str]) -> set[str]:
-        """Those keys that neither generation has; the others are in `now` afterwards."""
-        if len(self.now) + len(keys) > self.most:
-            self.old, self.now = self.now, {}
-        now, old, out = self.now, self.old, set()
-        for k in keys:
-            if k not in now:
-                v = old.get(k)
-                if v is None:
-                    out.add(k)
-                else:
-                    now[k] = v
-        return out
-
-
 class WordEncoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers.
 
@@ -59,7 +32,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets
-        self.words, self.pieces = Memory(MEMO), Memory(MEMO)
+        self.memo: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark_id, self.mark = special[0] if special else (-1, "")
         self.specials = [s for _, s in special]
@@ -77,17 +51,19 @@ class WordEncoder:
 
     def add(self, new: set[str], plain: bool) -> None:
         """Words of plain Latin characters are cut into the pre-tokenizer's pieces, which many words share; others go whole."""
-        find = _PIECE.findall
+        find, pieces, memo = _PIECE.findall, self.pieces, self.memo
         if self.pieced and plain:
             cut = [(w, find(w.lower())) for w in new]
         elif self.pieced:
             cut = [(w, find(w.lower()) if _PLAIN.fullmatch(w) and not self.special(w) else [w]) for w in new]
         else:
             cut = [(w, [w]) for w in new]
-        missing = self.pieces.missing({p for _, parts in cut for p in parts})
+        missing = {p for _, parts in cut for p in parts if p not in pieces}
+        if len(pieces) + len(missing) > MEMO:
+            pieces.clear()
+            missing = {p for _, parts in cut for p in parts}
         if missing:
             self.ask(list(missing), plain)
-        memo, pieces = self.words.now, self.pieces.now
         for w, parts in cut:
             memo[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
 
@@ -99,7 +75,7 @@ class WordEncoder:
         if not plain:
             odd = [w for w in new if self.special(w)]
             for w in odd:
-                self.pieces.now[w] = self.whole(w)
+                self.pieces[w] = self.whole(w)
             new = list(set(new).difference(odd)) if odd else new
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
@@ -107,54 +83,24 @@ class WordEncoder:
             cuts = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
             raw, start = ids.tobytes(), 0
             for w, end in zip(some, cuts, strict=True):
-                self.pieces.now[w] = raw[4 * start : 4 * end]
+                self.pieces[w] = raw[4 * start : 4 * end]
                 start = end + 1
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; new words of all of them are asked for together."""
         if not self.by_word:
-            return [self.whole(x) for x in texts]
-        get, found = self.words.now.get, []
-        new: dict[bool, set[str]] = {True: set(), False: set()}
-        for text in texts:
-            odd = any(c in text for c in _ODD)
-            parts = [p for p in _BLANK.split(text) if p] if odd else text.split()
-            got = list(map(get, parts))
-            if None in got:
-                plain = not odd and text.isascii() and not self.special(text)
-                new[plain].update([p for p, v in zip(parts, got, strict=True) if v is None])
-                found.append((parts, None))
-            else:
-                found.append((parts, b"".join(got)))
-        if any(new.values()):
-            before = self.words.now
-            lacking = {plain: self.words.missing(words) for plain, words in new.items()}
-            if self.words.now is not before:  # a new generation has begun: all words of these texts go there
-                lacking = {False: self.words.missing({p for parts, got in found if got is None for p in parts})}
-            for plain, words in lacking.items():
-                if words:
-                    self.add(words, plain)
-        now = self.words.now
-        return [b"".join(map(now.__getitem__, parts)) if got is None else got for parts, got in found]
-
-
-@contextmanager
-def without_cycles() -> Iterator[None]:
-    """The encoders make no reference cycles; looking for some in their memories costs a tenth of the time."""
-    gc.disable()
-    try:
-        yield
-    finally:
-        gc.enable()
-
-
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+            return self.whole(text)
+        odd = any(c in text for c in _ODD)
+        parts = [p for p in _BLANK.split(text) if p] if odd else text.split()
+        memo = self.memo
+        got = list(map(memo.get, parts))
+        if None in got:
+            new = {p for p, v in zip(parts, got, strict=True) if v is None}
+            if len(memo) + len(new) > MEMO:
+                memo.clear()
+                new = set(parts)
+            self.add(new, not odd and text.isascii() and not self.special(text))
+            got = map(memo.__getitem__, parts)
+        return b"".join(got)
 
 
 def word_encoder(path: str) -> WordEncoder:
