@@ -87,8 +87,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = w.encode(text.as_py()) + tail
+            for doc, ids in zip(b.column(0).to_pylist(), w.encode_all(x.as_py() for x in b.column(1)), strict=True):
+                raw = ids + tail
                 for i, at in enumerate(range(0, len(raw), 4 * capacity)):
                     cut = raw[at : at + 4 * capacity]
                     n = len(cut) // 4

@@ -80,8 +80,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
         def encoded() -> Iterator[bytes]:
             for b in batches:
                 ids.extend(NO_ID if x is None else x for x in b.column(0).to_pylist())
-                for x in b.column(1):
-                    raw = np.frombuffer(w.encode(x.as_py()) + tail, "<u4")
+                for x in w.encode_all(x.as_py() for x in b.column(1)):
+                    raw = np.frombuffer(x + tail, "<u4")
                     sizes.append(len(raw))
                     yield raw.astype(dtype).tobytes()
 
