@@ -2,6 +2,7 @@
 
 1. Each document names anchors: places that depend on the tokens of one window alone, at least one in every
    window. Windows that are equal hold the same anchor, so only suffixes near an anchor seen twice can repeat.
+   Text that repeats with a short period gives one context again and again: a document tells of it once.
 2. Anchors are counted by their hash; of those seen twice, occurrences with the same surroundings (all windows
    that hold the anchor) are one context. Windows of a context that occurs twice repeat; nothing is compared.
 3. Where an anchor has several contexts, the suffixes of one occurrence of each are ordered through the window's
@@ -27,7 +28,8 @@ HELD = 10_000
 #: Suffixes that are ordered at once.
 AT_ONCE = 400_000
 
-ANCHORS = "ah long, ch long, id long, h long, c0 int, n int, o int"
+#: One row for equal contexts of a document: c0 is where the first begins, more where the others do (null: nowhere).
+ANCHORS = "ah long, ch long, id long, h long, c0 int, n int, o int, more array<int>"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -81,6 +83,18 @@ def unique_ids(docs: DataFrame, id_col: str) -> bool:
     return docs.groupBy(id_col).count().where("count > 1").isEmpty()
 
 
+def once(ah: np.ndarray, ch: np.ndarray, n: np.ndarray, o: np.ndarray, c0: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(the first of each context of a document, [(its number among these, places of the others)])."""
+    if len(np.unique(ah)) == len(ah):
+        return np.arange(len(ah)), []
+    order = np.lexsort((c0, o, n, ch, ah))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([np.diff(x[order]) != 0 for x in (ah, ch, n, o)], axis=0)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(order))
+    return order[first], [(int(i), c0[order[first[i] + 1 : last[i]]].astype(np.int32)) for i in np.flatnonzero(last - first > 1)]
+
+
 def anchors(rows: DataFrame, kind: Kind) -> DataFrame:
     w = kind.window
 
@@ -94,7 +108,9 @@ def anchors(rows: DataFrame, kind: Kind) -> DataFrame:
                 start, end = kind.anchors(t)
                 p = prefix(t.astype(np.uint64, copy=False))
                 c0, c1 = np.maximum(end - w, 0), np.minimum(start + w, len(t))
-                held.append((span_hash(p, start, end), span_hash(p, c0, c1), id_, h, c0, c1 - c0, start - c0))
+                ah, ch, n, o = span_hash(p, start, end), span_hash(p, c0, c1), c1 - c0, start - c0
+                rows, more = once(ah, ch, n, o, c0)
+                held.append((ah[rows], ch[rows], id_, h, c0[rows], n[rows], o[rows], more))
                 size += len(start)
                 if size > 200_000:
                     yield batch(held)
@@ -107,7 +123,11 @@ def anchors(rows: DataFrame, kind: Kind) -> DataFrame:
         sizes = [len(x[0]) for x in held]
         id_, h = (np.repeat(np.asarray([x[i] for x in held], np.int64), sizes) for i in (2, 3))
         cols = (ah.view(np.int64), ch.view(np.int64), id_, h, c0.astype(np.int32), n.astype(np.int32), o.astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["ah", "ch", "id", "h", "c0", "n", "o"])
+        more: list = [None] * len(ah)
+        for base, x in zip(np.cumsum([0, *sizes[:-1]]).tolist(), held, strict=True):
+            for i, places in x[7]:
+                more[base + i] = places
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(more, pa.list_(pa.int32()))], ["ah", "ch", "id", "h", "c0", "n", "o", "more"])
 
     return rows.select("id", "h", "text").mapInArrow(run, ANCHORS)
 
@@ -202,14 +222,15 @@ def repeated(docs: DataFrame, kind: Kind, unique: bool, id_col: str = "doc_id",
     found = anchors(rows, kind)
     found.write.parquet(path)
     found = spark.read.schema(ANCHORS).parquet(path)
+    times = F.coalesce(F.array_size("more"), F.lit(0)) + 1
     # Written, so that both sides of the joins are exchanged for the join alone and a frequent anchor's rows can be split.
-    twice = written(found.groupBy("ah").agg(F.count("*").alias("k")).where("k > 1").select("ah"), "twice")
+    twice = written(found.groupBy("ah").agg(F.sum(times).alias("k")).where("k > 1").select("ah"), "twice")
     near = written(found.join(twice, "ah"), "occurrences")
     remove(spark, path)
     release(spark)
 
     # Contexts: how often each occurs, and its first occurrence in (document, place) order.
-    contexts = written(near.groupBy("ah", "ch", "n", "o").agg(F.count("*").alias("k"), F.min(F.struct("id", "h", "c0")).alias("first")), "contexts")
+    contexts = written(near.groupBy("ah", "ch", "n", "o").agg(F.sum(times).alias("k"), F.min(F.struct("id", "h", "c0")).alias("first")), "contexts")
     several = written(contexts.groupBy("ah").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several")
     several = contexts.join(several, "ah").select("ah", "n", "o", "first.*", "contexts")
     asked = several.groupBy("id", "h").agg(F.collect_list(F.struct("ah", "c0", "n", "o", "contexts")).alias("asked"))
@@ -282,13 +303,14 @@ def repeated(docs: DataFrame, kind: Kind, unique: bool, id_col: str = "doc_id",
 
     spans = few.mapInArrow(ordered, "id long, h long, a int, b int")
     spans = spans.union(_dealt(cuts.where("hot").select("id", "h", "c0", "data"), kind))
+    spans = spans.select("id", "h", F.array(F.struct("a", "b")).alias("spans"))
     # All occurrences of a context that occurs twice repeat whole; where order counts, all but the first.
-    other = (F.col("id") != F.col("first.id")) | (F.col("h") != F.col("first.h")) | (F.col("c0") != F.col("first.c0"))
+    first = (F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h")) & F.lit(kind.later)
+    others = F.coalesce("more", F.array().cast("array<int>"))
     again = near.join(contexts.where("k > 1").select("ah", "ch", "n", "o", "first"), ["ah", "ch", "n", "o"])
-    if kind.later:
-        again = again.where(other)
-    spans = spans.union(again.select("id", "h", F.col("c0").alias("a"), (F.col("c0") + F.col("n") - w).alias("b")))
-    return written(spans.groupBy("id", "h").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    places = again.select("id", "h", "n", F.when(first, others).otherwise(F.concat(F.array("c0"), others)).alias("places")).where(F.size("places") > 0)
+    spans = spans.union(places.select("id", "h", F.transform("places", lambda x: F.struct(x.alias("a"), (x + F.col("n") - w).alias("b"))).alias("spans")))
+    return written(spans.groupBy("id", "h").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
 
 
 def _dealt(hot: DataFrame, kind: Kind) -> DataFrame:
