@@ -51,9 +51,14 @@ def _clean() -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs a read only."""
+def written(df: DataFrame, name: str, passing: list[str] | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs a read only.
+
+    Its path is added to passing, for tables that the caller removes before the driver ends.
+    """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    if passing is not None:
+        passing.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -218,20 +218,20 @@ def repeated(docs: DataFrame, kind: Kind, unique: bool, id_col: str = "doc_id",
     """(id, h, spans array<struct<a, b>>): inclusive runs of window starts that repeat, for documents that have any."""
     spark, w = docs.sparkSession, kind.window
     rows = keyed(docs, id_col, text_col, unique)
-    path = fresh_path(spark, "anchors")
+    path, passing = fresh_path(spark, "anchors"), []
     found = anchors(rows, kind)
     found.write.parquet(path)
     found = spark.read.schema(ANCHORS).parquet(path)
     times = F.coalesce(F.array_size("more"), F.lit(0)) + 1
     # Written, so that both sides of the joins are exchanged for the join alone and a frequent anchor's rows can be split.
-    twice = written(found.groupBy("ah").agg(F.sum(times).alias("k")).where("k > 1").select("ah"), "twice")
-    near = written(found.join(twice, "ah"), "occurrences")
+    twice = written(found.groupBy("ah").agg(F.sum(times).alias("k")).where("k > 1").select("ah"), "twice", passing)
+    near = written(found.join(twice, "ah"), "occurrences", passing)
     remove(spark, path)
     release(spark)
 
     # Contexts: how often each occurs, and its first occurrence in (document, place) order.
-    contexts = written(near.groupBy("ah", "ch", "n", "o").agg(F.sum(times).alias("k"), F.min(F.struct("id", "h", "c0")).alias("first")), "contexts")
-    several = written(contexts.groupBy("ah").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several")
+    contexts = written(near.groupBy("ah", "ch", "n", "o").agg(F.sum(times).alias("k"), F.min(F.struct("id", "h", "c0")).alias("first")), "contexts", passing)
+    several = written(contexts.groupBy("ah").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several", passing)
     several = contexts.join(several, "ah").select("ah", "n", "o", "first.*", "contexts")
     asked = several.groupBy("id", "h").agg(F.collect_list(F.struct("ah", "c0", "n", "o", "contexts")).alias("asked"))
     with_text = asked.join(rows.select("id", "h", "text"), ["id", "h"])
@@ -245,7 +245,7 @@ def repeated(docs: DataFrame, kind: Kind, unique: bool, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array([r["ah"] for r in want], pa.int64()), pa.array([id_] * m, pa.int64()), pa.array([h] * m, pa.int64()), pa.array([r["c0"] for r in want], pa.int32()), pa.array([r["o"] for r in want], pa.int32()), pa.array(data, pa.binary()), pa.array([r["contexts"] > held for r in want])], ["ah", "id", "h", "c0", "o", "data", "hot"])
 
     cuts = with_text.select("id", "h", "asked", "text").mapInArrow(cut, "ah long, id long, h long, c0 int, o int, data binary, hot boolean")
-    cuts = written(cuts, "context-tokens")
+    cuts = written(cuts, "context-tokens", passing)
     release(spark)
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +302,7 @@ def repeated(docs: DataFrame, kind: Kind, unique: bool, id_col: str = "doc_id",
             yield from order(batches)
 
     spans = few.mapInArrow(ordered, "id long, h long, a int, b int")
-    spans = spans.union(_dealt(cuts.where("hot").select("id", "h", "c0", "data"), kind))
+    spans = spans.union(_dealt(cuts.where("hot").select("id", "h", "c0", "data"), kind, passing))
     spans = spans.select("id", "h", F.array(F.struct("a", "b")).alias("spans"))
     # All occurrences of a context that occurs twice repeat whole; where order counts, all but the first.
     first = (F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h")) & F.lit(kind.later)
@@ -310,10 +310,14 @@ def repeated(docs: DataFrame, kind: Kind, unique: bool, id_col: str = "doc_id",
     again = near.join(contexts.where("k > 1").select("ah", "ch", "n", "o", "first"), ["ah", "ch", "n", "o"])
     places = again.select("id", "h", "n", F.when(first, others).otherwise(F.concat(F.array("c0"), others)).alias("places")).where(F.size("places") > 0)
     spans = spans.union(places.select("id", "h", F.transform("places", lambda x: F.struct(x.alias("a"), (x + F.col("n") - w).alias("b"))).alias("spans")))
-    return written(spans.groupBy("id", "h").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
+    spans = written(spans.groupBy("id", "h").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
+    for path in passing:
+        remove(spark, path)
+    release(spark)
+    return spans
 
 
-def _dealt(hot: DataFrame, kind: Kind) -> DataFrame:
+def _dealt(hot: DataFrame, kind: Kind, passing: list[str]) -> DataFrame:
     """Spans of anchors with very many contexts: every window by two hashes, counted with map-side sums."""
     w = kind.window
 
@@ -328,7 +332,7 @@ def _dealt(hot: DataFrame, kind: Kind) -> DataFrame:
                 cols = (a.view(np.int64), c.view(np.int64), np.full(m, id_, np.int64), np.full(m, h, np.int64), (at + c0).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["u", "v", "id", "h", "a"])
 
-    windows = written(hot.mapInArrow(spread, "u long, v long, id long, h long, a int"), "hot-windows")
+    windows = written(hot.mapInArrow(spread, "u long, v long, id long, h long, a int"), "hot-windows", passing)
     place = F.struct("id", "h", "a")
     met = windows.groupBy("u", "v").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("u", "v", "low")
     found = windows.join(met, ["u", "v"])
@@ -353,5 +357,4 @@ def with_spans(docs: DataFrame, kind: Kind, id_col: str, text_col: str, held: in
     """(doc_id, text, spans): every document with what repeats in it."""
     unique = unique_ids(docs, id_col)
     spans = repeated(docs, kind, unique, id_col, text_col, held)
-    release(docs.sparkSession)
     return keyed(docs, id_col, text_col, unique).join(spans, ["id", "h"], "left").select("doc_id", "text", "spans")
