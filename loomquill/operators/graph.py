@@ -54,3 +54,29 @@ def top(rows: DataFrame, k: int, *order) -> DataFrame:
 def spine(keys: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
     """Every key with its count, 0 where nothing was seen."""
     return keys.join(facts, key, "left").withColumn(count, F.coalesce(count, F.lit(0)))
+
+
+def padded_links(keys: DataFrame, members: DataFrame, entities: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """(key, node, type, edge, weight): up to limits[type] entities of each type for every key.
+
+    keys (key, session) and members (node, session) say who shares a session: those come first, in the order of
+    entities (node, type, ord). What is missing is filled up with the first of the type, linked already or not.
+    """
+    limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
+    typed = entities.where(F.col("type").isin(*limits))
+    met = keys.join(members, "session").select("key", "node").distinct().join(typed, "node")
+    w = Window.partitionBy("key", "type").orderBy("ord", "node")
+    near = met.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit[F.col("type")])
+    first = typed.withColumn("_r", F.row_number().over(Window.partitionBy("type").orderBy("ord", "node"))).where(F.col("_r") <= limit[F.col("type")])
+    every = keys.select("key").distinct().select("key", F.explode(F.array(*map(F.lit, limits))).alias("type"))
+    have = near.groupBy("key", "type").agg(F.count("*").alias("_n"))
+    # first has as many rows as the limits add up to
+    pad = every.join(have, ["key", "type"], "left").join(F.broadcast(first), "type").where(F.col("_r") <= limit[F.col("type")] - F.coalesce("_n", F.lit(0)))
+    return near.select("key", "node", "type", F.lit("MENTIONED_IN").alias("edge"), F.lit(2).alias("weight")).union(pad.select("key", "node", "type", F.lit("RELATED_TO"), F.lit(1)))
+
+
+def linked_nodes(edges: DataFrame, node, sessions: DataFrame, nodes: DataFrame, k: int = 30) -> DataFrame:
+    """The k most mentioned of nodes (node, mentions, hidden) that edges (a, b, type) tie to a node or to its sessions (session)."""
+    direct = edges.where(F.col("a") == node).select(F.col("b").alias("node")).union(edges.where(F.col("b") == node).select(F.col("a").alias("node")))
+    shared = edges.where("type = 'MENTIONED_IN'").join(sessions.select(F.col("session").alias("b")).distinct(), "b", "left_semi").select(F.col("a").alias("node"))
+    return top(nodes.where("not hidden").join(direct.union(shared).distinct(), "node", "left_semi"), k, F.desc("mentions"), "node")

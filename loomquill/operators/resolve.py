@@ -49,3 +49,29 @@ def set_compare(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     b = right.select(key).distinct().withColumn("r", F.lit(1))
     j = a.join(b, key, "full")
     return j.agg(F.count(F.when(F.col("l").isNotNull() & F.col("r").isNotNull(), 1)).alias("in_both"), F.count(F.when(F.col("r").isNull(), 1)).alias("only_left"), F.count(F.when(F.col("l").isNull(), 1)).alias("only_right"))
+
+
+def merge_cross_type(orgs: DataFrame, locations: DataFrame, places: DataFrame, persons: DataFrame) -> DataFrame:
+    """(kind, ord, name, mentions, sessions) of both kinds; inputs have ord, name, key, mentions, sessions, the last two a key.
+
+    An organization whose key is a location's or a known place's goes, and the first location of that key takes its
+    mentions and sessions; one that is a known person goes without.
+    """
+    taken = locations.select("key").union(places.select("key")).distinct()
+    moved = orgs.join(taken, "key", "left_semi").groupBy("key").agg(F.sum("mentions").alias("_m"), F.array_distinct(F.flatten(F.collect_list("sessions"))).alias("_s"))
+    heads = locations.groupBy("key").agg(F.min("ord").alias("ord"))
+    more = heads.join(moved, "key").select("ord", "_m", "_s")
+    grown = locations.join(more, "ord", "left").select(F.lit("location").alias("kind"), "ord", "name", (F.col("mentions") + F.coalesce("_m", F.lit(0))).alias("mentions"), F.coalesce(F.array_union("sessions", "_s"), "sessions").alias("sessions"))
+    left = orgs.join(taken, "key", "left_anti").join(persons.select("key").distinct(), "key", "left_anti")
+    return grown.union(left.select(F.lit("organization"), "ord", "name", "mentions", "sessions"))
+
+
+def merge_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(idx, name, mentions, n_members) after merging rows (idx, name, mentions) by groups (grp, pos, idx).
+
+    An index stays in the first group that names it; a group goes by its first member left; the rest stand alone.
+    """
+    first = groups.groupBy("idx").agg(F.min(F.struct("grp", "pos")).alias("_g"))
+    placed = rows.join(first, "idx", "left").withColumn("_key", F.struct(F.col("_g").isNull().alias("alone"), F.coalesce(F.col("_g.grp").cast("long"), F.col("idx").cast("long")).alias("id")))
+    base = F.min_by(F.struct("idx", "name"), F.struct("_g.pos", "idx"))
+    return placed.groupBy("_key").agg(base.alias("_b"), F.sum("mentions").alias("mentions"), F.count("*").alias("n_members")).select("_b.idx", "_b.name", "mentions", "n_members")

@@ -100,3 +100,32 @@ def column_order(blocks: DataFrame, midline: float = 306.0) -> DataFrame:
     """Reading order of right-to-left pages in two columns: page, right column first, then down."""
     w = Window.partitionBy("page").orderBy(F.when(F.col("x0") > midline, 0).otherwise(1), "y0", "x0")
     return blocks.withColumn("place", F.row_number().over(w))
+
+
+def adaptive_column_order(blocks: DataFrame, order: str) -> DataFrame:
+    """Reading order where the page tells its columns: x and y are shares of the page.
+
+    A page whose blocks lie over 0.4 apart has two columns, parted amid its widest gap, or at 0.5 if none reaches 0.1;
+    the right one comes first. Other pages go down. order settles ties. One window a page and one equi-join.
+    """
+    gap = F.col("x") - F.lag("x").over(Window.partitionBy("page").orderBy("x"))
+    widest = F.max_by(F.col("x") - F.col("gap") / 2, F.struct("gap", -F.col("x")))
+    shape = blocks.select("page", "x").withColumn("gap", gap).groupBy("page").agg((F.max("x") - F.min("x") > 0.4).alias("_two"), F.when(F.max("gap") >= 0.1, widest).otherwise(0.5).alias("_edge"))
+    side = F.when(F.col("_two") & (F.col("x") <= F.col("_edge")), 1).otherwise(0)
+    w = Window.partitionBy("page").orderBy(side, "y", order)
+    return blocks.join(shape, "page").withColumn("place", F.row_number().over(w)).drop("_two", "_edge")
+
+
+def first_marker_near(docs: DataFrame, marker: str, names: list[str], ahead: int = 15, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, line_no): the first line with the marker that has one of the names in it or in the lines ahead; others go. Nothing is shuffled."""
+    parts = F.split(F.coalesce(text, F.lit("")), "\n")
+    near = lambda p, i: F.array_join(F.slice(p, i + 1, ahead), "\n")
+    named = lambda p, i: F.exists(F.array(*map(F.lit, names)), lambda n: F.contains(near(p, i), n))
+    at = F.filter(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: F.contains(F.get("_p", i), F.lit(marker)) & named(F.col("_p"), i))
+    return docs.select(key, parts.alias("_p")).select(key, F.array_min(at).alias("line_no")).where("line_no is not null")
+
+
+def blanks_inherit(rows: DataFrame, by: str, order: list[str], *cells: str) -> DataFrame:
+    """Blank or null cells take the value above them in their list, null at its top."""
+    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({c: F.last(F.when(F.trim(F.col(c)) != "", F.col(c)), ignorenulls=True).over(w) for c in cells})

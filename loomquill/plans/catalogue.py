@@ -433,6 +433,63 @@ def q_column_order(s, d):
     return segment.column_order(b.withColumn("y0", F.struct("y", "x0", "p_partkey"))).select("p_partkey", "place")
 
 
+BLOCKS = "b AS (SELECT p_partkey, p_size AS page, CASE WHEN p_size % 2 = 1 THEN (p_partkey * 37 % 100) / 1000.0::DOUBLE + (p_partkey % 2) * 0.6::DOUBLE ELSE (p_partkey * 37 % 300) / 1000.0::DOUBLE END AS x, p_partkey * 91 % 800 AS y FROM part), g AS (SELECT *, x - lag(x) OVER (PARTITION BY page ORDER BY x) AS gap FROM b), s AS (SELECT page, max(x) - min(x) > 0.4 AS two, CASE WHEN max(gap) >= 0.1 THEN arg_max(x - gap / 2, struct_pack(g := gap, x := -x)) ELSE 0.5 END AS edge FROM g GROUP BY 1)"
+
+
+@query(f"WITH {BLOCKS} SELECT p_partkey, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN two AND x <= edge THEN 1 ELSE 0 END, y, p_partkey) AS place FROM b JOIN s USING (page)")
+def q_adaptive_columns(s, d):
+    k = F.col("p_partkey")
+    x = F.when(F.col("p_size") % 2 == 1, (k * 37 % 100) / F.lit(1000.0) + (k % 2) * F.lit(0.6)).otherwise((k * 37 % 300) / F.lit(1000.0))
+    return segment.adaptive_column_order(t(s, d, "part").select("p_partkey", F.col("p_size").alias("page"), x.alias("x"), (k * 91 % 800).alias("y")), "p_partkey").select("p_partkey", "place")
+
+
+@query(f"WITH {LINES}, near AS (SELECT doc_id, line_no, line, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS x FROM lines) SELECT doc_id, min(line_no) AS line_no FROM near WHERE contains(line, 'license') AND (contains(x, 'thing') OR contains(x, 'the')) GROUP BY 1")
+def q_marker_near_name(s, d):
+    return segment.first_marker_near(t(s, d, "documents"), "license", ["thing", "the"])
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type <> 'view' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS cell FROM events")
+def q_blanks_inherit(s, d):
+    e = t(s, d, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") != "view", F.col("event_type")).otherwise(" ").alias("cell"))
+    return segment.blanks_inherit(e, "user_id", ["ts", "event_id"], "cell").select("event_id", "cell")
+
+
+NAMED = "e AS (SELECT p_partkey AS ord, p_name AS name, p_brand || p_size AS key, CAST(p_size AS BIGINT) AS mentions, p_partkey % 7 AS session FROM part), o AS (SELECT * FROM e WHERE ord % 2 = 1), l AS (SELECT * FROM e WHERE ord % 4 = 0), k AS (SELECT DISTINCT key FROM e WHERE mentions = 1), p AS (SELECT DISTINCT key FROM e WHERE mentions = 2)"
+
+
+@query(f"WITH {NAMED}, gone AS (SELECT key, sum(mentions) AS m, list(session) AS s FROM o WHERE key IN (SELECT key FROM l) GROUP BY 1), h AS (SELECT key, min(ord) AS ord FROM l GROUP BY 1) SELECT 'location' AS kind, l.ord, l.name, CAST(l.mentions + coalesce(m, 0) AS BIGINT) AS mentions, len(list_distinct(list_concat([session], coalesce(s, [])))) AS n_sessions FROM l LEFT JOIN h ON l.ord = h.ord LEFT JOIN gone ON gone.key = h.key UNION ALL SELECT 'organization', ord, name, mentions, 1 FROM o WHERE key NOT IN (SELECT key FROM l) AND key NOT IN (SELECT key FROM k) AND key NOT IN (SELECT key FROM p)")
+def q_merge_cross_type(s, d):
+    e = t(s, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.concat("p_brand", F.col("p_size").cast("string")).alias("key"), F.col("p_size").cast("long").alias("mentions"), F.array(F.col("p_partkey") % 7).alias("sessions"))
+    out = resolve.merge_cross_type(e.where("ord % 2 = 1"), e.where("ord % 4 = 0"), e.where("mentions = 1"), e.where("mentions = 2"))
+    return out.select("kind", "ord", "name", "mentions", F.size("sessions").alias("n_sessions"))
+
+
+@query("WITH r AS (SELECT s_suppkey AS idx, s_name AS name, s_nationkey + 1 AS mentions FROM supplier), g AS (SELECT idx % 11 AS grp, idx AS pos, idx FROM r WHERE mentions < 12 UNION ALL SELECT 100 + idx % 5, -idx, idx FROM r WHERE mentions > 8), f AS (SELECT idx, min(struct_pack(grp := grp, pos := pos)) AS g FROM g GROUP BY 1), m AS (SELECT r.*, f.g.grp IS NULL AS alone, coalesce(f.g.grp, r.idx) AS id, f.g.pos AS pos FROM r LEFT JOIN f USING (idx)) SELECT b.idx AS idx, b.name AS name, mentions, n_members FROM (SELECT arg_min(struct_pack(idx := idx, name := name), struct_pack(p := coalesce(pos, 0), i := idx)) AS b, CAST(sum(mentions) AS BIGINT) AS mentions, count(*) AS n_members FROM m GROUP BY alone, id)")
+def q_merge_groups(s, d):
+    r = t(s, d, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_name").alias("name"), (F.col("s_nationkey") + 1).alias("mentions"))
+    g = r.where("mentions < 12").select((F.col("idx") % 11).alias("grp"), F.col("idx").alias("pos"), "idx").union(r.where("mentions > 8").select(100 + F.col("idx") % 5, -F.col("idx"), "idx"))
+    return resolve.merge_groups(r, g)
+
+
+LIMITS = {"PERSON": 3, "LOCATION": 2, "EVENT": 1}
+
+
+@query("WITH lim AS (SELECT unnest(['PERSON', 'LOCATION', 'EVENT']) AS type, unnest([3, 2, 1]) AS k), e AS (SELECT s_suppkey AS node, s_nationkey AS session, ['PERSON', 'LOCATION', 'EVENT'][CAST(s_suppkey % 3 + 1 AS BIGINT)] AS type, -s_acctbal AS ord FROM supplier), near AS (SELECT * FROM (SELECT c_custkey AS key, node, type, k, row_number() OVER (PARTITION BY c_custkey, type ORDER BY ord, node) AS r FROM customer JOIN e ON session = c_nationkey JOIN lim USING (type)) WHERE r <= k), first AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY ord, node) AS r FROM e), n AS (SELECT key, type, count(*) AS n FROM near GROUP BY 1, 2) SELECT key, node, type, 'MENTIONED_IN' AS edge, 2 AS weight FROM near UNION ALL SELECT c_custkey, f.node, f.type, 'RELATED_TO', 1 FROM customer JOIN first f ON f.r <= 3 JOIN lim ON lim.type = f.type LEFT JOIN n ON n.key = c_custkey AND n.type = f.type WHERE f.r <= lim.k - coalesce(n, 0)")
+def q_linked_padding(s, d):
+    e = t(s, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("session"), F.get(F.array(*map(F.lit, LIMITS)), (F.col("s_suppkey") % 3).cast("int")).alias("type"), (-F.col("s_acctbal")).alias("ord"))
+    return graph.padded_links(t(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("session")), e.select("node", "session"), e.select("node", "type", "ord"), LIMITS)
+
+
+@query("WITH m AS (SELECT l_partkey AS node, count(*) AS mentions FROM lineitem GROUP BY 1) SELECT node, mentions FROM m WHERE node % 10 <> 0 AND node IN (SELECT l_partkey FROM lineitem WHERE l_suppkey = 1 UNION ALL SELECT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 1)) ORDER BY mentions DESC, node LIMIT 30")
+def q_two_hop_top30(s, d):
+    li = t(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    part, order = F.concat(F.lit("p"), F.lpad(F.col("l_partkey").cast("string"), 19, "0")), F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))
+    edges = li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), part.alias("b"), F.lit("SUPPLIES").alias("type")).union(li.select(part, order, F.lit("MENTIONED_IN")))
+    nodes = li.groupBy("l_partkey").agg(F.count("*").alias("mentions")).select(part.alias("node"), "mentions", (F.col("l_partkey") % 10 == 0).alias("hidden"), F.col("l_partkey").alias("_k"))
+    found = graph.linked_nodes(edges, "s1", li.where("l_suppkey = 1").select(order.alias("session")), nodes)
+    return found.select(F.col("_k").alias("node"), "mentions")
+
+
 @query("SELECT CAST(epoch(time_bucket(INTERVAL 1 hour, ts)) AS BIGINT) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def x_event_window(s, d):
     """Extension: the reference has no event-time windows."""
