@@ -237,7 +237,7 @@ def repeated(docs: DataFrame, kind: Kind, unique: bool, id_col: str = "doc_id",
     with_text = asked.join(rows.select("id", "h", "text"), ["id", "h"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             for id_, h, want, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 t = kind.tokens(x.as_py())
                 data = [t[r["c0"] : r["c0"] + r["n"]].tobytes() for r in want]
