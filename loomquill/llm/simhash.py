@@ -159,30 +159,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, reach: int = 4, id_col: s
     joined = components(links(nodes, reach))
     named = nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return rows.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_groups(docs: DataFrame, shingle: int = 2, reach: int = 5, seeds: tuple[int, ...] = (42, 43, 44, 45), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every document with an id, linked by any of several fingerprints of its distinct shingles.
-
-    One fingerprint of long shingles at few bits misses most copies with a few changed words; several of short
-    shingles find copies from about 0.8 similar five-word shingles on (see the README for figures).
-    """
-    names = [f"fp{i}" for i in range(len(seeds))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([[simhash(x, shingle, s, True) for s in seeds] for x in (v.as_py() for v in b.column(1))], np.uint64).reshape(-1, len(seeds))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fps.T)], ["doc_id", *names])
-
-    made = texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
-    rows = written(made.where("doc_id is not null"), "simhashes")
-    nodes = written(rows.groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
-    found = None
-    for n in names:
-        heads = written(nodes.groupBy(F.col(n).alias("fp")).agg(F.min("node").alias("node")), "heads")
-        same = nodes.select(F.col(n).alias("fp"), F.col("node").alias("a")).join(heads.withColumnRenamed("node", "b"), "fp").where("a <> b").select("a", "b")
-        more = links(heads, reach).union(same)
-        found = more if found is None else found.union(more)
-    joined = components(found)
-    named = nodes.join(joined, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return rows.join(named, names).select("doc_id", "component_id")
