@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,6 @@ STRENGTH = 4.0
 FADE = 0.5
 #: Taken off every token's log-odds, so that the expected score is negative and passages end.
 DRIFT = 0.35
-#: The most words and stems that the model holds, those seen most often.
-MAX_WORDS = 60_000
 #: Segments of a document that the sum statistic looks at.
 BEST = 4
 MEMO = 120_000
@@ -42,21 +41,41 @@ EDGE = 200
 SUREST = 40.0
 
 
+@dataclass
+class Table:
+    """Log-odds of every word or stem of the labelled sample, by its 64-bit hash: 16 bytes each."""
+
+    keys: np.ndarray  # sorted
+    odds: np.ndarray
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log-odds, whether known) of hashes."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        return np.where(known, self.odds[at], 0.0), known
+
+
+def hashes(words: list[str]) -> np.ndarray:
+    """What Spark's xxhash64 gives for each word."""
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in words), np.uint64, len(words)).view(np.int64)
+
+
 @dataclass
 class Model:
-    odds: list[dict[str, float]]  # by stem of each length in STEMS, then by word: log-odds
+    odds: list[Table]  # by stem of each length in STEMS, then by word
     lam: float
     log_k: float
     slope: float = 1.0  # of the posterior's log-odds, by the log of the chance value
     offset: float = 0.0
 
-    def token(self, w: str) -> float:
-        got = self.odds[-1].get(w)
-        for table, n in reversed(list(zip(self.odds, STEMS, strict=False))):
-            if got is not None:
-                break
-            got = table.get(w[:n]) if len(w) > n else None
-        return (got or 0.0) - DRIFT
+    def tokens(self, words: list[str]) -> list[float]:
+        got, known = self.odds[-1].find(hashes(words))
+        for table, n in zip(reversed(self.odds[:-1]), reversed(STEMS), strict=True):
+            at = [i for i in np.flatnonzero(~known).tolist() if len(words[i]) > n]
+            got[at], known[at] = table.find(hashes([words[i][:n] for i in at]))
+        return (got - DRIFT).tolist()
 
 
 def segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
@@ -82,14 +101,15 @@ def segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, i
     return [(a, b, after - before) for a, b, before, after in out]
 
 
-def scan(text: str, score_of, memo: dict[str, float]) -> tuple[int, list[tuple[int, int, float]]]:
+def scan(text: str, scores_of, memo: dict[str, float]) -> tuple[int, list[tuple[int, int, float]]]:
     words = TOKEN.findall(text.lower())
     new = set(words).difference(memo)
     if len(memo) + len(new) > MEMO:
         memo.clear()
         new = set(words)
-    for w in new:
-        memo[w] = score_of(w)
+    if new:
+        new = list(new)
+        memo.update(zip(new, scores_of(new), strict=True))
     found = [memo[w] for w in words]
     # Mildly negative tokens count as plain drift, so a passage is judged by what speaks for it and by its length;
     # a word that comes again says less each time, as repeats aren't independent.
@@ -138,10 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     n_of = {(r.fold, r.label): r.n for r in known.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
     clean, toxic = (sum(n for (_, y), n in n_of.items() if y == label) for label in (0, 1))
 
-    def tables(folds: tuple[int, ...]) -> list[dict[str, float]]:
+    def tables(folds: tuple[int, ...]) -> list[Table]:
         of_clean, of_toxic = (sum(n_of.get((f, y), 0) for f in folds) for y in (0, 1))
         if not of_clean or not of_toxic:
-            return [{} for _ in (*STEMS, None)]
+            return [Table(np.empty(0, np.int64), np.empty(0)) for _ in (*STEMS, None)]
         picked = known.where(F.col("fold").isin(*folds) & F.col("label").isin(0, 1)).select("text", "label")
         counts = written(picked.mapInArrow(count, "w string, c long, t long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("t").alias("t")), "toxic-counts")
         return odds(counts, math.log(of_clean / of_toxic))
@@ -177,23 +197,23 @@ def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.05), float(w[1])
 
 
-def odds(counts: DataFrame, share: float) -> list[dict[str, float]]:
+def odds(counts: DataFrame, share: float) -> list[Table]:
     """Log-odds by stem and word from (w, c, t), the clean and toxic documents with each; share: log of clean to toxic documents."""
-    out: list[dict[str, float]] = []
+    out: list[Table] = []
     for n in (*STEMS, None):
         key = F.col("w") if n is None else F.substring("w", 1, n)
-        got = counts.groupBy(key.alias("w")).agg(F.sum("c").alias("c"), F.sum("t").alias("t")).orderBy(F.desc(F.col("c") + F.col("t")), "w").limit(MAX_WORDS).collect()
-        table: dict[str, float] = {}
-        for w, c, t in got:
-            up = 0.0
-            for m, above in zip(reversed(STEMS[: len(out)]), reversed(out), strict=True):
-                if len(w) > m and w[:m] in above:
-                    up = above[w[:m]]
-                    break
-            mean = 1 / (1 + math.exp(share - up))
-            p = (t + STRENGTH * mean) / (c + t + STRENGTH)
-            table[w] = math.log(p / (1 - p)) + share
-        out.append(table)
+        got = counts.groupBy(key.alias("w")).agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+        stems = [F.when(F.length("w") > m, F.xxhash64(F.substring("w", 1, m))).alias(f"s{m}") for m in STEMS[: len(out)]]
+        got = got.select(F.xxhash64("w").alias("h"), "c", "t", *stems).toArrow()
+        h, c, t = (got.column(x).to_numpy() for x in ("h", "c", "t"))
+        up = np.zeros(len(h))
+        for m, above in zip(STEMS, out, strict=False):  # the longest stem counts; the sample has every stem of its words
+            at = np.flatnonzero(got.column(f"s{m}").is_valid().to_numpy())
+            up[at] = above.find(got.column(f"s{m}").drop_null().to_numpy())[0]
+        mean = 1 / (1 + np.exp(share - up))
+        p = (t + STRENGTH * mean) / (c + t + STRENGTH)
+        order = np.argsort(h)
+        out.append(Table(h[order], (np.log(p / (1 - p)) + share)[order]))
     return out
 
 
@@ -204,7 +224,7 @@ def calibrate_on(known: DataFrame, model: Model) -> list:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
         for b in batches:
-            got = [scan(x.as_py(), shared.value.token, memo) for x in b.column(0)]
+            got = [scan(x.as_py(), shared.value.tokens, memo) for x in b.column(0)]
             tops = [sorted((s for *_, s in f), reverse=True)[:BEST] for _, f in got]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([t[0] if t else 0.0 for t in tops], pa.float64()), pa.array(tops, pa.list_(pa.float64()))], ["y", "n", "s", "best"])
 
@@ -217,7 +237,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
     Null and empty texts score near 0 and have no passage; rows that repeat are scored each; a null id is kept.
     Only passages that alone would pass the threshold are listed. Nothing is shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_WORDS entries a level
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # every word of a bounded sample, 16 bytes each
     passage = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +246,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
         for b in batches:
             p, kept = [], []
             for x in b.column(1):
-                n, found = scan(x.as_py(), m.token, memo)
+                n, found = scan(x.as_py(), m.tokens, memo)
                 p.append(posterior(m, evidence(m, n, found)))
                 kept.append([{"start": a, "end": e, "score": s} for a, e, s in found if posterior(m, evidence(m, n, [(a, e, s)])) >= threshold])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array([int(v >= threshold) for v in p], pa.int32()), pa.array(kept, pa.list_(passage))], ["doc_id", "score", "predicted", "segments"])
