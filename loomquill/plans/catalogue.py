@@ -87,7 +87,7 @@ def q_truncate_marker(s, d):
 
 @query("SELECT doc_id, CASE WHEN n_chars >= 1024 THEN regexp_replace(printf('%.1f', floor(n_chars / 1024.0 * 10 + 0.5) / 10), '\\.0$', '') || ' KB' ELSE n_chars || ' B' END AS size FROM documents WHERE n_chars < 1048576")
 def q_byte_format(s, d):
-    return t(s, d, "documents").where("n_chars < 1048576").select("doc_id", X.human_bytes(F.col("n_chars")).alias("size"))
+    return t(s, d, "documents").select("doc_id", X.human_bytes(F.col("n_chars")).alias("size"))
 
 
 @query("SELECT doc_id, i AS chunk_id, i * 500 AS start, md5(substring(text, i * 500 + 1, 500)) AS chunk FROM (SELECT doc_id, text, unnest(range(CAST(greatest(ceil(length(text) / 500.0), 1) AS BIGINT))) AS i FROM documents)")
