@@ -32,8 +32,6 @@ STRENGTH = 4.0
 FADE = 0.5
 #: Taken off every token's log-odds, so that the expected score is negative and passages end.
 DRIFT = 0.35
-#: Segments of a document that the sum statistic looks at.
-BEST = 4
 MEMO = 120_000
 #: Tokens that every text is taken to have besides its own: chance is no smaller in a very short one.
 EDGE = 200
@@ -125,7 +123,7 @@ def evidence(model: Model, n: int, found: list[tuple[int, int, float]]) -> float
     """log of the chance value of the best r segments together, least over r (sum statistic of extreme values)."""
     base = math.log(n + EDGE) + model.log_k
     x, least = 0.0, base
-    for r, s in enumerate(sorted((s for *_, s in found), reverse=True)[:BEST], 1):
+    for r, s in enumerate(sorted((s for *_, s in found), reverse=True), 1):
         x += model.lam * s - base
         if r > 1 and x <= r:  # the sum's law holds in its tail only
             break
@@ -168,13 +166,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
     model = Model(tables((0,)), 1.0, 0.0)
     got = calibrate_on(known.where(F.col("fold") == 2).where(F.col("label").isin(0, 1)).select("text", "label"), model)
-    y, n, s = (np.asarray([r[i] for r in got], float) for i in range(3))
+    y, n, s = (got.column(i).to_numpy().astype(float) for i in range(3))
     if toxic and clean and (y == 0).sum() >= 20:
         # Karlin's lambda is 1 for log-odds without drift; a Gumbel law's median and 0.98 point lie 3.5354 / lambda apart.
         middle, upper = np.quantile(s[y == 0], [0.5, 0.98])
         model.lam = min(1.0, 3.5354 / max(float(upper - middle), 1e-3))
         model.log_k = float(np.median((model.lam * s - np.log(n + EDGE))[y == 0])) + math.log(math.log(2))
-        x = np.minimum(SUREST, [-evidence(model, int(r.n), [(0, 0, v) for v in r.best]) for r in got])
+        x = np.minimum(SUREST, [-evidence(model, int(k), [(0, 0, v) for v in b.as_py()]) for k, b in zip(n, got.column(3), strict=True)])
         model.slope, model.offset = platt(x, y)
     elif not toxic:
         model.offset = -50.0
@@ -217,18 +215,18 @@ def odds(counts: DataFrame, share: float) -> list[Table]:
     return out
 
 
-def calibrate_on(known: DataFrame, model: Model) -> list:
-    """(label, tokens, best score, best scores) of each text of a bounded sample."""
+def calibrate_on(known: DataFrame, model: Model) -> pa.Table:
+    """(label, tokens, best score, all scores from the best) of each text of a bounded sample."""
     shared = known.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
         for b in batches:
             got = [scan(x.as_py(), shared.value.tokens, memo) for x in b.column(0)]
-            tops = [sorted((s for *_, s in f), reverse=True)[:BEST] for _, f in got]
+            tops = [sorted((s for *_, s in f), reverse=True) for _, f in got]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([t[0] if t else 0.0 for t in tops], pa.float64()), pa.array(tops, pa.list_(pa.float64()))], ["y", "n", "s", "best"])
 
-    return known.mapInArrow(run, "y int, n long, s double, best array<double>").collect()
+    return known.mapInArrow(run, "y int, n long, s double, best array<double>").toArrow()
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
