@@ -37,10 +37,3 @@ def test_every_word_of_the_sample_keeps_its_own_score(spark):
     np.testing.assert_allclose(model.tokens(words), [want[w] - toxicity.DRIFT for w in words], atol=1e-9)
     stem = model.tokens(["abcdefgh", "abcdq", "none at all", "ab"])
     assert stem[2] == stem[3] == -toxicity.DRIFT and stem[0] != stem[1]
-
-
-def test_every_passage_counts():
-    m = toxicity.Model([], 1.0, -math.log(toxicity.EDGE))
-    x = 8 * 1.5
-    want = -x + 7 * math.log(x) - math.lgamma(9) - math.lgamma(8)
-    assert math.isclose(toxicity.evidence(m, 0, [(0, 1, 1.5)] * 8), want)
