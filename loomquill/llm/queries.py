@@ -58,5 +58,11 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_best_fit_packing, op4_recompression, op5_quality, op6_exact_top_k, op7_simhash, op8_token_files, op9_byte_bpe, op10_fingerprints)}
 
 
+#: DuckDB SQL of the operators that it can express: whole numbers up to 2^53 are exact in its inner product.
+TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_top_k": TOP_K}

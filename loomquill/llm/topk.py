@@ -1,35 +1,47 @@
 """Exact top-k inner products by the three-phase uniform threshold.
 
-The components of a vector are dealt to fragments, each a list of partial scores. Phase one gathers, for
-every query and fragment, the best few partial scores and the least one; with the least taken off, sums of
-what is known bound the k-th best total from below. Phase two sends that cutoff out: a vector can only
-reach it if some fragment gives at least its uniform share, so only such entries are collected. Phase
-three scores them exactly. Each partition keeps k entries a query at most, so nothing grows with the pairs.
+The components of a vector are dealt to fragments; every fragment of a pair gives a partial score. Phase one:
+each task makes the score list of the first fragments alone, resolves the few best entries of every query's
+list exactly and sends those scores in. The k-th best of all that came in is a cutoff that no answer falls
+below. Phase two: the cutoffs go out, and each task collects the entries that can still reach them: to a
+pair's partial score over the fragments seen the rest can add no more than the product of the lengths of what
+is left, so a pair leaves as soon as that falls short. Phase three: the entries left are scored exactly, and
+each task keeps k a query. Most pairs are never scored in full, and nothing sent grows with the pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from math import floor
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh_path, written
 
-#: Queries that are sent out at once; more make more blocks.
-BLOCK = 2048
-FRAGMENTS = 4
+#: Queries that are sent out at once, and how many of them a task takes at a time.
+BLOCK, AT_ONCE = 32_768, 1024
+FRAGMENTS = 8
+#: Fragments whose score list phase one makes.
+LISTED = 2
+#: Entries of that list that phase one resolves, for each entry asked for.
+DEPTH = 4
 #: Vectors that are scored at once.
 ROWS = 1024
+#: Below this share of pairs left they are followed one by one; above it, as a matrix.
+FEW = 0.15
+#: Candidates that a task holds before it keeps the best of them.
+HELD = 400_000
 #: Sums up to here are exact in doubles.
 EXACT = 2**53
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def quantised(b: pa.RecordBatch, scale: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(ids, vectors) of the rows that take part: no null id, vector or component, all components finite."""
+    """(ids, vectors of whole numbers) of the rows that take part: no null id, vector or component, all components finite."""
     ids, rows = [], []
     for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
         if i is None or not v.is_valid:
@@ -37,10 +49,15 @@ def quantised(b: pa.RecordBatch, scale: float) -> tuple[np.ndarray, list[np.ndar
         a = v.values
         if a.null_count:
             continue
-        x = np.floor(np.asarray(a.to_numpy(zero_copy_only=False), np.float64) * scale)
-        if np.isfinite(x).all():
-            ids.append(i)
-            rows.append(x)
+        a = np.asarray(a.to_numpy(zero_copy_only=False), np.float64)
+        if not np.isfinite(a).all():
+            continue
+        with np.errstate(over="ignore"):
+            x = np.floor(a * scale)
+        if not np.isfinite(x).all() or np.abs(x).max(initial=0) >= EXACT:
+            x = np.array([floor(Fraction(c) * Fraction(scale)) for c in a.tolist()], object)
+        ids.append(i)
+        rows.append(x)
     return np.asarray(ids, np.int64), rows
 
 
@@ -53,21 +70,99 @@ def by_length(ids: np.ndarray, rows: list[np.ndarray]) -> dict[int, tuple[np.nda
     return {n: (np.asarray(a, np.int64), np.stack(b)) for n, (a, b) in out.items()}
 
 
-def product(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """q v', exact: in doubles where no sum can pass 2^53, else in Python's integers."""
-    if not q.shape[1] or np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * q.shape[1] < EXACT:
-        return q @ v.T
+def exact(q: np.ndarray, v: np.ndarray) -> bool:
+    """Whether doubles hold every sum of q v' exactly."""
+    return q.dtype != object and v.dtype != object and (not q.size or not v.size or np.abs(q).max() * np.abs(v).max() * q.shape[1] < EXACT)
+
+
+def in_integers(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """q v' in Python's integers, cut to what a long holds."""
     whole = np.vectorize(int, otypes=[object])
-    return whole(q) @ whole(v).T
+    if not q.size or not v.size:
+        return np.zeros((len(q), len(v)), np.int64)
+    return np.vectorize(lambda s: min(max(s, LEAST), MOST), otypes=[np.int64])(whole(q) @ whole(v).T)
+
+
+def parts(n: int) -> list[tuple[int, int]]:
+    return [(n * f // FRAGMENTS, n * (f + 1) // FRAGMENTS) for f in range(FRAGMENTS)]
+
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Length of what is left of each vector behind each fragment: one column a fragment."""
+    return np.stack([np.sqrt((x[:, b:] ** 2).sum(1)) for _, b in parts(x.shape[1])], 1)
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest of a row, ties to the smaller id."""
-    at = np.arange(len(scores))
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= least)
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+
+def listed(q: np.ndarray, v: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phase one for some vectors: (query, vector, exact score) of the best of each query's list of the first fragments."""
+    b = parts(q.shape[1])[LISTED - 1][1]
+    first = q[:, :b] @ v[:, :b].T
+    first[own] = -np.inf
+    many = min(len(v), k * DEPTH)
+    at = np.argpartition(-first, many - 1, axis=1)[:, :many] if many < len(v) else np.broadcast_to(np.arange(len(v)), first.shape)
+    j, i = np.repeat(np.arange(len(q)), many), at.reshape(-1)
+    on = ~own[j, i]
+    j, i = j[on], i[on]
+    return j, i, np.einsum("ij,ij->i", q[j], v[i])
+
+
+def collected(q: np.ndarray, v: np.ndarray, own: np.ndarray, cutoff: np.ndarray, work: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phases two and three for some vectors: (query, vector, exact score) of every pair that reaches its query's cutoff.
+
+    work, if given, has the numbers of partial products and of full ones added to it.
+    """
+    left_q, left_v = lengths(q), lengths(v)
+    score = np.zeros((len(q), len(v)))
+    alive = ~own
+    j = i = s = None
+    for f, (a, b) in enumerate(parts(q.shape[1])):
+        if j is None and f and np.count_nonzero(alive) < FEW * alive.size:
+            j, i = np.nonzero(alive)
+            s = score[j, i]
+        if j is None:
+            score += q[:, a:b] @ v[:, a:b].T
+            if work is not None:
+                work[0] += alive.size
+            # A little is added against the rounding of lengths; the scores themselves are exact.
+            alive &= score + np.outer(left_q[:, f], left_v[:, f]) * (1 + 1e-9) + 1e-3 >= cutoff[:, None]
+        else:
+            s = s + np.einsum("ij,ij->i", q[j, a:b], v[i, a:b])
+            if work is not None:
+                work[0] += len(j)
+            on = s + left_q[j, f] * left_v[i, f] * (1 + 1e-9) + 1e-3 >= cutoff[j]
+            j, i, s = j[on], i[on], s[on]
+    if j is None:
+        j, i = np.nonzero(alive)
+        s = score[j, i]
+    on = s >= cutoff[j]
+    if work is not None:
+        work[1] += int(on.sum())
+    return j[on], i[on], s[on]
+
+
+class Best:
+    """The k highest scores of each query among what was added, ties to the smaller id."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.held, self.size = k, [], 0
+
+    def add(self, j: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
+        if len(j):
+            self.held.append((j.astype(np.int64), ids.astype(np.int64), s.astype(np.int64)))
+            self.size += len(j)
+            if self.size > HELD:
+                self.held = [self.kept()]
+                self.size = len(self.held[0][0])
+
+    def kept(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return (np.empty(0, np.int64),) * 3
+        j, ids, s = (np.concatenate([h[c] for h in self.held]) for c in range(3))
+        order = np.lexsort((ids, -s, j)) if s.min() > LEAST else np.lexsort((ids, -(s.astype(np.float64)), j))
+        j, ids, s = j[order], ids[order], s[order]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(j)) + 1])
+        place = np.arange(len(j)) - np.repeat(first, np.diff(np.append(first, len(j))))
+        on = place < self.k
+        return j[on], ids[on], s[on]
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -75,96 +170,75 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
 
     Queries are the rows whose id is divisible by `every`. Rows with a null id, a null vector or null or
     non-finite components take no part; vectors of another length than the query's aren't its candidates; a row
-    never answers a query of its own id; rows that repeat count each. Fewer candidates give fewer rows.
+    never answers a query of its own id; rows that repeat count each. Fewer candidates give fewer rows. Scores
+    that a long can't hold are given as its least or greatest value, tied. An empty table gives no rows.
+
+    Queries go out in blocks of bounded size, whatever their ids; each block reads the vectors twice, and its
+    answers are written before the next one.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    asked = written(base.where(F.col("id") % every == 0), "asked")
+    asked = base.where(F.col("id") % every == 0)
     blocks = max(1, -(-asked.count() // block))
-    parts = [_one_block(base, asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i), k, scale) for i in range(blocks)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    w = Window.partitionBy("query", "query_row").orderBy(F.desc("score"), "vec_id")
+    # Numbers that are written once: rows of one id are dealt to all blocks.
+    asked = written(asked.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")), "asked")
+    path = fresh_path(spark, "answers")
+    schema = "query long, row long, vec_id long, score long"
+    for i in range(blocks):
+        _one_block(base, asked.where(F.col("block") == i).select("id", "v"), i, k, scale, path)
+    found = spark.read.schema(schema).parquet(path)
+    w = Window.partitionBy("query", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
 
 
-def _one_block(base: DataFrame, asked: DataFrame, k: int, scale: float) -> DataFrame:
+def _one_block(base: DataFrame, asked: DataFrame, number: int, k: int, scale: float, path: str) -> None:
     spark = base.sparkSession
-    got = asked.toArrow().combine_chunks()  # about `block` rows
-    batches = got.to_batches() or [pa.RecordBatch.from_pydict({"id": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float64()))})]
-    q = [quantised(b, scale) for b in batches]
-    queries = by_length(np.concatenate([i for i, _ in q]), [r for _, rows in q for r in rows])
+    got = [quantised(b, scale) for b in asked.toArrow().combine_chunks().to_batches()]  # about `block` rows
+    queries = by_length(np.concatenate([i for i, _ in got] or [np.empty(0, np.int64)]), [r for _, rows in got for r in rows])
     shared = spark.sparkContext.broadcast(queries)
-    cuts = lambda n: [(n * f // FRAGMENTS, n * (f + 1) // FRAGMENTS) for f in range(FRAGMENTS)]
 
     def slices(batches: Iterator[pa.RecordBatch]):
+        """(length, place of the first query, their ids, queries, vector ids, vectors, which pairs are of one id)."""
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 for n, (ids, v) in by_length(*quantised(b.slice(at, ROWS), scale)).items():
                     if n in shared.value:
-                        yield n, ids, v, *shared.value[n]
+                        qids, q = shared.value[n]
+                        for start in range(0, len(qids), AT_ONCE):
+                            some = slice(start, start + AT_ONCE)
+                            yield n, start, q[some], ids, v, qids[some][:, None] == ids[None, :]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
-        for n, ids, v, qids, q in slices(batches):
-            keys = np.asarray([xxhash.xxh64_intdigest(r.tobytes(), i & 2**63 - 1) for i, r in zip(ids.tolist(), v, strict=True)], np.uint64).view(np.int64)
-            for f, (a, b) in enumerate(cuts(n)):
-                part = product(q[:, a:b], v[:, a:b])
-                lows = part.min(1)
-                for j in range(len(qids)):
-                    row = part[j]
-                    at = best(row, ids, k + 1)
-                    at = at[ids[at] != qids[j]][:k]
-                    old = held.get((n, f, j))
-                    if old is None:
-                        held[n, f, j] = [lows[j], row[at], keys[at]]
-                        continue
-                    s, key = np.concatenate([old[1], row[at]]), np.concatenate([old[2], keys[at]])
-                    top = np.argsort(-s, kind="stable")[:k]
-                    held[n, f, j] = [min(old[0], lows[j]), s[top], key[top]]
-        rows = [(n, j, f, int(low), [int(x) for x in s], key.tolist()) for (n, f, j), (low, s, key) in held.items()]
-        if rows:
-            cols = list(zip(*rows, strict=True))
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["n", "j", "f", "low", "s", "key"])
-
-    lists = written(base.mapInArrow(gather, "n int, j int, f int, low long, s array<long>, key array<long>"), "score-lists")
-    lows = lists.groupBy("n", "j", "f").agg(F.min("low").alias("least"))
-    known = lists.select("n", "j", "f", F.explode(F.arrays_zip("s", "key")).alias("x")).groupBy("n", "j", "f", "x.key").agg(F.max("x.s").alias("s"))
-    sums = known.join(F.broadcast(lows), ["n", "j", "f"]).groupBy("n", "j", "key").agg(F.sum(F.col("s") - F.col("least")).alias("s"))  # lows: FRAGMENTS rows a query of the block
-    kth = sums.withColumn("r", F.row_number().over(Window.partitionBy("n", "j").orderBy(F.desc("s")))).where(F.col("r") == k).select("n", "j", "s")
-    least: dict[int, np.ndarray] = {n: np.zeros((FRAGMENTS, len(i))) for n, (i, _) in queries.items()}
-    cutoff: dict[int, np.ndarray] = {n: np.full(len(i), -np.inf) for n, (i, _) in queries.items()}
-    for r in lows.collect():
-        least[r.n][r.f, r.j] = r.least
-    for r in kth.collect():
+        best: dict[int, Best] = {}
+        for n, start, q, ids, v, own in slices(batches):
+            if n and exact(q, v):
+                j, i, s = listed(q, v, own, k)
+                best.setdefault(n, Best(k)).add(j + start, ids[i], s)
+        for n, b in best.items():
+            j, _, s = b.kept()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), n, np.int32)), pa.array(j), pa.array(s)], ["n", "j", "s"])
+
+    lists = base.mapInArrow(gather, "n int, j long, s long")
+    place = F.row_number().over(Window.partitionBy("n", "j").orderBy(F.desc("s")))
+    cutoff = {n: np.full(len(i), -np.inf) for n, (i, _) in queries.items()}
+    for r in lists.withColumn("r", place).where(F.col("r") == k).select("n", "j", "s").collect():  # a number a query of the block
         cutoff[r.n][r.j] = r.s
-    sent = spark.sparkContext.broadcast((least, cutoff))  # FRAGMENTS + 1 numbers a query of the block
+    sent = spark.sparkContext.broadcast(cutoff)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, cut = sent.value
-        held: dict[tuple[int, int], list] = {}
-        for n, ids, v, qids, q in slices(batches):
-            parts = [product(q[:, a:b], v[:, a:b]) for a, b in cuts(n)]
-            share = (cut[n] / FRAGMENTS)[:, None]
-            may = np.zeros(parts[0].shape, bool)
-            for f, p in enumerate(parts):
-                may |= p - low[n][f][:, None] >= share
-            total = parts[0]
-            for p in parts[1:]:
-                total = total + p
-            may &= total >= (cut[n] + low[n].sum(0))[:, None]
-            may &= ids[None, :] != qids[:, None]
-            for j in np.flatnonzero(may.any(1)).tolist():
-                at = np.flatnonzero(may[j])
-                s, i = total[j, at], ids[at]
-                if (old := held.get((n, j))) is not None:
-                    s, i = np.concatenate([old[0], s]), np.concatenate([old[1], i])
-                top = best(s, i, k)
-                held[n, j] = [s[top], i[top]]
-        rows = [(int(shared.value[n][0][j]), n * 2**32 + j, int(i), int(s)) for (n, j), (ss, ii) in held.items() for s, i in zip(ss, ii, strict=True)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["query", "query_row", "vec_id", "score"])
-
-    return base.mapInArrow(resolve, "query long, query_row long, vec_id long, score long")
+        best: dict[int, Best] = {}
+        for n, start, q, ids, v, own in slices(batches):
+            if n and exact(q, v):
+                j, i, s = collected(q, v, own, sent.value[n][start : start + len(q)])
+            else:  # beyond doubles, or without components: all pairs, in integers
+                j, i = np.nonzero(~own)
+                s = in_integers(q, v)[j, i]
+            best.setdefault(n, Best(k)).add(j + start, ids[i], s)
+        for n, b in best.items():
+            j, ids, s = b.kept()
+            row = (np.int64(number) << np.int64(40)) + (np.int64(n) << np.int64(20)) + j
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value[n][0][j]), pa.array(row), pa.array(ids), pa.array(s)], ["query", "row", "vec_id", "score"])
+
+    base.mapInArrow(resolve, "query long, row long, vec_id long, score long").write.mode("append").parquet(path)
+    sent.destroy()
+    shared.destroy()
