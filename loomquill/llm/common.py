@@ -48,7 +48,7 @@ def _clean() -> None:
         try:
             remove(spark, path)
         except Exception:  # noqa: BLE001  the session may have stopped already
-            return
+            continue
 
 
 def written(df: DataFrame, name: str, passing: list[str] | None = None) -> DataFrame:
@@ -80,6 +80,27 @@ def trimmed() -> Iterator[None]:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: Keys of more rows than this, and than one in ten thousand of all, are dealt out in a join.
+CROWD = 2_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], times: str, by: list[str]) -> DataFrame:
+    """left joined to right, which has each key once and how many rows of left have it (about) in `times`.
+
+    The rows of very frequent keys are dealt out by the columns `by`, and right's row is repeated for each deal, so
+    no task gets all rows of a key. Fewer than 10,000 keys can be that frequent, so these alone are broadcast.
+    """
+    total = right.agg(F.sum(times)).first()[0] or 0
+    limit = max(CROWD, total // 10_000)
+    hot = right.where(F.col(times) > limit).select(*on, F.ceil(F.col(times) / limit).cast("int").alias("_deals"))
+    if hot.isEmpty():
+        return left.join(right, on)
+    hot, deals = F.broadcast(hot), F.coalesce("_deals", F.lit(1))
+    dealt = left.join(hot, on, "left").withColumn("_deal", F.pmod(F.xxhash64(*by), deals).cast("int")).drop("_deals")
+    each = right.join(hot, on, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("_deals")
+    return dealt.join(each, [*on, "_deal"]).drop("_deal")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

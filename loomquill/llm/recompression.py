@@ -1,29 +1,35 @@
 """Substring dedup by recompression.
 
-Words become names; rounds then name runs and pairs: of two neighbours the left one of class 0 and the right
-one of class 1 merge, a class being a bit of the name's hash in that round. A name is a hash of what it
-stands for, so all documents agree on it without a dictionary and no round moves data. Whether two
-neighbours merge depends on them alone, so equal substrings have equal symbols but for a margin at each
-end. The symbols' starts, with their margins, are the anchors that `repeats` counts across documents and
-verifies word by word.
+Words become names; rounds over the whole corpus then name runs and pairs. In a round every name is of class 0 or
+1, and of two neighbours the left one of class 0 and the right one of class 1 merge. Which classes a round takes is
+settled by counting, over all documents, how many pairs each of some splits would merge: the one that merges most
+is sent out, and holds for the whole corpus. Whether two neighbours merge depends on them alone, so equal
+substrings have equal symbols but for a margin at each end. Of the symbols whose margins lie in a window the one
+of least name is the window's anchor: `repeats` finds the symbols that several places share, with the words
+around them, orders what lies around them and compares what is taken to be equal byte by byte.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import HELD, Kind, covered, mix, prefix, repeated, span_hash, unique_ids, with_spans
+from .repeats import HELD, Kind, covered, keyed, mix, repeated, unique_ids, with_spans
 
 #: A run this long is named by its two ends; its inside gives way to them.
 RUN = 2
 #: Words on the left and, from a symbol's start, on the right that a symbol of two rounds can depend on.
 LEFT, RIGHT = 4, 8
+ROUNDS = 2
+#: Splits into classes that a round counts.
+SPLITS = 4
 LAST = np.uint64(2**64 - 1)
 
 
@@ -36,74 +42,129 @@ def spaced(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def tokens(text: str) -> np.ndarray:
-    raw = text.encode("utf-8", "surrogatepass")
-    start, end = spaced(raw)
-    return span_hash(prefix(np.frombuffer(raw, np.uint8).astype(np.uint64)), start, end)
+def cut(text: str) -> tuple[bytes, np.ndarray]:
+    """(words joined by single blanks, begin of each and what follows the last)."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    at = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
+    return b" ".join(words), at
+
 
+def values(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words as numbers of a dictionary that holds for these spans."""
+    words = [s.split() for s in spans]
+    number: dict[bytes, int] = {}
+    for ws in words:
+        for w in ws:
+            if w not in number:
+                number[w] = len(number)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    return np.fromiter((number[w] for ws in words for w in ws), np.uint64, int(size.sum())), size
 
-def run_places(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def run_places(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(place in its run, length of its run) of every word."""
-    new = np.ones(len(t), bool)
-    new[1:] = t[1:] != t[:-1]
+    n = len(words)
+    new = np.ones(n, bool)
+    new[1:] = ~np.fromiter(map(eq, words[1:], words), bool, max(0, n - 1))
     first = np.flatnonzero(new)
-    length = np.diff(np.concatenate([first, [len(t)]]))
-    return np.arange(len(t)) - np.repeat(first, length), np.repeat(length, length)
+    length = np.diff(np.concatenate([first, [n]]))
+    return np.arange(n) - np.repeat(first, length), np.repeat(length, length)
+
+
+def ones(name: np.ndarray, r: int, split: int) -> np.ndarray:
+    """Whether names are of class 1 in a round under a split."""
+    return (mix(name + np.uint64(0x632BE59BD9B4E019 * (1 + r + 16 * split) % 2**64)) & np.uint64(1)).astype(bool)
+
+
+def pairs(name: np.ndarray, fixed: np.ndarray, r: int, split: int) -> np.ndarray:
+    """Left ends of the pairs that a round merges."""
+    one, free = ones(name, r, split), ~fixed
+    left = np.zeros(len(name), bool)
+    left[:-1] = free[:-1] & free[1:] & ~one[:-1] & one[1:]
+    return left
+
 
+def compress(words: list[bytes], at: np.ndarray, length: np.ndarray, splits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, name, whether of a run) of the symbols after rounds of these splits.
 
-def compress(t: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(start, name) of the symbols after the rounds. Words of long runs stay by themselves; the ends have names of their own."""
-    at, length = run_places(t)
-    long = length >= RUN
-    ends = long & ((at == 0) | (at == length - 1))
+    Words of long runs stay by themselves; their ends have names of their own.
+    """
+    t = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    fixed = length >= RUN
+    ends = fixed & ((at == 0) | (at == length - 1))
     name = mix(t + ends.astype(np.uint64) * (at == 0) + np.uint64(2) * (ends & (at > 0)).astype(np.uint64))
-    start, fixed = np.arange(len(t)), long
-    for r in range(rounds):
-        one = (mix(name + np.uint64(0x632BE59BD9B4E019 * (r + 1) % 2**64)) & np.uint64(1)).astype(bool)
-        free = ~fixed
-        left = np.zeros(len(name), bool)
-        left[:-1] = free[:-1] & free[1:] & ~one[:-1] & one[1:]
+    start = np.arange(len(t))
+    for r, split in enumerate(splits):
+        left = pairs(name, fixed, r, split)
         right = np.zeros(len(name), bool)
         right[1:] = left[:-1]
         merged = name.copy()
         merged[:-1][left[:-1]] = mix(name[:-1] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(r + 1) + mix(name[1:]))[left[:-1]]
         keep = ~right
         start, name, fixed = start[keep], merged[keep], fixed[keep]
-    return start, name
+    return start, name, fixed
+
+
+def agreed(rows: DataFrame, rounds: int = ROUNDS) -> tuple[int, ...]:
+    """The split of each round, one pass over all texts a round: the one that merges most pairs, the first of equals."""
+    splits: tuple[int, ...] = ()
+    for r in range(rounds):
+
+        def count(batches: Iterator[pa.RecordBatch], r: int = r, before: tuple[int, ...] = splits) -> Iterator[pa.RecordBatch]:
+            merged = np.zeros(SPLITS, np.int64)
+            for b in batches:
+                for x in b.column(0):
+                    words = x.as_py().encode("utf-8", "surrogatepass").split()
+                    if len(words) > 1:
+                        _, name, fixed = compress(words, *run_places(words), before)
+                        merged += [np.count_nonzero(pairs(name, fixed, r, s)) for s in range(SPLITS)]
+            yield pa.RecordBatch.from_pydict({"split": pa.array(range(SPLITS), pa.int32()), "n": pa.array(merged)})
 
+        counted = rows.select("text").mapInArrow(count, "split int, n long").groupBy("split").agg(F.sum("n").alias("n"))
+        best = counted.orderBy(F.desc("n"), "split").first()
+        splits = (*splits, best.split if best else 0)
+    return splits
 
-def kind(window: int = 20, rounds: int = 2) -> Kind:
+
+def kind(splits: tuple[int, ...], window: int = 20, bits: int = 64) -> Kind:
     """Anchors: of the symbols whose margins lie in a window, the one of least name; windows inside a run have the first alone."""
     if window < LEFT + RIGHT + 4:
         raise ValueError(f"windows of fewer than {LEFT + RIGHT + 4} words may hold no symbol with its margins")
-
-    def anchors(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, length = run_places(t)
-        start, name = compress(t, rounds)
-        value = np.full(len(t), LAST)
+    if len(splits) > ROUNDS:
+        raise ValueError(f"the margins hold for {ROUNDS} rounds at most")
+
+    def anchors(raw: bytes, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = raw.split()
+        n = len(words)
+        at, length = run_places(words)
+        start, name, _ = compress(words, at, length, splits)
+        value = np.full(n, LAST)
         value[start] = np.minimum(mix(name + np.uint64(77)), LAST - np.uint64(1))
         inside = (length >= RUN) & (at > 0) & (at < length - 1)
         value[inside] = LAST
         reach = window - LEFT - RIGHT + 1
-        p = np.arange(len(t) - window + 1)
+        p = np.arange(n - window + 1)
         alone = length[p] - at[p] >= window  # all words of the window are one
-        seen = np.lib.stride_tricks.sliding_window_view(value[LEFT : len(t) - RIGHT + 1], reach)
+        seen = np.lib.stride_tricks.sliding_window_view(value[LEFT : n - RIGHT + 1], reach)
         busy = p[~alone]
         got = np.unique(busy + LEFT + np.argmin(seen[busy], axis=1)) if len(busy) else np.empty(0, np.int64)
         whole = p[alone & (at[p] == 0)]
         return np.concatenate([got - LEFT, whole]), np.concatenate([got + RIGHT, whole + window])
 
-    return Kind(window, tokens, anchors, later=True)
+    return Kind(window, cut, anchors, values, gap=1, later=True, bits=bits)
 
 
-def inner_runs(t: np.ndarray, window: int) -> list[dict[str, int]]:
+def inner_runs(words: list[bytes], window: int) -> list[dict[str, int]]:
     """Window starts inside one long run, which repeat the run's first window."""
-    at, length = run_places(t)
+    if len(words) <= window or sum(map(eq, words[1:], words)) < window:
+        return []
+    at, length = run_places(words)
     heads = np.flatnonzero((at == 0) & (length > window))
     return [{"a": int(i) + 1, "b": int(i + length[i] - window)} for i in heads]
 
 
-def repeated_words(docs: DataFrame, window: int = 20, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
+def repeated_words(docs: DataFrame, window: int = 20, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", held: int = HELD, bits: int = 64) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept, removed array<struct<start,end>>) of every document.
 
     A word goes if a window of `window` words that covers it also starts earlier: in a document of smaller id,
@@ -123,7 +184,7 @@ def repeated_words(docs: DataFrame, window: int = 20, rounds: int = 2, id_col: s
                     raw = x.as_py().encode("utf-8", "surrogatepass")
                     words = raw.split()
                     n = len(words)
-                    gone = covered([*(found or []), *(inner_runs(tokens(x.as_py()), window) if n > window else [])], window, n)
+                    gone = covered([*(found or []), *inner_runs(words, window)], window, n)
                     ends = [0, *(e for _, e in gone)]
                     kept = [w for a, z in zip(ends, [*(a for a, _ in gone), n], strict=True) for w in words[a:z]]
                     joined = b" ".join(kept)
@@ -132,15 +193,16 @@ def repeated_words(docs: DataFrame, window: int = 20, rounds: int = 2, id_col: s
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(span))
                 yield pa.RecordBatch.from_arrays([s.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "removed"])
 
-    return with_spans(docs, kind(window, rounds), id_col, text_col, held).mapInArrow(run, out)
+    k = kind(agreed(keyed(docs, id_col, text_col, True), rounds), window, bits)
+    return with_spans(docs, k, id_col, text_col, held).mapInArrow(run, out)
 
 
-def without_repeats(docs: DataFrame, window: int = 50, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 50, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """The documents, all columns, less the words that `repeated_words` removes; what stays keeps its own white space.
 
     Texts without repeats come out unchanged, null ones too; size_col, where given and present, is counted anew.
     """
-    k = kind(window, rounds)
+    k = kind(agreed(keyed(docs, id_col, text_col, True), rounds), window)
     unique = unique_ids(docs, id_col)
     spans = repeated(docs, k, unique, id_col, text_col).withColumnsRenamed({"id": "_id", "h": "_h", "spans": "_spans"})
     marked = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "_h": F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
@@ -165,7 +227,7 @@ def cleaned(text: str, spans: list | None, window: int) -> str:
     raw = text.encode("utf-8", "surrogatepass")
     start, end = spaced(raw)
     n = len(start)
-    gone = covered([*(spans or []), *(inner_runs(tokens(text), window) if n > window else [])], window, n)
+    gone = covered([*(spans or []), *inner_runs(raw.split(), window)], window, n)
     if not gone:
         return text
     out, last = [], 0

@@ -4,10 +4,15 @@
    window. Windows that are equal hold the same anchor, so only suffixes near an anchor seen twice can repeat.
    Text that repeats with a short period gives one context again and again: a document tells of it once.
 2. Anchors are counted by their hash; of those seen twice, occurrences with the same surroundings (all windows
-   that hold the anchor) are one context. Windows of a context that occurs twice repeat; nothing is compared.
+   that hold the anchor) are one context, by two 64-bit hashes. Windows of a context that occurs twice repeat:
+   what lies next to each other in both documents is put together to runs, and every run is compared with the
+   run it is taken to repeat, byte by byte. Should one differ, all is done again under other hashes.
 3. Where an anchor has several contexts, the suffixes of one occurrence of each are ordered through the window's
-   tokens alone by most-significant-digit passes, singletons going after each pass; equal groups are the
-   repeated windows. An anchor with more contexts than a task should hold is dealt out by window hash instead.
+   tokens alone by most-significant-digit passes, singletons going after each pass; equal groups, whose tokens
+   are compared, are the repeated windows. An anchor with more contexts than a task should hold is parted by
+   longer anchors: a window reaches half of what it lacks to the left of the anchor or to the right, so that
+   half is the next digit. The passes go on, over the cluster, until groups are small or the digits spell the
+   window.
 """
 
 from __future__ import annotations
@@ -18,22 +23,25 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, partitions, release, remove, trimmed, written
+from .common import fresh_path, release, remove, spread_join, trimmed, written
 
-#: Contexts of one anchor that a task orders in memory; anchors with more are dealt out by window.
+#: Contexts of one anchor that a task orders in memory; anchors with more are parted first.
 HELD = 10_000
 #: Suffixes that are ordered at once.
 AT_ONCE = 400_000
+#: How often the work is done under other hashes before an error is raised.
+TRIES = 20
 
-#: One row for equal contexts of a document: c0 is where the first begins, more where the others do (null: nowhere).
-ANCHORS = "ah long, ch long, id long, h long, c0 int, n int, o int, more array<int>"
+#: One row for equal contexts of a document: c0 is where the first begins, more where the others do (null: nowhere);
+#: n tokens, the anchor of l tokens o behind their begin.
+ANCHORS = "ah long, ch long, id long, h long, c0 int, n int, o int, l int, more array<int>"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -58,18 +66,34 @@ def prefix(values: np.ndarray) -> np.ndarray:
 
 
 def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end], alike at every place, from prefix sums."""
+    """Quick hash of values[start:end], alike at every place, from prefix sums. It chooses places and sorts; it never decides that tokens are equal."""
     return mix((p[end] - p[start]) * _power(len(p))[1][start] + (end - start).astype(np.uint64))
 
 
 @dataclass(frozen=True)
 class Kind:
-    """What the texts are cut into. tokens: text to an array; anchors: array to (starts, ends) of anchor regions."""
+    """What the texts are cut into.
+
+    cut: text to (bytes, begin of every token in them and what follows the last one). anchors: that to (starts,
+    ends) of anchor regions, in tokens. values: bytes of several spans to (a number for every token, tokens of each),
+    equal for equal tokens alone. gap: bytes between two tokens.
+    """
 
     window: int
-    tokens: Callable[[str], np.ndarray]
-    anchors: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
+    cut: Callable[[str], tuple[bytes, np.ndarray]]
+    anchors: Callable[[bytes, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    values: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+    gap: int
     later: bool  # a window must start later than an equal one; else an equal one anywhere else will do
+    bits: int = 64  # of the hashes; fewer are for tests
+
+    def spans(self, raw: bytes, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        return [raw[a:b] for a, b in zip(at[start].tolist(), (at[end] - self.gap).tolist(), strict=True)]
+
+    def names(self, spans: list[bytes], seed: int) -> np.ndarray:
+        digest = xxhash.xxh64_intdigest
+        out = np.fromiter((digest(s, seed) for s in spans), np.uint64, len(spans))
+        return (out >> np.uint64(64 - self.bits) if self.bits < 64 else out).view(np.int64)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, unique: bool) -> DataFrame:
@@ -95,39 +119,40 @@ def once(ah: np.ndarray, ch: np.ndarray, n: np.ndarray, o: np.ndarray, c0: np.nd
     return order[first], [(int(i), c0[order[first[i] + 1 : last[i]]].astype(np.int32)) for i in np.flatnonzero(last - first > 1)]
 
 
-def anchors(rows: DataFrame, kind: Kind) -> DataFrame:
+def anchors(rows: DataFrame, kind: Kind, seed: int = 0) -> DataFrame:
     w = kind.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held, size = [], 0
             for id_, h, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                t = kind.tokens(x.as_py())
-                if len(t) < w:
+                raw, at = kind.cut(x.as_py())
+                tokens = len(at) - 1
+                if tokens < w:
                     continue
-                start, end = kind.anchors(t)
-                p = prefix(t.astype(np.uint64, copy=False))
-                c0, c1 = np.maximum(end - w, 0), np.minimum(start + w, len(t))
-                ah, ch, n, o = span_hash(p, start, end), span_hash(p, c0, c1), c1 - c0, start - c0
+                start, end = kind.anchors(raw, at)
+                c0, c1 = np.maximum(end - w, 0), np.minimum(start + w, tokens)
+                ah, ch = kind.names(kind.spans(raw, at, start, end), 2 * seed), kind.names(kind.spans(raw, at, c0, c1), 2 * seed + 1)
+                n, o, size_of = c1 - c0, start - c0, end - start
                 rows, more = once(ah, ch, n, o, c0)
-                held.append((ah[rows], ch[rows], id_, h, c0[rows], n[rows], o[rows], more))
+                held.append((ah[rows], ch[rows], id_, h, c0[rows], n[rows], o[rows], size_of[rows], more))
                 size += len(start)
-                if size > 200_000:
+                if size > 100_000:
                     yield batch(held)
                     held, size = [], 0
             if held:
                 yield batch(held)
 
     def batch(held: list) -> pa.RecordBatch:
-        ah, ch, c0, n, o = (np.concatenate([x[i] for x in held]) for i in (0, 1, 4, 5, 6))
+        ah, ch, c0, n, o, size_of = (np.concatenate([x[i] for x in held]) for i in (0, 1, 4, 5, 6, 7))
         sizes = [len(x[0]) for x in held]
         id_, h = (np.repeat(np.asarray([x[i] for x in held], np.int64), sizes) for i in (2, 3))
-        cols = (ah.view(np.int64), ch.view(np.int64), id_, h, c0.astype(np.int32), n.astype(np.int32), o.astype(np.int32))
+        cols = (ah, ch, id_, h, *(c.astype(np.int32) for c in (c0, n, o, size_of)))
         more: list = [None] * len(ah)
         for base, x in zip(np.cumsum([0, *sizes[:-1]]).tolist(), held, strict=True):
-            for i, places in x[7]:
+            for i, places in x[8]:
                 more[base + i] = places
-        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(more, pa.list_(pa.int32()))], ["ah", "ch", "id", "h", "c0", "n", "o", "more"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(more, pa.list_(pa.int32()))], ["ah", "ch", "id", "h", "c0", "n", "o", "l", "more"])
 
     return rows.select("id", "h", "text").mapInArrow(run, ANCHORS)
 
@@ -214,131 +239,233 @@ def runs(own: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return own[first], j[first], j[last]
 
 
+def together(pieces: list[dict]) -> list[dict]:
+    """Runs of window starts [a, b] of one document, from pieces that repeat the same document at the same distance."""
+    out: list[dict] = []
+    for p in sorted(pieces, key=lambda p: (p["sid"], p["sh"], p["sa"] - p["a"], p["a"])):
+        last = out[-1] if out else None
+        if last and (last["sid"], last["sh"], last["sa"] - last["a"]) == (p["sid"], p["sh"], p["sa"] - p["a"]) and p["a"] <= last["b"] + 1:
+            last["b"] = max(last["b"], p["b"])
+        else:
+            out.append(dict(p))
+    return out
+
+
 def repeated(docs: DataFrame, kind: Kind, unique: bool, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
     """(id, h, spans array<struct<a, b>>): inclusive runs of window starts that repeat, for documents that have any."""
-    spark, w = docs.sparkSession, kind.window
     rows = keyed(docs, id_col, text_col, unique)
-    path, passing = fresh_path(spark, "anchors"), []
-    found = anchors(rows, kind)
-    found.write.parquet(path)
+    for seed in range(TRIES):
+        spans = _attempt(rows, kind, held, seed)
+        if spans is not None:
+            return spans
+    raise RuntimeError(f"equal hashes of different texts under each of {TRIES} seeds")
+
+
+RUN = "struct<a: int, b: int, sid: long, sh: long, sa: int>"
+#: What a document is asked for: n tokens from c0 on, for an anchor's context or for a run (sid, sh, sa).
+ASKED = ("ah", "c0", "n", "o", "l", "contexts", "sid", "sh", "sa")
+CUTS = "ah long, id long, h long, c0 int, n int, o int, l int, contexts long, sid long, sh long, sa int, data binary"
+
+
+def _attempt(rows: DataFrame, kind: Kind, held: int, seed: int) -> DataFrame | None:
+    """The spans, or None if some run differs from what it should repeat."""
+    spark, w, passing = rows.sparkSession, kind.window, []
+    path = fresh_path(spark, "anchors")
+    anchors(rows, kind, seed).write.parquet(path)
     found = spark.read.schema(ANCHORS).parquet(path)
     times = F.coalesce(F.array_size("more"), F.lit(0)) + 1
-    # Written, so that both sides of the joins are exchanged for the join alone and a frequent anchor's rows can be split.
-    twice = written(found.groupBy("ah").agg(F.sum(times).alias("k")).where("k > 1").select("ah"), "twice", passing)
-    near = written(found.join(twice, "ah"), "occurrences", passing)
+    twice = written(found.groupBy("ah").agg(F.sum(times).alias("k")).where("k > 1"), "twice", passing)
+    near = written(spread_join(found, twice, ["ah"], "k", ["id", "c0"]).drop("k"), "occurrences", passing)
     remove(spark, path)
     release(spark)
 
-    # Contexts: how often each occurs, and its first occurrence in (document, place) order.
-    contexts = written(near.groupBy("ah", "ch", "n", "o").agg(F.sum(times).alias("k"), F.min(F.struct("id", "h", "c0")).alias("first")), "contexts", passing)
-    several = written(contexts.groupBy("ah").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several", passing)
-    several = contexts.join(several, "ah").select("ah", "n", "o", "first.*", "contexts")
-    asked = several.groupBy("id", "h").agg(F.collect_list(F.struct("ah", "c0", "n", "o", "contexts")).alias("asked"))
-    with_text = asked.join(rows.select("id", "h", "text"), ["id", "h"])
+    # Contexts: how often each occurs, and its first and last occurrence in (document, place) order.
+    shape = ["ah", "ch", "n", "o", "l"]
+    last = F.max(F.struct("id", "h", F.greatest("c0", F.coalesce(F.array_max("more"), F.lit(0))).alias("c0")))
+    contexts = written(near.groupBy(*shape).agg(F.sum(times).alias("k"), F.min(F.struct("id", "h", "c0")).alias("first"), last.alias("last")), "contexts", passing)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
-            for id_, h, want, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                t = kind.tokens(x.as_py())
-                data = [t[r["c0"] : r["c0"] + r["n"]].tobytes() for r in want]
-                m = len(want)
-                yield pa.RecordBatch.from_arrays([pa.array([r["ah"] for r in want], pa.int64()), pa.array([id_] * m, pa.int64()), pa.array([h] * m, pa.int64()), pa.array([r["c0"] for r in want], pa.int32()), pa.array([r["o"] for r in want], pa.int32()), pa.array(data, pa.binary()), pa.array([r["contexts"] > held for r in want])], ["ah", "id", "h", "c0", "o", "data", "hot"])
-
-    cuts = with_text.select("id", "h", "asked", "text").mapInArrow(cut, "ah long, id long, h long, c0 int, o int, data binary, hot boolean")
-    cuts = written(cuts, "context-tokens", passing)
+    # All occurrences of a context that occurs twice repeat whole; where order counts, all but the first.
+    again = spread_join(near, contexts.where("k > 1"), shape, "k", ["id", "h", "c0"])
+    places = F.concat(F.array("c0"), F.coalesce("more", F.array().cast("array<int>")))
+    pieces = again.select("id", "h", "n", "first", "last", F.explode(places).alias("a"))
+    is_first = (F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h")) & (F.col("a") == F.col("first.c0"))
+    source = F.col("first") if kind.later else F.when(is_first, F.col("last")).otherwise(F.col("first"))
+    pieces = pieces.where(~is_first) if kind.later else pieces
+    piece = F.struct("a", (F.col("a") + F.col("n") - w).alias("b"), source["id"].alias("sid"), source["h"].alias("sh"), source["c0"].alias("sa"))
+    runs = written(pieces.select("id", "h", piece.alias("p")).groupBy("id", "h").agg(F.collect_list("p").alias("p")).mapInArrow(merge, f"id long, h long, runs array<{RUN}>"), "runs", passing)
     release(spark)
 
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-        size = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            kept.append(b)
-            size += b.column(5).nbytes
-            if size > 2 * AT_ONCE:
-                whole = pa.Table.from_batches(kept).combine_chunks()
-                a = whole.column(0).to_numpy()
-                last = int(np.searchsorted(a, a[-1]))
-                if last:
-                    yield from solve(whole.slice(0, last))
-                    whole = whole.slice(last)
-                kept, size = whole.to_batches(), sum(x.column(5).nbytes for x in whole.to_batches()) if last else 0
-        if kept:
-            yield from solve(pa.Table.from_batches(kept))
-
-    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ah, id_, h, c0, o = (t.column(i).to_numpy().astype(np.int64) for i in range(5))
-        n = pc.binary_length(t.column(5)).to_numpy()
-        first = np.ones(len(ah), bool)
-        order = np.lexsort((n, o, c0, h, id_, ah))
-        ah, id_, h, c0, o, n = (x[order] for x in (ah, id_, h, c0, o, n))
-        for x in (ah, id_, h, c0, o, n):
-            first[1:] &= x[1:] == x[:-1]
-        first[1:] = ~first[1:]
-        order = order[first]  # a document that is there in several equal rows gave its contexts several times
-        ah, id_, h, c0, o = (x[first] for x in (ah, id_, h, c0, o))
-        raw = t.column(5).take(pa.array(order)).to_pylist()
-        kind_of = kind.tokens("").dtype
-        size = np.asarray([len(r) // kind_of.itemsize for r in raw], np.int64)
-        key = np.stack([id_, h], 1)
-        doc = np.unique(key, axis=0, return_inverse=True)[1].reshape(-1)
-        # Anchors are ordered in lots of bounded size; one anchor is never parted.
-        ends = np.concatenate([np.flatnonzero(np.diff(ah)) + 1, [len(ah)]])
-        start, load = 0, np.cumsum(size - w + 1)
-        for k, e in enumerate(ends.tolist()):
-            ahead = ends[k + 1] if k + 1 < len(ends) else e
-            if k + 1 == len(ends) or load[ahead - 1] - (load[start - 1] if start else 0) > AT_ONCE:
-                s = slice(start, e)
-                own, a, z = resolve(ah[s], doc[s], c0[s], o[s], size[s], np.frombuffer(b"".join(raw[start:e]), kind_of), kind)
-                if len(own):
-                    own += start
-                    yield pa.RecordBatch.from_arrays([pa.array(id_[own]), pa.array(h[own]), pa.array((c0[own] + a).astype(np.int32)), pa.array((c0[own] + z).astype(np.int32))], ["id", "h", "a", "b"])
-                start = e
-
-    few = cuts.where("not hot").select("ah", "id", "h", "c0", "o", "data").repartition(partitions(spark), "ah").sortWithinPartitions("ah")
-    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with trimmed():
-            yield from order(batches)
+    # One occurrence of each context of an anchor that has several, and both ends of every run, are cut out of the texts.
+    several = contexts.groupBy("ah").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    none = F.lit(None)
+    wanted = spread_join(contexts, several, ["ah"], "contexts", ["ch"]).select("first.id", "first.h", F.struct("ah", "first.c0", "n", "o", "l", "contexts", none.cast("long").alias("sid"), none.cast("long").alias("sh"), none.cast("int").alias("sa")).alias("want"))
+    ends = runs.select("id", "h", F.inline("runs")).withColumn("n", F.col("b") - F.col("a") + w)
+
+    def side(id_: str, h: str, at: str) -> Column:
+        key = (none.cast("long").alias("ah"), F.col(at).alias("c0"), F.col("n"), none.cast("int").alias("o"), none.cast("int").alias("l"), none.cast("long").alias("contexts"), F.col("sid"), F.col("sh"), F.col("sa"))
+        return ends.select(F.col(id_).alias("id"), F.col(h).alias("h"), F.struct(*key).alias("want"))
+
+    wanted = wanted.union(side("id", "h", "a")).union(side("sid", "sh", "sa").distinct())
+    asked = wanted.groupBy("id", "h").agg(F.collect_list("want").alias("asked")).join(rows.select("id", "h", "text"), ["id", "h"])
+    cuts = written(asked.select("id", "h", "asked", "text").mapInArrow(cutting(kind), CUTS), "cuts", passing)
+    release(spark)
 
-    spans = few.mapInArrow(ordered, "id long, h long, a int, b int")
-    spans = spans.union(_dealt(cuts.where("hot").select("id", "h", "c0", "data"), kind, passing))
+    slices = cuts.where("ah is null").groupBy("sid", "sh", "sa", "n").agg(F.min("data").alias("low"), F.max("data").alias("high"))
+    if not slices.where("low <> high").isEmpty():
+        for p in passing:
+            remove(spark, p)
+        return None
+    spans = _ordered(cuts.where("ah is not null").select("ah", "id", "h", "c0", "o", "l", "contexts", "data"), kind, held, seed, passing)
     spans = spans.select("id", "h", F.array(F.struct("a", "b")).alias("spans"))
-    # All occurrences of a context that occurs twice repeat whole; where order counts, all but the first.
-    first = (F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h")) & F.lit(kind.later)
-    others = F.coalesce("more", F.array().cast("array<int>"))
-    again = near.join(contexts.where("k > 1").select("ah", "ch", "n", "o", "first"), ["ah", "ch", "n", "o"])
-    places = again.select("id", "h", "n", F.when(first, others).otherwise(F.concat(F.array("c0"), others)).alias("places")).where(F.size("places") > 0)
-    spans = spans.union(places.select("id", "h", F.transform("places", lambda x: F.struct(x.alias("a"), (x + F.col("n") - w).alias("b"))).alias("spans")))
+    spans = spans.union(runs.select("id", "h", F.transform("runs", lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"))).alias("spans")))
     spans = written(spans.groupBy("id", "h").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
-    for path in passing:
-        remove(spark, path)
+    for p in passing:
+        remove(spark, p)
     release(spark)
     return spans
 
 
-def _dealt(hot: DataFrame, kind: Kind, passing: list[str]) -> DataFrame:
-    """Spans of anchors with very many contexts: every window by two hashes, counted with map-side sums."""
+def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("sid", pa.int64()), ("sh", pa.int64()), ("sa", pa.int32())]))
+    for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([together(p) for p in b.column(2).to_pylist()], kind)], ["id", "h", "runs"])
+
+
+def cutting(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, h, asked, text) to a row for every part that the documents are asked for."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            for id_, h, want, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                raw, at = kind.cut(x.as_py())
+                got = want.values.flatten()
+                c0, n = (got[ASKED.index(c)].to_numpy().astype(np.int64) for c in ("c0", "n"))
+                data = pa.array(kind.spans(raw, at, c0, c0 + n), pa.binary())
+                m = len(c0)
+                col = dict(zip(ASKED, got, strict=True)) | {"id": pa.array([id_] * m, pa.int64()), "h": pa.array([h] * m, pa.int64()), "data": data}
+                names = ["ah", "id", "h", "c0", "n", "o", "l", "contexts", "sid", "sh", "sa", "data"]
+                yield pa.RecordBatch.from_arrays([col[c] for c in names], names)
+
+    return cut
+
+
+CONTEXT = "ah long, id long, h long, c0 int, o int, l int, data binary"
+
+
+def _ordered(cuts: DataFrame, kind: Kind, held: int, seed: int, passing: list[str]) -> DataFrame:
+    """(id, h, a, b): runs of windows that repeat among the contexts of each anchor."""
+    spans: list[DataFrame] = []
+    few, hot = cuts.where(F.col("contexts") <= held), cuts.where(F.col("contexts") > held)
+    while not hot.isEmpty():
+        spans.append(_spelled(hot.where(F.col("l") == kind.window), kind))
+        parted = written(hot.where(F.col("l") < kind.window).drop("contexts").mapInArrow(longer(kind, seed), CONTEXT), "parted", passing)
+        sizes = parted.groupBy("ah").agg(F.count("*").alias("contexts")).where("contexts > 1")
+        parted = written(spread_join(parted, written(sizes, "sizes", passing), ["ah"], "contexts", ["id", "c0"]), "parted", passing)
+        few, hot = few.unionByName(parted.where(F.col("contexts") <= held)), parted.where(F.col("contexts") > held)
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with trimmed():
+            yield from order(batches, kind)
+
+    out = few.select("ah", "id", "h", "c0", "o", "data").repartition("ah").sortWithinPartitions("ah").mapInArrow(ordered, "id long, h long, a int, b int")
+    for s in spans:
+        out = out.union(s)
+    return out
+
+
+def longer(kind: Kind, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each context under two longer anchors, with half of what its window lacks on the left, and on the right."""
     w = kind.window
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for id_, h, c0, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                t = np.frombuffer(raw, kind.tokens("").dtype).astype(np.uint64)
-                at = np.arange(len(t) - w + 1)
-                a = span_hash(prefix(t), at, at + w)
-                c = span_hash(prefix(mix(t + _STEP)), at, at + w)
-                m = len(at)
-                cols = (a.view(np.int64), c.view(np.int64), np.full(m, id_, np.int64), np.full(m, h, np.int64), (at + c0).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["u", "v", "id", "h", "a"])
-
-    windows = written(hot.mapInArrow(spread, "u long, v long, id long, h long, a int"), "hot-windows", passing)
-    place = F.struct("id", "h", "a")
-    met = windows.groupBy("u", "v").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("u", "v", "low")
-    found = windows.join(met, ["u", "v"])
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(at, 4096) for whole in batches for at in range(0, whole.num_rows, 4096)):
+            out = []
+            for ah, id_, h, c0, o, size, data in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                raw, at = data, offsets(data, kind)
+                n, half = len(at) - 1, (w - size + 1) // 2
+                for mark, start, a in ((b"<", o - half, o - half), (b">", o, o + size)):
+                    end = start + size + half
+                    if start < 0 or end > n:
+                        continue
+                    digit = raw[at[a] : at[a + half] - kind.gap]
+                    key = xxhash.xxh64_intdigest(ah.to_bytes(8, "little", signed=True) + mark + digit, 2 * seed)
+                    lo, hi = max(0, end - w), min(n, start + w)
+                    out.append((key - 2**64 if key >= 2**63 else key, id_, h, c0 + lo, start - lo, size + half, raw[at[lo] : at[hi] - kind.gap]))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["ah", "id", "h", "c0", "o", "l", "data"])
+
+    return part
+
+
+def offsets(data: bytes, kind: Kind) -> list[int]:
+    """Begin of every token of a span's bytes, and what follows the last one."""
+    if not kind.gap:
+        return list(range(len(data) + 1))
+    out, at = [0], -1
+    while (at := data.find(b" ", at + 1)) >= 0:
+        out.append(at + 1)
+    return [*out, len(data) + 1]
+
+
+def _spelled(whole: DataFrame, kind: Kind) -> DataFrame:
+    """Anchors that spell the window: equal bytes are equal windows."""
+    place = F.struct("id", "h", (F.col("c0") + F.col("o")).alias("a"))
+    rows = whole.select("data", place.alias("p"))
+    met = rows.groupBy("data").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.count("*").alias("k")).where("low <> high")
+    found = spread_join(rows, met, ["data"], "k", ["p"])
     if kind.later:
-        found = found.where(place > F.col("low"))
-    return found.select("id", "h", "a", F.col("a").alias("b"))
+        found = found.where(F.col("p") > F.col("low"))
+    return found.select("p.id", "p.h", F.col("p.a").alias("a"), F.col("p.a").alias("b"))
+
+
+def order(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
+    """(ah, id, h, c0, o, data) in order of ah to runs of windows that repeat, lots of anchors at a time."""
+    kept: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        kept.append(b)
+        size += b.column(5).nbytes
+        if size > 2 * AT_ONCE:
+            whole = pa.Table.from_batches(kept).combine_chunks()
+            a = whole.column(0).to_numpy()
+            last = int(np.searchsorted(a, a[-1]))
+            if last:
+                yield from solve(whole.slice(0, last), kind)
+                whole = whole.slice(last)
+            kept, size = whole.to_batches(), sum(x.column(5).nbytes for x in whole.to_batches()) if last else 0
+    if kept:
+        yield from solve(pa.Table.from_batches(kept), kind)
+
+
+def solve(t: pa.Table, kind: Kind) -> Iterator[pa.RecordBatch]:
+    ah, id_, h, c0, o = (t.column(i).to_numpy().astype(np.int64) for i in range(5))
+    n = pc.binary_length(t.column(5)).to_numpy()
+    first = np.ones(len(ah), bool)
+    order = np.lexsort((n, o, c0, h, id_, ah))
+    ah, id_, h, c0, o, n = (x[order] for x in (ah, id_, h, c0, o, n))
+    for x in (ah, id_, h, c0, o, n):
+        first[1:] &= x[1:] == x[:-1]
+    first[1:] = ~first[1:]
+    order = order[first]  # a document that is there in several equal rows gave its contexts several times
+    ah, id_, h, c0, o = (x[first] for x in (ah, id_, h, c0, o))
+    raw = t.column(5).take(pa.array(order)).to_pylist()
+    doc = np.unique(np.stack([id_, h], 1), axis=0, return_inverse=True)[1].reshape(-1)
+    # Anchors are ordered in lots of bounded size; one anchor is never parted.
+    ends = np.concatenate([np.flatnonzero(np.diff(ah)) + 1, [len(ah)]])
+    start, load = 0, np.cumsum([len(r) for r in raw])
+    for k, e in enumerate(ends.tolist()):
+        ahead = ends[k + 1] if k + 1 < len(ends) else e
+        if k + 1 == len(ends) or load[ahead - 1] - (load[start - 1] if start else 0) > 2 * AT_ONCE:
+            s = slice(start, e)
+            data, size = kind.values(raw[start:e])
+            own, a, z = resolve(ah[s], doc[s], c0[s], o[s], size, data, kind)
+            if len(own):
+                own += start
+                yield pa.RecordBatch.from_arrays([pa.array(id_[own]), pa.array(h[own]), pa.array((c0[own] + a).astype(np.int32)), pa.array((c0[own] + z).astype(np.int32))], ["id", "h", "a", "b"])
+            start = e
 
 
 def covered(spans: list, window: int, n: int) -> list[tuple[int, int]]:

@@ -16,8 +16,13 @@ from pyspark.sql import DataFrame
 from .repeats import HELD, Kind, covered, prefix, span_hash, with_spans
 
 
-def tokens(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+def cut(text: str) -> tuple[bytes, np.ndarray]:
+    raw = text.encode("utf-8", "surrogatepass")
+    return raw, np.arange(len(raw) + 1)
+
+
+def values(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(spans), np.uint8), np.fromiter(map(len, spans), np.int64, len(spans))
 
 
 def minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -37,19 +42,19 @@ def minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(slide(np.concatenate([pad, low, pad]), np.maximum) == h)
 
 
-def kind(window: int = 200) -> Kind:
+def kind(window: int = 200, bits: int = 64) -> Kind:
     size = max(1, window * 64 // 200)
 
-    def anchors(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        p = prefix(t.astype(np.uint64))
-        start = np.arange(len(t) - size + 1)
-        at = minima(span_hash(p, start, start + size), window - size + 1)
-        return at, at + size
+    def anchors(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = prefix(np.frombuffer(raw, np.uint8).astype(np.uint64))
+        start = np.arange(len(raw) - size + 1)
+        found = minima(span_hash(p, start, start + size), window - size + 1)
+        return found, found + size
 
-    return Kind(window, tokens, anchors, later=False)
+    return Kind(window, cut, anchors, values, gap=0, later=False, bits=bits)
 
 
-def repeated_bytes(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
+def repeated_bytes(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", held: int = HELD, bits: int = 64) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary, removed array<struct<start,end>>) of every document.
 
     A byte goes if a string of `window` bytes that covers it also starts elsewhere, in the same document or
@@ -74,4 +79,4 @@ def repeated_bytes(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(span))
                 yield pa.RecordBatch.from_arrays([s.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"])
 
-    return with_spans(docs, kind(window), id_col, text_col, held).mapInArrow(run, out)
+    return with_spans(docs, kind(window, bits), id_col, text_col, held).mapInArrow(run, out)

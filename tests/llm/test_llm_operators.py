@@ -32,38 +32,6 @@ def frame(spark, data):
     return spark.createDataFrame([(d, t, None, None, None, 1, 1, 1) for d, t in data], SCHEMA)
 
 
-def test_recompression_and_suffixes(spark):
-    data = rows()
-    for held in (10_000, 1):
-        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in recompression.repeated_words(frame(spark, data), held=held).collect()}
-        seen, want = set(), {}
-        for d, t in data:
-            w = (t or "").encode().split()
-            gone = [False] * len(w)
-            for i in range(len(w) - 19):
-                k = tuple(w[i : i + 20])
-                if k in seen:
-                    gone[i : i + 20] = [True] * 20
-                seen.add(k)
-            want[d] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest())
-        assert got == want
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.repeated_bytes(frame(spark, data), held=held).collect()}
-        times, want = {}, {}
-        for _, t in data:
-            b = (t or "").encode()
-            for i in range(len(b) - 199):
-                times[b[i : i + 200]] = times.get(b[i : i + 200], 0) + 1
-        for d, t in data:
-            b = (t or "").encode()
-            gone = [False] * len(b)
-            for i in range(len(b) - 199):
-                if times[b[i : i + 200]] > 1:
-                    gone[i : i + 200] = [True] * 200
-            spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
-            want[d] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
-        assert got == want
-
-
 def test_packing(spark):
     data = rows()
     out = packing.pack(frame(spark, data), WORDS, 256, 0)
