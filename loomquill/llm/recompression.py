@@ -2,8 +2,8 @@
 
 Words become names; rounds over the whole corpus then name runs and pairs. In a round every name is of class 0 or
 1, and of two neighbours the left one of class 0 and the right one of class 1 merge. Which classes a round takes is
-settled by counting, over all documents, how many pairs each of some splits would merge: the one that merges most
-is sent out, and holds for the whole corpus. Whether two neighbours merge depends on them alone, so equal
+settled by counting, over all documents, how many pairs each of some splits would merge: those that merge most are
+sent out, and hold for the whole corpus. Whether two neighbours merge depends on them alone, so equal
 substrings have equal symbols but for a margin at each end. Of the symbols whose margins lie in a window the one
 of least name is the window's anchor: `repeats` finds the symbols that several places share, with the words
 around them, orders what lies around them and compares what is taken to be equal byte by byte.
@@ -17,22 +17,28 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import HELD, Kind, covered, keyed, mix, repeated, unique_ids, with_spans
+from .repeats import HELD, Kind, chosen, covered, hashes, keyed, least, mix, repeated, unique_ids, with_spans
 
 #: A run this long is named by its two ends; its inside gives way to them.
 RUN = 2
-#: Words on the left and, from a symbol's start, on the right that a symbol of two rounds can depend on.
-LEFT, RIGHT = 4, 8
 ROUNDS = 2
 #: Splits into classes that a round counts.
-SPLITS = 4
+SPLITS = 2
 LAST = np.uint64(2**64 - 1)
 
 
+def margins(rounds: int) -> tuple[int, int]:
+    """Words on the left and, from a symbol's start, on the right that a symbol depends on.
+
+    A word depends on its neighbours, which make a run with it or not. In a round a symbol depends on the symbols
+    before and behind it, which have twice as many words each time, and on what these depend on.
+    """
+    return 2**rounds, 2**rounds + 1
+
+
 def spaced(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the words: what lies between blanks, tabs, line ends and the like."""
     b = np.frombuffer(raw, np.uint8)
@@ -42,12 +48,12 @@ def spaced(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def cut(text: str) -> tuple[bytes, np.ndarray]:
-    """(words joined by single blanks, begin of each and what follows the last)."""
+def cut(text: str) -> tuple[bytes, np.ndarray, list[bytes]]:
+    """(words joined by single blanks, begin of each and what follows the last, the words)."""
     words = text.encode("utf-8", "surrogatepass").split()
     at = np.zeros(len(words) + 1, np.int64)
     np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
-    return b" ".join(words), at
+    return b" ".join(words), at, words
 
 
 def values(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,72 +91,77 @@ def pairs(name: np.ndarray, fixed: np.ndarray, r: int, split: int) -> np.ndarray
     return left
 
 
-def compress(words: list[bytes], at: np.ndarray, length: np.ndarray, splits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, name, whether of a run) of the symbols after rounds of these splits.
-
-    Words of long runs stay by themselves; their ends have names of their own.
-    """
-    t = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+def named(words: list[bytes], at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, name, whether of a run) of the words: those of runs stay by themselves, and a run's ends have names of their own."""
+    t = hashes(words)
     fixed = length >= RUN
-    ends = fixed & ((at == 0) | (at == length - 1))
-    name = mix(t + ends.astype(np.uint64) * (at == 0) + np.uint64(2) * (ends & (at > 0)).astype(np.uint64))
-    start = np.arange(len(t))
-    for r, split in enumerate(splits):
-        left = pairs(name, fixed, r, split)
-        right = np.zeros(len(name), bool)
-        right[1:] = left[:-1]
-        merged = name.copy()
-        merged[:-1][left[:-1]] = mix(name[:-1] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(r + 1) + mix(name[1:]))[left[:-1]]
-        keep = ~right
-        start, name, fixed = start[keep], merged[keep], fixed[keep]
-    return start, name, fixed
+    first, last = fixed & (at == 0), fixed & (at > 0) & (at == length - 1)
+    return np.arange(len(t)), mix(t + first.astype(np.uint64) + np.uint64(2) * last.astype(np.uint64)), fixed
+
+
+def merged(start: np.ndarray, name: np.ndarray, fixed: np.ndarray, r: int, split: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols after one more round."""
+    left = np.flatnonzero(pairs(name, fixed, r, split))
+    name = name.copy()
+    name[left] = mix(name[left] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(r + 1) + mix(name[left + 1]))
+    keep = np.ones(len(name), bool)
+    keep[left + 1] = False
+    return start[keep], name[keep], fixed[keep]
 
 
 def agreed(rows: DataFrame, rounds: int = ROUNDS) -> tuple[int, ...]:
-    """The split of each round, one pass over all texts a round: the one that merges most pairs, the first of equals."""
+    """The split of each round, by one pass over all texts: in turn the one that merges most pairs, the first of equals."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, ...], int] = {}
+
+        def follow(symbols: tuple, path: tuple[int, ...]) -> None:
+            for split in range(SPLITS):
+                longer = (*path, split)
+                sums[longer] = sums.get(longer, 0) + int(np.count_nonzero(pairs(symbols[1], symbols[2], len(path), split)))
+                if len(longer) < rounds:
+                    follow(merged(*symbols, len(path), split), longer)
+
+        for b in batches:
+            for x in b.column(0):
+                words = x.as_py().encode("utf-8", "surrogatepass").split()
+                if len(words) > 1:
+                    follow(named(words, *run_places(words)), ())
+        yield pa.RecordBatch.from_pydict({"path": pa.array([list(p) for p in sums], pa.list_(pa.int32())), "n": pa.array(list(sums.values()), pa.int64())})
+
+    if not rounds:
+        return ()
+    counted = rows.select("text").mapInArrow(count, "path array<int>, n long").groupBy("path").agg(F.sum("n").alias("n"))
+    n_of = {tuple(r.path): r.n for r in counted.collect()}  # SPLITS ** rounds numbers
     splits: tuple[int, ...] = ()
-    for r in range(rounds):
-
-        def count(batches: Iterator[pa.RecordBatch], r: int = r, before: tuple[int, ...] = splits) -> Iterator[pa.RecordBatch]:
-            merged = np.zeros(SPLITS, np.int64)
-            for b in batches:
-                for x in b.column(0):
-                    words = x.as_py().encode("utf-8", "surrogatepass").split()
-                    if len(words) > 1:
-                        _, name, fixed = compress(words, *run_places(words), before)
-                        merged += [np.count_nonzero(pairs(name, fixed, r, s)) for s in range(SPLITS)]
-            yield pa.RecordBatch.from_pydict({"split": pa.array(range(SPLITS), pa.int32()), "n": pa.array(merged)})
-
-        counted = rows.select("text").mapInArrow(count, "split int, n long").groupBy("split").agg(F.sum("n").alias("n"))
-        best = counted.orderBy(F.desc("n"), "split").first()
-        splits = (*splits, best.split if best else 0)
+    for _ in range(rounds):
+        splits = max(((*splits, x) for x in range(SPLITS)), key=lambda p: n_of.get(p, 0))
     return splits
 
 
 def kind(splits: tuple[int, ...], window: int = 20, bits: int = 64) -> Kind:
-    """Anchors: of the symbols whose margins lie in a window, the one of least name; windows inside a run have the first alone."""
-    if window < LEFT + RIGHT + 4:
-        raise ValueError(f"windows of fewer than {LEFT + RIGHT + 4} words may hold no symbol with its margins")
-    if len(splits) > ROUNDS:
-        raise ValueError(f"the margins hold for {ROUNDS} rounds at most")
-
-    def anchors(raw: bytes, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        words = raw.split()
+    """A window's anchor: of the symbols whose margins lie in it, the one of least name; windows inside a run have the first alone."""
+    before, behind = margins(len(splits))
+    reach = window - before - behind + 1
+    if reach < 2 ** len(splits) + 2:
+        raise ValueError(f"windows of {window} words may hold no symbol of {len(splits)} rounds with its margins")
+
+    def anchors(_: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n = len(words)
         at, length = run_places(words)
-        start, name, _ = compress(words, at, length, splits)
+        start, name, fixed = named(words, at, length)
+        for r, split in enumerate(splits):
+            start, name, fixed = merged(start, name, fixed, r, split)
         value = np.full(n, LAST)
         value[start] = np.minimum(mix(name + np.uint64(77)), LAST - np.uint64(1))
-        inside = (length >= RUN) & (at > 0) & (at < length - 1)
-        value[inside] = LAST
-        reach = window - LEFT - RIGHT + 1
+        value[(length >= RUN) & (at > 0) & (at < length - 1)] = LAST
+        place = least(value[before : n - behind + 1], reach) + before
         p = np.arange(n - window + 1)
         alone = length[p] - at[p] >= window  # all words of the window are one
-        seen = np.lib.stride_tricks.sliding_window_view(value[LEFT : n - RIGHT + 1], reach)
-        busy = p[~alone]
-        got = np.unique(busy + LEFT + np.argmin(seen[busy], axis=1)) if len(busy) else np.empty(0, np.int64)
+        got, first, last = chosen(place[~alone], p[~alone])
         whole = p[alone & (at[p] == 0)]
-        return np.concatenate([got - LEFT, whole]), np.concatenate([got + RIGHT, whole + window])
+        parts = ((got - before, whole), (got + behind, whole + window), (first, whole), (last, whole))
+        return tuple(np.concatenate(x) for x in parts)
 
     return Kind(window, cut, anchors, values, gap=1, later=True, bits=bits)
 

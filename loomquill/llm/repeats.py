@@ -4,7 +4,7 @@
    window. Windows that are equal hold the same anchor, so only suffixes near an anchor seen twice can repeat.
    Text that repeats with a short period gives one context again and again: a document tells of it once.
 2. Anchors are counted by their hash; of those seen twice, occurrences with the same surroundings (all windows
-   that hold the anchor) are one context, by two 64-bit hashes. Windows of a context that occurs twice repeat:
+   whose anchor it is) are one context, by two 64-bit hashes. Windows of a context that occurs twice repeat:
    what lies next to each other in both documents is put together to runs, and every run is compared with the
    run it is taken to repeat, byte by byte. Should one differ, all is done again under other hashes.
 3. Where an anchor has several contexts, the suffixes of one occurrence of each are ordered through the window's
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -70,30 +71,59 @@ def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((p[end] - p[start]) * _power(len(p))[1][start] + (end - start).astype(np.uint64))
 
 
+#: Bits of a place beside a hash: texts have fewer tokens than that.
+PLACE = np.uint64(2**31 - 1)
+
+
+def least(h: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least hash of each run of `width` places, the leftmost of equal ones."""
+    x = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
+    span = 1
+    while span * 2 <= width:
+        x = np.minimum(x[:-span], x[span:])
+        span *= 2
+    if span < width:
+        x = np.minimum(x[: len(x) - (width - span)], x[width - span :])
+    return (x & PLACE).astype(np.int64)
+
+
+def chosen(place: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first and last window) of each run of neighbouring windows that have chosen the same place."""
+    if not len(place):
+        return (np.empty(0, np.int64),) * 3
+    new = np.flatnonzero((np.diff(place) != 0) | (np.diff(window) != 1)) + 1
+    first = np.concatenate([[0], new])
+    return place[first], window[first], window[np.concatenate([new, [len(place)]]) - 1]
+
+
+def hashes(spans: list[bytes], seed: int = 0) -> np.ndarray:
+    """XXH64 of each."""
+    return np.frombuffer(b"".join(map(partial(xxhash.xxh64_digest, seed=seed), spans)), ">u8").astype(np.uint64)
+
+
 @dataclass(frozen=True)
 class Kind:
     """What the texts are cut into.
 
-    cut: text to (bytes, begin of every token in them and what follows the last one). anchors: that to (starts,
-    ends) of anchor regions, in tokens. values: bytes of several spans to (a number for every token, tokens of each),
+    cut: text to (bytes, begin of every token in them and what follows the last one, whatever anchors needs more).
+    anchors: that to (starts, ends of anchor regions, first and last windows whose anchors they are), in tokens. values: bytes of several spans to (a number for every token, tokens of each),
     equal for equal tokens alone. gap: bytes between two tokens.
     """
 
     window: int
-    cut: Callable[[str], tuple[bytes, np.ndarray]]
-    anchors: Callable[[bytes, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    cut: Callable[[str], tuple[bytes, np.ndarray, list[bytes]]]
+    anchors: Callable[[bytes, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     values: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
     gap: int
     later: bool  # a window must start later than an equal one; else an equal one anywhere else will do
-    bits: int = 64  # of the hashes; fewer are for tests
+    bits: int = 64  # of the first try's hashes; fewer are for tests
 
     def spans(self, raw: bytes, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
         return [raw[a:b] for a, b in zip(at[start].tolist(), (at[end] - self.gap).tolist(), strict=True)]
 
     def names(self, spans: list[bytes], seed: int) -> np.ndarray:
-        digest = xxhash.xxh64_intdigest
-        out = np.fromiter((digest(s, seed) for s in spans), np.uint64, len(spans))
-        return (out >> np.uint64(64 - self.bits) if self.bits < 64 else out).view(np.int64)
+        out = hashes(spans, seed)
+        return (out >> np.uint64(64 - self.bits) if self.bits < 64 and seed < 2 else out).view(np.int64)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, unique: bool) -> DataFrame:
@@ -126,12 +156,11 @@ def anchors(rows: DataFrame, kind: Kind, seed: int = 0) -> DataFrame:
         for b in batches:
             held, size = [], 0
             for id_, h, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                raw, at = kind.cut(x.as_py())
-                tokens = len(at) - 1
-                if tokens < w:
+                raw, at, tokens = kind.cut(x.as_py())
+                if len(at) <= w:
                     continue
-                start, end = kind.anchors(raw, at)
-                c0, c1 = np.maximum(end - w, 0), np.minimum(start + w, tokens)
+                start, end, c0, c1 = kind.anchors(raw, tokens)
+                c1 = c1 + w
                 ah, ch = kind.names(kind.spans(raw, at, start, end), 2 * seed), kind.names(kind.spans(raw, at, c0, c1), 2 * seed + 1)
                 n, o, size_of = c1 - c0, start - c0, end - start
                 rows, more = once(ah, ch, n, o, c0)
@@ -239,18 +268,6 @@ def runs(own: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return own[first], j[first], j[last]
 
 
-def together(pieces: list[dict]) -> list[dict]:
-    """Runs of window starts [a, b] of one document, from pieces that repeat the same document at the same distance."""
-    out: list[dict] = []
-    for p in sorted(pieces, key=lambda p: (p["sid"], p["sh"], p["sa"] - p["a"], p["a"])):
-        last = out[-1] if out else None
-        if last and (last["sid"], last["sh"], last["sa"] - last["a"]) == (p["sid"], p["sh"], p["sa"] - p["a"]) and p["a"] <= last["b"] + 1:
-            last["b"] = max(last["b"], p["b"])
-        else:
-            out.append(dict(p))
-    return out
-
-
 def repeated(docs: DataFrame, kind: Kind, unique: bool, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
     """(id, h, spans array<struct<a, b>>): inclusive runs of window starts that repeat, for documents that have any."""
     rows = keyed(docs, id_col, text_col, unique)
@@ -296,7 +313,7 @@ def _attempt(rows: DataFrame, kind: Kind, held: int, seed: int) -> DataFrame | N
     release(spark)
 
     # One occurrence of each context of an anchor that has several, and both ends of every run, are cut out of the texts.
-    several = contexts.groupBy("ah").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    several = written(contexts.groupBy("ah").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several", passing)
     none = F.lit(None)
     wanted = spread_join(contexts, several, ["ah"], "contexts", ["ch"]).select("first.id", "first.h", F.struct("ah", "first.c0", "n", "o", "l", "contexts", none.cast("long").alias("sid"), none.cast("long").alias("sh"), none.cast("int").alias("sa")).alias("want"))
     ends = runs.select("id", "h", F.inline("runs")).withColumn("n", F.col("b") - F.col("a") + w)
@@ -326,9 +343,26 @@ def _attempt(rows: DataFrame, kind: Kind, held: int, seed: int) -> DataFrame | N
 
 
 def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("sid", pa.int64()), ("sh", pa.int64()), ("sa", pa.int32())]))
-    for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([together(p) for p in b.column(2).to_pylist()], kind)], ["id", "h", "runs"])
+    """(id, h, pieces) to (id, h, runs): pieces of a document that repeat another at the same distance and meet are one run."""
+    for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
+        row = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
+        a, z, sid, sh, sa = (c.to_numpy().astype(np.int64) for c in b.column(2).flatten().flatten())
+        order = np.lexsort((a, sa - a, sh, sid, row))
+        row, a, z, sid, sh, sa = (x[order] for x in (row, a, z, sid, sh, sa))
+        new = np.ones(len(row), bool)
+        for x in (row, sid, sh, sa - a):
+            new[1:] &= x[1:] == x[:-1]
+        # The farthest end so far of a group, which starts anew with each: ends are lifted by the group's number.
+        group = np.cumsum(~new | (np.arange(len(new)) == 0))
+        reach = np.maximum.accumulate(z + group * 2**32) - group * 2**32
+        new[1:] &= a[1:] <= reach[:-1] + 1
+        first = np.flatnonzero(~new | (np.arange(len(new)) == 0))
+        end = reach[np.concatenate([first[1:], [len(row)]]) - 1]
+        cols = (a[first], end, sid[first], sh[first], sa[first])
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        found = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["a", "b", "sid", "sh", "sa"])
+        ends = np.searchsorted(row[first], np.arange(b.num_rows + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), found)], ["id", "h", "runs"])
 
 
 def cutting(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -337,7 +371,7 @@ def cutting(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             for id_, h, want, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                raw, at = kind.cut(x.as_py())
+                raw, at, _ = kind.cut(x.as_py())
                 got = want.values.flatten()
                 c0, n = (got[ASKED.index(c)].to_numpy().astype(np.int64) for c in ("c0", "n"))
                 data = pa.array(kind.spans(raw, at, c0, c0 + n), pa.binary())
@@ -357,7 +391,7 @@ def _ordered(cuts: DataFrame, kind: Kind, held: int, seed: int, passing: list[st
     spans: list[DataFrame] = []
     few, hot = cuts.where(F.col("contexts") <= held), cuts.where(F.col("contexts") > held)
     while not hot.isEmpty():
-        spans.append(_spelled(hot.where(F.col("l") == kind.window), kind))
+        spans.append(_spelled(hot.where(F.col("l") == kind.window), kind, passing))
         parted = written(hot.where(F.col("l") < kind.window).drop("contexts").mapInArrow(longer(kind, seed), CONTEXT), "parted", passing)
         sizes = parted.groupBy("ah").agg(F.count("*").alias("contexts")).where("contexts > 1")
         parted = written(spread_join(parted, written(sizes, "sizes", passing), ["ah"], "contexts", ["id", "c0"]), "parted", passing)
@@ -408,12 +442,12 @@ def offsets(data: bytes, kind: Kind) -> list[int]:
     return [*out, len(data) + 1]
 
 
-def _spelled(whole: DataFrame, kind: Kind) -> DataFrame:
+def _spelled(whole: DataFrame, kind: Kind, passing: list[str]) -> DataFrame:
     """Anchors that spell the window: equal bytes are equal windows."""
     place = F.struct("id", "h", (F.col("c0") + F.col("o")).alias("a"))
     rows = whole.select("data", place.alias("p"))
     met = rows.groupBy("data").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.count("*").alias("k")).where("low <> high")
-    found = spread_join(rows, met, ["data"], "k", ["p"])
+    found = spread_join(rows, written(met, "spelled", passing), ["data"], "k", ["p"])
     if kind.later:
         found = found.where(F.col("p") > F.col("low"))
     return found.select("p.id", "p.h", F.col("p.a").alias("a"), F.col("p.a").alias("b"))

@@ -1,7 +1,7 @@
 """Suffix-array dedup of bytes: strings of 200 bytes that start at two places or more are removed wherever they are.
 
 The suffix order is made through the threshold's bytes only, and only for suffixes that can repeat: see
-`repeats`. An anchor is the 64-byte string of least hash in a window, so every window has one.
+`repeats`. A window's anchor is its 64-byte string of least hash, the leftmost of equal ones.
 """
 
 from __future__ import annotations
@@ -13,43 +13,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import HELD, Kind, covered, prefix, span_hash, with_spans
+from .repeats import HELD, Kind, chosen, covered, least, prefix, span_hash, with_spans
 
 
-def cut(text: str) -> tuple[bytes, np.ndarray]:
+def cut(text: str) -> tuple[bytes, np.ndarray, list[bytes]]:
     raw = text.encode("utf-8", "surrogatepass")
-    return raw, np.arange(len(raw) + 1)
+    return raw, np.arange(len(raw) + 1), []
 
 
 def values(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(spans), np.uint8), np.fromiter(map(len, spans), np.int64, len(spans))
 
 
-def minima(h: np.ndarray, width: int) -> np.ndarray:
-    """Places that hold the least value of some window of this width."""
-    if len(h) <= width:
-        return np.flatnonzero(h == h.min())
-
-    def slide(x: np.ndarray, pick) -> np.ndarray:
-        span = 1
-        while span * 2 <= width:
-            x = pick(x[:-span], x[span:])
-            span *= 2
-        return pick(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
-
-    low = slide(h, np.minimum)
-    pad = np.zeros(width - 1, h.dtype)
-    return np.flatnonzero(slide(np.concatenate([pad, low, pad]), np.maximum) == h)
-
-
 def kind(window: int = 200, bits: int = 64) -> Kind:
     size = max(1, window * 64 // 200)
 
-    def anchors(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def anchors(raw: bytes, _: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         p = prefix(np.frombuffer(raw, np.uint8).astype(np.uint64))
         start = np.arange(len(raw) - size + 1)
-        found = minima(span_hash(p, start, start + size), window - size + 1)
-        return found, found + size
+        place = least(span_hash(p, start, start + size), window - size + 1)
+        found, first, last = chosen(place, np.arange(len(place)))
+        return found, found + size, first, last
 
     return Kind(window, cut, anchors, values, gap=0, later=False, bits=bits)
 
