@@ -5,6 +5,11 @@ differ in d bits have counts at Manhattan distance d at most. The segments form
 to 4 one block is at distance 0 or 1: each fingerprint is at home in its own cell of each block's grid and
 visits the cells that lie one count higher; every pair within reach meets in a cell, where the
 differing bits are counted. A cell passes on a spanning forest of its links, never all its pairs.
+
+Blocks have a fixed number of cells, so cells fill up as fingerprints grow in number. A cell that holds more than a
+task should compare is parted by the grids of the two other blocks: of these one is at distance 2 or less, so
+two fingerprints whose counts are 2 apart or less meet in the cell that lies between them, as each visits all
+cells one count away from its own.
 """
 
 from __future__ import annotations
@@ -17,12 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, texts, written
+from .common import BROADCAST_ROWS, texts, written
 from .components import components
 
 SEGMENTS = ((0, 11), (11, 22), (22, 32))
 #: The blocks above find all pairs up to this distance: three blocks at distance 2 or more make 6.
 REACH = 5
+#: Fingerprints of a cell, guests included, that one task compares; cells with more are parted.
+MOST = 20_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -57,10 +64,15 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
+def counted(fp: np.ndarray) -> np.ndarray:
+    """Bit counts of the 32 segments, a row a fingerprint."""
+    pairs = (fp[:, None] >> np.arange(0, 64, 2, dtype=np.uint64)) & np.uint64(3)
+    return np.bitwise_count(pairs).astype(np.int64)
+
+
 def cells(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """(cells, places, home): the grid cells of fingerprints, first their own, then those one count higher."""
-    pairs = (fp[:, None] >> np.arange(0, 64, 2, dtype=np.uint64)) & np.uint64(3)
-    counts = np.bitwise_count(pairs).astype(np.int64)
+    counts = counted(fp)
     for k, (a, b) in enumerate(SEGMENTS):
         weight = 3 ** np.arange(b - a, dtype=np.int64)
         own = counts[:, a:b] @ weight * len(SEGMENTS) + k
@@ -70,6 +82,20 @@ def cells(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
             yield own[at] + weight[i - a] * len(SEGMENTS), at, False
 
 
+def inner_cells(cell: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(cells, places): a cell's parts by the two blocks that it isn't of, those of a fingerprint and all one count away."""
+    counts = counted(fp)
+    for k, (a, b) in enumerate(SEGMENTS):
+        at = np.flatnonzero(cell % len(SEGMENTS) != k)
+        weight = 3 ** np.arange(b - a, dtype=np.int64)
+        own = (counts[at, a:b] @ weight * len(SEGMENTS) + k) + ((cell[at] + 1) << np.int64(24))
+        yield own, at
+        for i in range(a, b):
+            for step in (-1, 1):
+                on = (counts[at, i] + step >= 0) & (counts[at, i] + step <= 2)
+                yield own[on] + step * weight[i - a] * len(SEGMENTS), at[on]
+
+
 def forest(home: np.ndarray, guest: np.ndarray, reach: int) -> list[tuple[int, int]]:
     """Links (i, j), i among the homes and j in homes + guests, that join what lies within reach; no pair list is built."""
     m = len(home)
@@ -104,7 +130,10 @@ def forest(home: np.ndarray, guest: np.ndarray, reach: int) -> list[tuple[int, i
     return links
 
 
-def links(nodes: DataFrame, reach: int = 4) -> DataFrame:
+GRID = "cell long, guest byte, fp long, node long"
+
+
+def links(nodes: DataFrame, reach: int = 4, most: int = MOST) -> DataFrame:
     """(a, b) of nodes (fp, node): enough links within reach to join all that is reachable."""
     if reach > REACH:
         raise ValueError(f"the grid's blocks are made for at most {REACH} differing bits")
@@ -115,6 +144,17 @@ def links(nodes: DataFrame, reach: int = 4) -> DataFrame:
             for cell, at, home in cells(fp.view(np.uint64)):
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(at), int(not home), np.int8)), pa.array(fp[at]), pa.array(node[at])], ["cell", "guest", "fp", "node"])
 
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, n = np.unique(np.concatenate([c for c, _, _ in cells(b.column(0).to_numpy().view(np.uint64))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, guest, fp, node = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for inner, at in inner_cells(cell, fp.view(np.uint64)):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (inner, guest[at], fp[at], node[at])], ["cell", "guest", "fp", "node"])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for b in batches:
@@ -142,9 +182,15 @@ def links(nodes: DataFrame, reach: int = 4) -> DataFrame:
             x, y = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    grid = nodes.select("fp", "node").mapInArrow(spread, "cell long, guest byte, fp long, node long")
-    met = grid.repartition(partitions(nodes.sparkSession), "cell").sortWithinPartitions("cell", "guest")
-    return met.mapInArrow(meet, "a long, b long")
+    grid = nodes.select("fp", "node").mapInArrow(spread, GRID)
+    full = nodes.select("fp").mapInArrow(sizes, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    full = written(full.select("cell"), "full-cells")
+    n = full.count()
+    if n:
+        named = F.broadcast(full) if n <= BROADCAST_ROWS else full
+        parted = grid.join(named, "cell", "left_semi").select("cell", "guest", "fp", "node").mapInArrow(part, GRID)
+        grid = grid.join(named, "cell", "left_anti").select("cell", "guest", "fp", "node").union(parted)
+    return grid.repartition("cell").sortWithinPartitions("cell", "guest").mapInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, reach: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

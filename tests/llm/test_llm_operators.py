@@ -84,20 +84,29 @@ def test_bpe(spark):
         assert c.encode(s) == lib.encode_ordinary(s) and c.decode(c.encode(s)) == s.encode()
 
 
-def test_simhash(spark):
-    r = random.Random(4)
-    base = [r.getrandbits(64) for _ in range(60)]
-    fps = np.array([b ^ sum(1 << i for i in r.sample(range(64), r.randint(0, 4))) for b in base for _ in range(4)], np.uint64)
-    links = simhash.links(spark.createDataFrame([(int(f), i) for i, f in enumerate(np.unique(fps).view(np.int64))], "fp long, node long"), 4)
-    u = np.unique(fps)
+@pytest.mark.parametrize("most", [simhash.MOST, 3, 0])
+def test_links_of_fingerprints(spark, most):
+    """Whole cells, cells of more than three and all cells parted: the same groups."""
     from loomquill.llm.components import components
 
+    r = random.Random(4)
+    base = [r.getrandbits(64) for _ in range(40)]
+    even = sum(1 << i for i in range(0, 64, 2))  # one bit in each segment: the fullest cells
+    base += [even ^ sum(3 << 2 * i for i in r.sample(range(32), 12)) for _ in range(40)]
+    u = np.unique(np.array([b ^ sum(1 << i for i in r.sample(range(64), r.randint(0, 4))) for b in base for _ in range(4)], np.uint64))
+    links = simhash.links(spark.createDataFrame([(int(f), i) for i, f in enumerate(u.view(np.int64))], "fp long, node long"), 4, most)
     root = {x.node: x.component for x in components(links).collect()}
     want = list(range(len(u)))
     for _ in u:
+        before = list(want)
         for i in range(len(u)):
             want[i] = min(want[j] for j in np.flatnonzero(np.bitwise_count(u ^ u[i]) <= 4))
+        if want == before:
+            break
     assert [root.get(i, i) for i in range(len(u))] == want
+
+
+def test_simhash(spark):
     text = "A b C d e é"
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in ("a b c d", "b c d e", "c d e é")]
     assert simhash.simhash(text) == sum(1 << i for i in range(64) if sum(x >> i & 1 for x in h) * 2 > 3)
