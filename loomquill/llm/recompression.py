@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import HELD, Kind, chosen, covered, hashes, keyed, least, mix, repeated, unique_ids, with_spans
+from .repeats import HELD, Kind, chosen, covered, hashes, keyed, least, lots, mix, repeated, unique_ids, with_spans
 
 #: A run this long is named by its two ends; its inside gives way to them.
 RUN = 2
@@ -48,12 +48,18 @@ def spaced(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def cut(text: str) -> tuple[bytes, np.ndarray, list[bytes]]:
-    """(words joined by single blanks, begin of each and what follows the last, the words)."""
-    words = text.encode("utf-8", "surrogatepass").split()
+def cut(texts: list[str]) -> tuple[bytes, np.ndarray, list[bytes], list[int]]:
+    """(words joined by single blanks, begin of each and what follows the last, the words, words of each text); an empty word ends each text."""
+    words: list[bytes] = []
+    sizes = []
+    for t in texts:
+        own = t.encode("utf-8", "surrogatepass").split()
+        sizes.append(len(own))
+        words += own
+        words.append(b"")
     at = np.zeros(len(words) + 1, np.int64)
     np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
-    return b" ".join(words), at, words
+    return b" ".join(words), at, words, sizes
 
 
 def values(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +101,8 @@ def named(words: list[bytes], at: np.ndarray, length: np.ndarray) -> tuple[np.nd
     """(start, name, whether of a run) of the words: those of runs stay by themselves, and a run's ends have names of their own."""
     t = hashes(words)
     fixed = length >= RUN
+    if b"" in words:  # the end of a text merges with nothing
+        fixed |= np.fromiter(map(len, words), np.int64, len(words)) == 0
     first, last = fixed & (at == 0), fixed & (at > 0) & (at == length - 1)
     return np.arange(len(t)), mix(t + first.astype(np.uint64) + np.uint64(2) * last.astype(np.uint64)), fixed
 
@@ -123,10 +131,9 @@ def agreed(rows: DataFrame, rounds: int = ROUNDS) -> tuple[int, ...]:
                     follow(merged(*symbols, len(path), split), longer)
 
         for b in batches:
-            for x in b.column(0):
-                words = x.as_py().encode("utf-8", "surrogatepass").split()
-                if len(words) > 1:
-                    follow(named(words, *run_places(words)), ())
+            for _, lot in lots(b.column(0)):
+                words = cut(lot)[2]
+                follow(named(words, *run_places(words)), ())
         yield pa.RecordBatch.from_pydict({"path": pa.array([list(p) for p in sums], pa.list_(pa.int32())), "n": pa.array(list(sums.values()), pa.int64())})
 
     if not rounds:
@@ -146,7 +153,7 @@ def kind(splits: tuple[int, ...], window: int = 20, bits: int = 64) -> Kind:
     if reach < 2 ** len(splits) + 2:
         raise ValueError(f"windows of {window} words may hold no symbol of {len(splits)} rounds with its margins")
 
-    def anchors(_: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def anchors(_: bytes, words: list[bytes], inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n = len(words)
         at, length = run_places(words)
         start, name, fixed = named(words, at, length)
@@ -156,10 +163,10 @@ def kind(splits: tuple[int, ...], window: int = 20, bits: int = 64) -> Kind:
         value[start] = np.minimum(mix(name + np.uint64(77)), LAST - np.uint64(1))
         value[(length >= RUN) & (at > 0) & (at < length - 1)] = LAST
         place = least(value[before : n - behind + 1], reach) + before
-        p = np.arange(n - window + 1)
-        alone = length[p] - at[p] >= window  # all words of the window are one
-        got, first, last = chosen(place[~alone], p[~alone])
-        whole = p[alone & (at[p] == 0)]
+        alone = (length - at)[: n - window + 1] >= window  # all words of the window are one
+        busy = np.flatnonzero(inside & ~alone)
+        got, first, last = chosen(place[busy], busy)
+        whole = np.flatnonzero(inside & alone & (at[: n - window + 1] == 0))
         parts = ((got - before, whole), (got + behind, whole + window), (first, whole), (last, whole))
         return tuple(np.concatenate(x) for x in parts)
 

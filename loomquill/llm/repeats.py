@@ -34,6 +34,10 @@ from .common import fresh_path, release, remove, spread_join, trimmed, written
 HELD = 10_000
 #: Suffixes that are ordered at once.
 AT_ONCE = 400_000
+#: Characters of texts that are looked at together, at least.
+LOT = 1 << 19
+#: Tokens of a run that are compared as one piece, at most.
+PIECE = 1024
 #: How often the work is done under other hashes before an error is raised.
 TRIES = 20
 
@@ -105,14 +109,16 @@ def hashes(spans: list[bytes], seed: int = 0) -> np.ndarray:
 class Kind:
     """What the texts are cut into.
 
-    cut: text to (bytes, begin of every token in them and what follows the last one, whatever anchors needs more).
-    anchors: that to (starts, ends of anchor regions, first and last windows whose anchors they are), in tokens. values: bytes of several spans to (a number for every token, tokens of each),
-    equal for equal tokens alone. gap: bytes between two tokens.
+    cut: texts to (bytes of all, begin of every token in them and what follows the last one, the tokens themselves if
+    anchors needs them, tokens of each text); where tokens have a gap between them, an empty one stands behind each
+    text. anchors: bytes, tokens and whether each window lies in one text to (starts, ends of anchor regions, first and
+    last windows whose anchors they are), in tokens. values: bytes of several spans to (a number for every token,
+    tokens of each), equal for equal tokens alone. gap: bytes between two tokens.
     """
 
     window: int
-    cut: Callable[[str], tuple[bytes, np.ndarray, list[bytes]]]
-    anchors: Callable[[bytes, list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    cut: Callable[[list[str]], tuple[bytes, np.ndarray, list[bytes], list[int]]]
+    anchors: Callable[[bytes, list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     values: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
     gap: int
     later: bool  # a window must start later than an equal one; else an equal one anywhere else will do
@@ -137,51 +143,70 @@ def unique_ids(docs: DataFrame, id_col: str) -> bool:
     return docs.groupBy(id_col).count().where("count > 1").isEmpty()
 
 
-def once(ah: np.ndarray, ch: np.ndarray, n: np.ndarray, o: np.ndarray, c0: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """(the first of each context of a document, [(its number among these, places of the others)])."""
-    if len(np.unique(ah)) == len(ah):
+def once(doc: np.ndarray, ah: np.ndarray, ch: np.ndarray, n: np.ndarray, o: np.ndarray, c0: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(the first of each context of each document, [(its number among these, places of the others)])."""
+    key = mix(ah.view(np.uint64) + mix(doc.astype(np.uint64) + _STEP))
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if not len(same):
         return np.arange(len(ah)), []
-    order = np.lexsort((c0, o, n, ch, ah))
+    again = np.isin(doc, np.unique(doc[order[same]]))  # of these documents all contexts are looked at
+    at = np.flatnonzero(again)
+    order = at[np.lexsort((c0[at], o[at], n[at], ch[at], ah[at], doc[at]))]
     new = np.ones(len(order), bool)
-    new[1:] = np.any([np.diff(x[order]) != 0 for x in (ah, ch, n, o)], axis=0)
+    new[1:] = np.any([np.diff(x[order]) != 0 for x in (doc, ah, ch, n, o)], axis=0)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(order))
-    return order[first], [(int(i), c0[order[first[i] + 1 : last[i]]].astype(np.int32)) for i in np.flatnonzero(last - first > 1)]
+    alone = np.flatnonzero(~again)
+    more = [(len(alone) + int(i), c0[order[first[i] + 1 : last[i]]].astype(np.int32)) for i in np.flatnonzero(last - first > 1)]
+    return np.concatenate([alone, order[first]]), more
+
+
+def lots(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) of about LOT characters, so that arrays are long and memory is bounded."""
+    lot, size, start = [], 0, 0
+    for i, x in enumerate(texts):
+        lot.append(x.as_py())
+        size += len(lot[-1])
+        if size >= LOT:
+            yield start, lot
+            lot, size, start = [], 0, i + 1
+    if lot:
+        yield start, lot
 
 
 def anchors(rows: DataFrame, kind: Kind, seed: int = 0) -> DataFrame:
     w = kind.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held, size = [], 0
-            for id_, h, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                raw, at, tokens = kind.cut(x.as_py())
-                if len(at) <= w:
-                    continue
-                start, end, c0, c1 = kind.anchors(raw, tokens)
-                c1 = c1 + w
-                ah, ch = kind.names(kind.spans(raw, at, start, end), 2 * seed), kind.names(kind.spans(raw, at, c0, c1), 2 * seed + 1)
-                n, o, size_of = c1 - c0, start - c0, end - start
-                rows, more = once(ah, ch, n, o, c0)
-                held.append((ah[rows], ch[rows], id_, h, c0[rows], n[rows], o[rows], size_of[rows], more))
-                size += len(start)
-                if size > 100_000:
-                    yield batch(held)
-                    held, size = [], 0
-            if held:
-                yield batch(held)
-
-    def batch(held: list) -> pa.RecordBatch:
-        ah, ch, c0, n, o, size_of = (np.concatenate([x[i] for x in held]) for i in (0, 1, 4, 5, 6, 7))
-        sizes = [len(x[0]) for x in held]
-        id_, h = (np.repeat(np.asarray([x[i] for x in held], np.int64), sizes) for i in (2, 3))
-        cols = (ah, ch, id_, h, *(c.astype(np.int32) for c in (c0, n, o, size_of)))
-        more: list = [None] * len(ah)
-        for base, x in zip(np.cumsum([0, *sizes[:-1]]).tolist(), held, strict=True):
-            for i, places in x[8]:
-                more[base + i] = places
-        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(more, pa.list_(pa.int32()))], ["ah", "ch", "id", "h", "c0", "n", "o", "l", "more"])
+        with trimmed():
+            for b in batches:
+                id_, h = (b.column(i).to_numpy() for i in (0, 1))
+                for place, lot in lots(b.column(2)):
+                    yield from of_lot(place, lot, id_, h)
+
+    def of_lot(place: int, lot: list[str], id_: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        raw, at, tokens, sizes = kind.cut(lot)
+        size = np.asarray(sizes, np.int64)
+        begin = np.concatenate([[0], np.cumsum(size + (1 if kind.gap else 0))])[:-1]
+        total = len(at) - 1
+        if total < w or size.max() < w:
+            return
+        inside = np.zeros(total + 2, np.int64)  # windows from a text's begin to its last
+        long = size >= w
+        np.add.at(inside, begin[long], 1)
+        np.add.at(inside, (begin + size - w + 1)[long], -1)
+        start, end, c0, c1 = kind.anchors(raw, tokens, np.cumsum(inside)[: total - w + 1] > 0)
+        c1 = c1 + w
+        ah, ch = kind.names(kind.spans(raw, at, start, end), 2 * seed), kind.names(kind.spans(raw, at, c0, c1), 2 * seed + 1)
+        doc = np.searchsorted(begin, start, "right") - 1
+        n, o, size_of, c0 = c1 - c0, start - c0, end - start, c0 - begin[doc]
+        rows, places = once(doc, ah, ch, n, o, c0)
+        more: list = [None] * len(rows)
+        for i, others in places:
+            more[i] = others
+        cols = (ah[rows], ch[rows], id_[place + doc[rows]], h[place + doc[rows]], *(c[rows].astype(np.int32) for c in (c0, n, o, size_of)))
+        yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(more, pa.list_(pa.int32()))], ["ah", "ch", "id", "h", "c0", "n", "o", "l", "more"])
 
     return rows.select("id", "h", "text").mapInArrow(run, ANCHORS)
 
@@ -316,7 +341,11 @@ def _attempt(rows: DataFrame, kind: Kind, held: int, seed: int) -> DataFrame | N
     several = written(contexts.groupBy("ah").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several", passing)
     none = F.lit(None)
     wanted = spread_join(contexts, several, ["ah"], "contexts", ["ch"]).select("first.id", "first.h", F.struct("ah", "first.c0", "n", "o", "l", "contexts", none.cast("long").alias("sid"), none.cast("long").alias("sh"), none.cast("int").alias("sa")).alias("want"))
-    ends = runs.select("id", "h", F.inline("runs")).withColumn("n", F.col("b") - F.col("a") + w)
+    # Runs are compared by pieces, parted at the same places of the document that they repeat, so equal ones come together early.
+    ends = runs.select("id", "h", F.inline("runs")).withColumn("z", F.col("sa") + F.col("b") - F.col("a") + w)
+    ends = ends.withColumn("g", F.explode(F.sequence(F.floor(F.col("sa") / PIECE), F.floor((F.col("z") - 1) / PIECE))))
+    from_ = F.greatest("sa", F.col("g") * PIECE)
+    ends = ends.select("id", "h", (F.col("a") + from_ - F.col("sa")).cast("int").alias("a"), "sid", "sh", from_.cast("int").alias("sa"), (F.least("z", (F.col("g") + 1) * PIECE) - from_).cast("int").alias("n"))
 
     def side(id_: str, h: str, at: str) -> Column:
         key = (none.cast("long").alias("ah"), F.col(at).alias("c0"), F.col("n"), none.cast("int").alias("o"), none.cast("int").alias("l"), none.cast("long").alias("contexts"), F.col("sid"), F.col("sh"), F.col("sa"))
@@ -344,6 +373,11 @@ def _attempt(rows: DataFrame, kind: Kind, held: int, seed: int) -> DataFrame | N
 
 def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, h, pieces) to (id, h, runs): pieces of a document that repeat another at the same distance and meet are one run."""
+    with trimmed():
+        yield from _merged(batches)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
         row = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
         a, z, sid, sh, sa = (c.to_numpy().astype(np.int64) for c in b.column(2).flatten().flatten())
@@ -369,9 +403,13 @@ def cutting(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     """(id, h, asked, text) to a row for every part that the documents are asked for."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with trimmed():
+            yield from parts(batches)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             for id_, h, want, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                raw, at, _ = kind.cut(x.as_py())
+                raw, at, _, _ = kind.cut([x.as_py()])
                 got = want.values.flatten()
                 c0, n = (got[ASKED.index(c)].to_numpy().astype(np.int64) for c in ("c0", "n"))
                 data = pa.array(kind.spans(raw, at, c0, c0 + n), pa.binary())

@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame
 from .repeats import HELD, Kind, chosen, covered, least, prefix, span_hash, with_spans
 
 
-def cut(text: str) -> tuple[bytes, np.ndarray, list[bytes]]:
-    raw = text.encode("utf-8", "surrogatepass")
-    return raw, np.arange(len(raw) + 1), []
+def cut(texts: list[str]) -> tuple[bytes, np.ndarray, list[bytes], list[int]]:
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    raw = b"".join(parts)
+    return raw, np.arange(len(raw) + 1), [], list(map(len, parts))
 
 
 def values(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -28,11 +29,12 @@ def values(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def kind(window: int = 200, bits: int = 64) -> Kind:
     size = max(1, window * 64 // 200)
 
-    def anchors(raw: bytes, _: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def anchors(raw: bytes, _: list[bytes], inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         p = prefix(np.frombuffer(raw, np.uint8).astype(np.uint64))
         start = np.arange(len(raw) - size + 1)
         place = least(span_hash(p, start, start + size), window - size + 1)
-        found, first, last = chosen(place, np.arange(len(place)))
+        windows = np.flatnonzero(inside)
+        found, first, last = chosen(place[windows], windows)
         return found, found + size, first, last
 
     return Kind(window, cut, anchors, values, gap=0, later=False, bits=bits)
