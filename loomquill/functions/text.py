@@ -91,3 +91,100 @@ def context_rule(c: Column) -> Column:
     for p, name in reversed(rules):
         out = F.when(c.rlike(p), name).otherwise(out)
     return F.when(F.trim(c) == "", "blank").otherwise(out)
+
+
+#: Titles that a name loses, in this order, each once.
+TITLES = ("^ד[\"״׳']ר\\s+", "^דר\\s+", "^פרופ['׳]?\\s+", "^מר\\s+", "^גב['׳]?\\s+", "^העד\\s+", "^העדה\\s+", "^השופט\\s+")
+#: What follows one of these is no part of a name.
+NOISE = (" של ", " על ", " את ", " לא ", " אם ", " או ", " כי ", " זה ", " היה ", " טעונה ", " דרושה ", " מיום ", " בנירנברג", " בעניין ", " לקבל ", " נוספת", " בדיקה", " נגבתה")
+#: Answers that aren't names.
+ANSWERS = ("yes", "no", "i do", "i will", "that is correct")
+_WORD = "[\\p{L}\\p{N}_]"
+
+
+def ocr_repair(c: Column) -> Column:
+    """Quotes become plain, one between letters the Hebrew sign; a doubled vav becomes one; white space folds. Null stays null."""
+    plain = F.regexp_replace(F.regexp_replace(c, "[״“”]", '"'), "[׳‘’]", "'")
+    return F.trim(F.regexp_replace(F.replace(F.regexp_replace(plain, f"({_WORD})'({_WORD})", "$1׳$2"), F.lit("וו"), F.lit("ו")), "\\s+", " "))
+
+
+def without_points(c: Column) -> Column:
+    """Hebrew points and quotation marks go, white space folds."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "[\\u0591-\\u05C7\"'״׳]", ""), "\\s+", " "))
+
+
+def without_titles(c: Column, titles: tuple[str, ...] = TITLES) -> Column:
+    return F.trim(reduce(lambda x, p: F.regexp_replace(x, p, ""), titles, F.trim(c)))
+
+
+def name_key(c: Column) -> Column:
+    """Lower case, without an English title."""
+    return F.trim(F.regexp_replace(F.lower(F.trim(c)), "^(dr|prof|judge)\\.? +", ""))
+
+
+def title_if_lower(c: Column) -> Column:
+    """Title case for what is wholly lower case; Spark's initcap starts words at blanks alone."""
+    return F.when(c == F.lower(c), F.initcap(c)).otherwise(c)
+
+
+def witness_name(c: Column, strict: bool = False, noise: tuple[str, ...] = NOISE) -> Column:
+    """A name as far as the first noise word; null where less than four characters stand before one, where the length
+    isn't 3 to 60 (40 if strict) or where no Hebrew letter is left. One pass over the words, so the expression stays short."""
+    tail = lambda x: F.trim(F.regexp_replace(F.trim(x), "[.,;:!?()\\[\\]]+$", ""))
+    first = F.trim(F.regexp_replace(tail(c), "^העד\\s+", ""))
+    cut = lambda x, w: F.when(F.instr(x, w) == 0, x).when(F.instr(x, w) > 4, F.trim(F.left(x, F.instr(x, w) - 1)))
+    name = tail(F.aggregate(F.array(*map(F.lit, noise)), first, lambda x, w: cut(x, w)))
+    longest = 40 if strict else 60
+    return F.when(name.rlike("[\\u0590-\\u05FF]") & F.length(name).between(3, longest), name)
+
+
+def answered_name(c: Column) -> Column:
+    """A name out of an answer: explanations behind a dash, maiden names and dots at the end go; null for an answer without one."""
+    steps = [("\\s+", " "), ("\\.+$", ""), ("(?i)\\s*[-–]\\s*(?:my name|originally|née|nee|now|formerly|previously).*", ""), (f"(?i)\\s+(?:née|nee)\\s+{_WORD}+$", ""), ("\\s*[-–]\\s+[a-z].*", "")]
+    name = F.trim(replace_all(c, steps))
+    return F.when(~F.lower(name).isin(*ANSWERS) & (name != ""), name)
+
+
+def without_artifacts(c: Column, patterns: tuple[str, ...]) -> Column:
+    """Passages by pattern go, over line ends too; repeated rules and blank lines become one."""
+    kept = replace_all(c, [("(?is)" + p, "") for p in patterns])
+    return F.trim(replace_all(kept, [("(\\s*---\\s*\n){2,}", "\n---\n\n"), ("\n{3,}", "\n\n")]))
+
+
+def transcript_lines(c: Column, header: str, session: str = "^\\s*(?i:session)\\s+(no\\.?\\s*)?[0-9]+\\s*$", shorter: int = 50) -> Column:
+    """The lines of a page less page numbers, running heads (short lines with the header) and session lines; quotes plain, blanks folded, empty lines out."""
+    lines = F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, BIDI, ""))
+    kept = F.filter(lines, lambda x: ~x.rlike("^\\s*[0-9]+\\s*$") & ~(F.contains(x, F.lit(header)) & (F.length(x) < shorter)) & ~x.rlike(session))
+    folded = F.transform(kept, lambda x: F.trim(F.regexp_replace(F.translate(x, HEBREW_QUOTES, PLAIN_QUOTES), "\\s+", " ")))
+    return F.array_join(F.filter(folded, lambda x: x != ""), "\n")
+
+
+def spaced_marks(c: Column) -> Column:
+    """A blank behind a speaker's colon, behind a comma before a letter and behind a full stop before a capital."""
+    return replace_all(c, [("(\\*\\*[^*\n]+:\\*\\*)([^\\s*])", "$1 $2"), (",([a-zA-Z])", ", $1"), ("([a-z])\\.([A-Z])", "$1. $2")])
+
+
+def unfenced(c: Column) -> Column:
+    """What a code fence holds, with or without the word json behind it; other text as it is."""
+    return F.regexp_replace(F.regexp_replace(F.trim(c), "^```(?:json)?\\s*", ""), "\\s*```$", "")
+
+
+def plain_inline(c: Column) -> Column:
+    """Inline Markdown gives way to its text: links, bold, italics, code."""
+    return replace_all(c, [("\\[([^\\]\n]+)\\]\\([^)\n]+\\)", "$1"), ("\\*\\*([^*\n]+)\\*\\*", "$1"), ("\\*([^*\n]+)\\*", "$1"), ("`([^`\n]+)`", "$1")])
+
+
+def escaped(c: Column) -> Column:
+    """Text for a page: the five signs of HTML become entities."""
+    signs = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
+    return reduce(lambda x, s: F.replace(x, F.lit(s[0]), F.lit(s[1])), signs, c)
+
+
+def numbered_first(c: Column) -> Column:
+    """The number in a name, for ordering; names without one come last."""
+    return F.coalesce(F.nullif(F.regexp_extract(c, "[0-9]+", 0), F.lit("")).try_cast("long"), F.lit(2**62))
+
+
+def file_name(c: Column) -> Column:
+    """A name that every file system takes: letters, digits, blanks and hyphens stay, blanks become underscores."""
+    return F.replace(F.regexp_replace(c, "[^\\p{L}\\p{N}_\\s\\-]", ""), F.lit(" "), F.lit("_"))

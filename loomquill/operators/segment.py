@@ -129,3 +129,17 @@ def blanks_inherit(rows: DataFrame, by: str, order: list[str], *cells: str) -> D
     """Blank or null cells take the value above them in their list, null at its top."""
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumns({c: F.last(F.when(F.trim(F.col(c)) != "", F.col(c)), ignorenulls=True).over(w) for c in cells})
+
+
+def sections(rows: DataFrame, heading: str, key: str = "doc_id") -> DataFrame:
+    """(key, section, first_line, n_lines, text): a line with the heading's pattern opens a section; 0 is what stands before the first."""
+    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.withColumn("section", F.sum(F.col("line").rlike(heading).cast("long")).over(w))
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    joined = F.array_join(F.transform(ordered, lambda x: x["line"]), " ")
+    return marked.groupBy(key, "section").agg(F.min("line_no").cast("long").alias("first_line"), F.count("*").alias("n_lines"), joined.alias("text"))
+
+
+def body_start(rows: DataFrame, found: Column, otherwise: int, key: str = "doc_id") -> DataFrame:
+    """(key, body_start): the first line for which found holds, else a fixed place."""
+    return rows.groupBy(key).agg(F.coalesce(F.min(F.when(found, F.col("line_no"))), F.lit(otherwise)).alias("body_start"))

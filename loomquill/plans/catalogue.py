@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import extract, graph, link, resolve, segment
 from ..sources import html
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from . import file_queries, graph_queries, span_queries, text_queries  # noqa: F401  they register
+from .registry import QUERIES, SQL, query, t
 
 def queries() -> dict:
     return dict(QUERIES)
@@ -33,10 +19,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def doc_lines(s: SparkSession, d: str) -> DataFrame:
     return segment.lines(t(s, d, "documents"))
 
@@ -74,10 +56,9 @@ def q_slug(s, d):
     return t(s, d, "part").select("p_partkey", X.slug("part", F.col("p_name")).alias("slug"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(trim(lower(x)), '^the ', ''), '^a ', ''), '^an ', '') AS key FROM (SELECT doc_id, substring(text, 1, 40) AS x FROM documents WHERE lang = 'en') WHERE NOT regexp_matches(lower(x), '^(this|that|these|those) ')")
+@query("SELECT doc_id, md5(list_reduce(list_prepend(trim(lower(text)), ['the ', 'a ', 'an ', 'this ', 'that ', 'these ', 'those ']), lambda x, p: CASE WHEN starts_with(x, p) THEN substring(x, length(p) + 1) ELSE x END)) AS key FROM documents")
 def q_canonical_key(s, d):
-    x = F.substring("text", 1, 40)
-    return t(s, d, "documents").where(F.col("lang") == "en").where(~F.lower(x).rlike("^(this|that|these|those) ")).select("doc_id", X.match_key(x).alias("key"))
+    return t(s, d, "documents").select("doc_id", F.md5(X.match_key(F.col("text"))).alias("key"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS cut FROM documents")
@@ -85,7 +66,10 @@ def q_truncate_marker(s, d):
     return t(s, d, "documents").select("doc_id", X.truncated(F.col("text"), 200).alias("cut"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars >= 1024 THEN regexp_replace(printf('%.1f', floor(n_chars / 1024.0 * 10 + 0.5) / 10), '\\.0$', '') || ' KB' ELSE n_chars || ' B' END AS size FROM documents WHERE n_chars < 1048576")
+UNIT = "regexp_replace(printf('%.1f', floor(n_chars / {0}.0 * 10 + 0.5) / 10), '\\.0$', '') || ' {1}'"
+
+
+@query("SELECT doc_id, CASE WHEN n_chars >= 1073741824 THEN " + UNIT.format(1024**3, "GB") + " WHEN n_chars >= 1048576 THEN " + UNIT.format(1024**2, "MB") + " WHEN n_chars >= 1024 THEN " + UNIT.format(1024, "KB") + " ELSE n_chars || ' B' END AS size FROM documents")
 def q_byte_format(s, d):
     return t(s, d, "documents").select("doc_id", X.human_bytes(F.col("n_chars")).alias("size"))
 
@@ -158,10 +142,15 @@ def q_paragraph_fold(s, d):
     return segment.paragraphs(t(s, d, "conversations"), "conv_id", "turn", F.col("role") == "user", "text").select("conv_id", "paragraph", "n_rows", F.md5("text").alias("text"))
 
 
-@query("SELECT role, CASE WHEN trim(text) = '' THEN 'blank' WHEN regexp_matches(text, '^#') THEN 'heading' ELSE 'text' END AS kind, count(*) AS n FROM conversations WHERE NOT regexp_matches(text, '^(---|\\*\\*)') AND NOT regexp_matches(text, '(?i)\\[the witness is sworn') GROUP BY 1, 2")
+TAGGED = "SELECT role, (CASE turn % 7 WHEN 1 THEN '# ' WHEN 2 THEN '---' WHEN 3 THEN '**Q.** ' WHEN 4 THEN '**A.** ' WHEN 5 THEN '**Judge:** ' WHEN 6 THEN '[The Witness is sworn] ' ELSE '' END) || text AS x FROM conversations UNION ALL SELECT role, ' ' FROM conversations"
+
+
+@query(f"SELECT role, CASE WHEN trim(x) = '' THEN 'blank' WHEN regexp_matches(x, '^#') THEN 'heading' WHEN regexp_matches(x, '^(---|\\*\\*\\*)') THEN 'rule' WHEN regexp_matches(x, '(?i)\\[the witness is sworn\\.?\\]') THEN 'sworn' WHEN regexp_matches(x, '^\\*\\*Q') THEN 'question' WHEN regexp_matches(x, '^\\*\\*A') THEN 'answer' WHEN regexp_matches(x, '^\\*\\*[^*]+:\\*\\*') THEN 'speaker' ELSE 'text' END AS kind, count(*) AS n FROM ({TAGGED}) GROUP BY 1, 2")
 def q_speaker_class(s, d):
-    c = t(s, d, "conversations").where(~F.col("text").rlike("^(---|\\*\\*)") & ~F.col("text").rlike("(?i)\\[the witness is sworn"))
-    return c.groupBy("role", X.context_rule(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+    c = t(s, d, "conversations")
+    mark = F.get(F.array(*map(F.lit, ("", "# ", "---", "**Q.** ", "**A.** ", "**Judge:** ", "[The Witness is sworn] "))), F.col("turn").cast("int") % 7)
+    x = c.select("role", F.concat(mark, "text").alias("x")).union(c.select("role", F.lit(" ")))
+    return x.groupBy("role", X.context_rule(F.col("x")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 TERMS = "SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(regexp_extract_all(text, '\\p{L}+')) AS w FROM benchmark) WHERE length(w) >= 8"
@@ -225,11 +214,11 @@ def q_containment_anti(s, d):
     return n.join(F.broadcast(r), F.col("n_name").contains(F.col("r_name")) | F.col("r_name").contains(F.col("n_name")), "left_anti").select("n_name")
 
 
-TOKENS = "SELECT w AS token, min(doc_id) AS ord, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{L}+')) AS w FROM documents WHERE lang = 'en') WHERE length(w) >= 4 GROUP BY 1"
+TOKENS = "SELECT w AS token, min(doc_id) AS ord, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{L}+')) AS w FROM documents) WHERE length(w) >= 4 GROUP BY 1"
 
 
 def token_rows(s, d):
-    return extract.tokens(t(s, d, "documents").where("lang = 'en'")).where(F.length("token") >= 4).groupBy("token").agg(F.min("doc_id").alias("ord"), F.count("*").alias("n"))
+    return extract.tokens(t(s, d, "documents")).where(F.length("token") >= 4).groupBy("token").agg(F.min("doc_id").alias("ord"), F.count("*").alias("n"))
 
 
 @query(f"SELECT lower(token) AS key, arg_min(token, struct_pack(l := -length(token), o := ord, t := token)) AS name, CAST(sum(n) AS BIGINT) AS mentions, count(DISTINCT token) AS n_names FROM ({TOKENS}) GROUP BY 1")
@@ -454,13 +443,13 @@ def q_blanks_inherit(s, d):
     return segment.blanks_inherit(e, "user_id", ["ts", "event_id"], "cell").select("event_id", "cell")
 
 
-NAMED = "e AS (SELECT p_partkey AS ord, p_name AS name, p_brand || p_size AS key, CAST(p_size AS BIGINT) AS mentions, p_partkey % 7 AS session FROM part), o AS (SELECT * FROM e WHERE ord % 2 = 1), l AS (SELECT * FROM e WHERE ord % 4 = 0), k AS (SELECT DISTINCT key FROM e WHERE mentions = 1), p AS (SELECT DISTINCT key FROM e WHERE mentions = 2)"
+NAMED = "e AS (SELECT p_partkey AS ord, p_name AS name, p_brand || p_size AS key, CAST(p_size AS BIGINT) AS mentions, p_partkey % 7 AS session FROM part), o AS (SELECT * FROM e WHERE ord % 2 = 1), l AS (SELECT * FROM e WHERE ord % 2 = 0), k AS (SELECT DISTINCT key FROM e WHERE mentions = 1), p AS (SELECT DISTINCT key FROM e WHERE mentions = 2)"
 
 
 @query(f"WITH {NAMED}, gone AS (SELECT key, sum(mentions) AS m, list(session) AS s FROM o WHERE key IN (SELECT key FROM l) GROUP BY 1), h AS (SELECT key, min(ord) AS ord FROM l GROUP BY 1) SELECT 'location' AS kind, l.ord, l.name, CAST(l.mentions + coalesce(m, 0) AS BIGINT) AS mentions, len(list_distinct(list_concat([session], coalesce(s, [])))) AS n_sessions FROM l LEFT JOIN h ON l.ord = h.ord LEFT JOIN gone ON gone.key = h.key UNION ALL SELECT 'organization', ord, name, mentions, 1 FROM o WHERE key NOT IN (SELECT key FROM l) AND key NOT IN (SELECT key FROM k) AND key NOT IN (SELECT key FROM p)")
 def q_merge_cross_type(s, d):
     e = t(s, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.concat("p_brand", F.col("p_size").cast("string")).alias("key"), F.col("p_size").cast("long").alias("mentions"), F.array(F.col("p_partkey") % 7).alias("sessions"))
-    out = resolve.merge_cross_type(e.where("ord % 2 = 1"), e.where("ord % 4 = 0"), e.where("mentions = 1"), e.where("mentions = 2"))
+    out = resolve.merge_cross_type(e.where("ord % 2 = 1"), e.where("ord % 2 = 0"), e.where("mentions = 1"), e.where("mentions = 2"))
     return out.select("kind", "ord", "name", "mentions", F.size("sessions").alias("n_sessions"))
 
 

@@ -71,3 +71,46 @@ def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
 
 def host(url: Column) -> Column:
     return F.regexp_extract(url, "^[a-z]+://([^/]+)", 1)
+
+
+def without_blocks(c: Column, tags: tuple[str, ...] = ("script", "style", "nav", "form")) -> Column:
+    """A page's source less what these tags hold."""
+    for tag in tags:
+        c = F.regexp_replace(c, f"(?is)<{tag}.*?</{tag}>", "")
+    return c
+
+
+def page(pages: DataFrame, session: str, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
+    """(key, title, session, body): title element, the number that the pattern finds in the address (null if none), text without tags."""
+    body = F.trim(F.regexp_replace(F.regexp_replace(without_blocks(F.col(html)), "<[^>]*>", " "), "\\s+", " "))
+    number = F.nullif(F.regexp_extract(url, session, 1), F.lit("")).try_cast("int")
+    return pages.select(key, F.regexp_extract(html, "(?s)<title>(.*?)</title>", 1).alias("title"), number.alias("session"), body.alias("body"))
+
+
+def part_links(pages: DataFrame, pattern: str, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, session, part) of links whose address has the pattern's two numbers, each pair once a page; a missing part is 1."""
+    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), 1).alias("session"), F.regexp_extract_all(html, F.lit(pattern), 2).alias("part"))
+    rows = pages.select(key, F.explode(found).alias("x")).select(key, F.col("x.session").cast("int").alias("session"), F.coalesce(F.nullif("x.part", F.lit("")).cast("int"), F.lit(1)).alias("part"))
+    return rows.distinct()
+
+
+def missing_parts(known: DataFrame, ahead: int = 9) -> DataFrame:
+    """(session, part): numbers from 1 to the greatest known part and some beyond that aren't known, to be looked for."""
+    every = known.groupBy("session").agg(F.max("part").alias("m")).select("session", F.explode(F.sequence(F.lit(1), F.col("m") + ahead)).alias("part"))
+    return every.join(known.select("session", "part").distinct(), ["session", "part"], "left_anti")
+
+
+def embedded_json(c: Column, name: str, schema: str) -> Column:
+    """What a script assigns to a variable, by a schema; null where there is no such assignment or it doesn't parse."""
+    return F.from_json(F.nullif(F.regexp_extract(c, f"(?s)var {name} *= *(.*?);\\s*(?:</script>|$|\n|track)", 1), F.lit("")), schema)
+
+
+def named_files(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, file, name) of links with a title and images with an alternative text, by file name; the first of a page wins, links before images."""
+
+    def found(pattern: str, kind: int) -> DataFrame:
+        pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), 1).alias("ref"), F.regexp_extract_all(html, F.lit(pattern), 2).alias("name"))
+        return pages.select(key, F.posexplode(pairs).alias("at", "x")).select(key, F.lit(kind).alias("kind"), "at", F.regexp_extract("x.ref", "([^/]*)$", 1).alias("file"), F.col("x.name").alias("name"))
+
+    both = found('<a [^>]*href="([^"]*)"[^>]*title="([^"]*)"', 0).union(found('<img [^>]*src="([^"]*)"[^>]*alt="([^"]*)"', 1))
+    return both.groupBy(key, "file").agg(F.min_by("name", F.struct("kind", "at")).alias("name"))
