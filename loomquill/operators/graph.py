@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -80,3 +80,95 @@ def linked_nodes(edges: DataFrame, node, sessions: DataFrame, nodes: DataFrame,
     direct = edges.where(F.col("a") == node).select(F.col("b").alias("node")).union(edges.where(F.col("b") == node).select(F.col("a").alias("node")))
     shared = edges.where("type = 'MENTIONED_IN'").join(sessions.select(F.col("session").alias("b")).distinct(), "b", "left_semi").select(F.col("a").alias("node"))
     return top(nodes.where("not hidden").join(direct.union(shared).distinct(), "node", "left_semi"), k, F.desc("mentions"), "node")
+
+
+def session_edges(entities: DataFrame) -> DataFrame:
+    """(a, session, type): entities (node, role, sessions) tied to each of their sessions by role; null and 0 are no sessions."""
+    kind = F.when(F.col("role") == "WITNESS", "TESTIFIED_IN").when(F.col("role") == "TESTIMONY", "RECORDED_IN").otherwise("MENTIONED_IN")
+    return entities.select(F.col("node").alias("a"), F.explode("sessions").alias("session"), kind.alias("type")).where("session <> 0")
+
+
+def typed_edges(rows: DataFrame, a: str, b: str, kind: str, among: DataFrame | None = None, key: str | None = None) -> DataFrame:
+    """(a, b, type) where both ends are there; with `among`, only those whose b is one of its keys."""
+    out = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(kind).alias("type"))
+    return out.join(among.select(F.col(key).alias("b")).distinct(), "b", "left_semi").select("a", "b", "type") if among is not None else out
+
+
+def capped_pairs(members: DataFrame, rules: list[tuple[str, int | None, str, int | None, str]]) -> DataFrame:
+    """(a, b, type) from members (session, node, kind, ord): the first few of two kinds in a session are paired.
+
+    rules: (kind of a, cap or None, kind of b, cap or None, type). Undirected duplicates go, the first direction by
+    (rule, session, order) stays. Caps bound what a session pairs; a rule without caps on both sides pairs all.
+    """
+    w = Window.partitionBy("session", "kind").orderBy("ord", "node")
+    ranked = members.withColumn("_r", F.row_number().over(w))
+    found = None
+    for i, (ka, ca, kb, cb, kind) in enumerate(rules):
+        side = lambda k, c, n: ranked.where(F.col("kind") == k).where(F.lit(True) if c is None else F.col("_r") <= c).select("session", F.col("node").alias(n), F.col("_r").alias("_" + n))
+        pairs = side(ka, ca, "a").join(side(kb, cb, "b"), "session").where("a <> b").select("a", "b", F.lit(kind).alias("type"), F.struct(F.lit(i).alias("i"), "session", "_a", "_b").alias("_o"))
+        found = pairs if found is None else found.union(pairs)
+    return found.groupBy(F.least("a", "b"), F.greatest("a", "b"), "type").agg(F.min_by(F.struct("a", "b"), "_o").alias("e")).select("e.a", "e.b", "type")
+
+
+def undirected_first(edges: DataFrame, order: str) -> DataFrame:
+    """One edge (a, b, type) of each unordered pair and type, the first by order."""
+    first = F.min_by(F.struct("a", "b"), F.struct(order, "a", "b"))
+    return edges.groupBy(F.least("a", "b"), F.greatest("a", "b"), "type").agg(first.alias("e")).select("e.a", "e.b", "type")
+
+
+def numbered(new: DataFrame, edges: DataFrame, order: list[str], prefix: str = "edge_") -> DataFrame:
+    """new with ids that go on from the greatest number of the ids that edges have. New edges are numbered in ranges:
+    each range's first number comes from the counts of those before it, so no task holds all of them."""
+    last = edges.agg(F.coalesce(F.max(F.regexp_extract("id", f"^{prefix}([0-9]+)$", 1).try_cast("long")), F.lit(0)).alias("m")).first().m
+    ranged = new.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    counts = {r["_p"]: r["count"] for r in ranged.groupBy("_p").count().collect()}  # a number a partition
+    before, at = {}, last
+    for p in sorted(counts):
+        before[p], at = at, at + counts[p]
+    base = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(last))
+    number = base[F.col("_p")] + F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return ranged.withColumn("id", F.concat(F.lit(prefix), number.cast("string"))).drop("_p")
+
+
+def by_kind(rows: DataFrame, session: str, kind: str, node: str, kinds: list[str], spine: DataFrame | None = None) -> DataFrame:
+    """(session, one sorted array of nodes a kind, n): every session of the spine, empty where nothing was seen."""
+    lists = [F.array_sort(F.collect_set(F.when(F.col(kind) == k, F.col(node)))).alias(k) for k in kinds]
+    out = rows.groupBy(session).agg(*lists, F.countDistinct(node).alias("n"))
+    if spine is None:
+        return out
+    empty = [F.coalesce(k, F.array().cast(out.schema[k].dataType)).alias(k) for k in kinds]
+    return spine.select(session).distinct().join(out, session, "left").select(session, *empty, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def date_nodes(rows: DataFrame, date: str) -> DataFrame:
+    """(id, name, day, first, last, is_summary): a node for each date, and one row for the whole span."""
+    days = rows.select(F.to_date(date).alias("d")).where("d is not null").distinct()
+    one = days.select(F.date_format("d", "'date-'yyyy-MM-dd").alias("id"), F.date_format("d", "d MMMM yyyy").alias("name"), F.date_format("d", "EEEE").alias("day"), F.col("d").alias("first"), F.col("d").alias("last"), F.lit(False).alias("is_summary"))
+    span = days.agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first is not null")
+    return one.union(span.select(F.lit("date-range"), F.lit("All dates"), F.lit(None).cast("string"), "first", "last", F.lit(True)))
+
+
+def or_all(sessions: Column, every: Column) -> Column:
+    """A node's sessions, or all of them where none was found."""
+    return F.when(F.size(F.coalesce(sessions, F.array().cast("array<int>"))) > 0, sessions).otherwise(every)
+
+
+def both_ends(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
+    """Edges whose two ends are among the nodes."""
+    n = nodes.select(node).distinct()
+    return edges.join(n.withColumnRenamed(node, "a"), "a", "left_semi").join(n.withColumnRenamed(node, "b"), "b", "left_semi").select(*edges.columns)
+
+
+def merge_graphs(base: DataFrame, other: DataFrame, key: str, fill: list[str]) -> DataFrame:
+    """base's rows, with the filled columns from other where base has none, and other's rows whose key base lacks; both have a key once."""
+    o = other.select(key, *[F.col(c).alias("_" + c) for c in fill])
+    kept = base.join(o, key, "left").withColumns({c: F.coalesce(c, "_" + c) for c in fill}).select(*base.columns)
+    return kept.unionByName(other.join(base.select(key), key, "left_anti").select(*base.columns))
+
+
+def nodes_of(rows: DataFrame, on_collision: str, key: str, order: str, count: str) -> DataFrame:
+    """One node a key: `merge` sums counts, `first` keeps the first row by order, `last` the last one."""
+    pick = {"merge": F.min_by, "first": F.min_by, "last": F.max_by}[on_collision]
+    fields = [c for c in rows.columns if c != key]
+    out = rows.groupBy(key).agg(pick(F.struct(*fields), F.col(order)).alias("_x"), F.sum(count).alias("_n")).select(key, "_x.*", "_n")
+    return out.withColumn(count, F.col("_n")).drop("_n") if on_collision == "merge" else out.drop("_n")
