@@ -18,9 +18,14 @@ def replace_all(c: Column, patterns: list[tuple[str, str]]) -> Column:
     return reduce(lambda x, p: F.regexp_replace(x, p[0], p[1]), patterns, c)
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at its ends, line ends included."""
+    return F.btrim(c, F.lit(" \t\n\r\f\x0b"))
+
+
 def clean(c: Column, boilerplate: tuple[str, ...] = ()) -> Column:
     """Boilerplate patterns go, whatever their case; three line ends or more become two; ends are trimmed."""
-    return F.trim(F.regexp_replace(replace_all(c, [("(?i)" + p, "") for p in boilerplate]), "\n{3,}", "\n\n"))
+    return stripped(F.regexp_replace(replace_all(c, [("(?i)" + p, "") for p in boilerplate]), "\n{3,}", "\n\n"))
 
 
 def collapse_lines(c: Column) -> Column:
@@ -148,7 +153,7 @@ def answered_name(c: Column) -> Column:
 def without_artifacts(c: Column, patterns: tuple[str, ...]) -> Column:
     """Passages by pattern go, over line ends too; repeated rules and blank lines become one."""
     kept = replace_all(c, [("(?is)" + p, "") for p in patterns])
-    return F.trim(replace_all(kept, [("(\\s*---\\s*\n){2,}", "\n---\n\n"), ("\n{3,}", "\n\n")]))
+    return stripped(replace_all(kept, [("(\\s*---\\s*\n){2,}", "\n---\n\n"), ("\n{3,}", "\n\n")]))
 
 
 def transcript_lines(c: Column, header: str, session: str = "^\\s*(?i:session)\\s+(no\\.?\\s*)?[0-9]+\\s*$", shorter: int = 50) -> Column:

@@ -24,7 +24,7 @@ def apply_map(rows: DataFrame, mapping: DataFrame, name: str, keep_unmapped: boo
 def variants(name: Column, least: int = 3) -> Column:
     """Search terms of a name: whole, last part, without hyphens, without its title."""
     plain = F.trim(F.regexp_replace(name, "(?i)^(dr|prof|judge)\\.? ", ""))
-    every = F.array(name, F.element_at(F.split(name, " "), -1), F.replace(name, F.lit("-"), F.lit(" ")), plain)
+    every = F.array(name, F.try_element_at(F.split(name, " "), F.lit(-1)), F.replace(name, F.lit("-"), F.lit(" ")), plain)
     return F.array_sort(F.array_distinct(F.filter(every, lambda x: F.length(x) >= least)))
 
 
@@ -33,8 +33,8 @@ def cascade(queries: DataFrame, index: DataFrame, by_index: bool = False) -> Dat
 
     Tiers come before index order, or with by_index behind it. Each tier is an equi-join.
     """
-    q = queries.select("query").distinct().withColumns({"k2": F.lower(F.trim("query")), "k3": F.lower(F.element_at(F.split(F.trim("query"), " "), -1))})
-    i = index.select("ord", "name").withColumns({"k2": F.lower(F.trim("name")), "k3": F.lower(F.element_at(F.split(F.trim("name"), " "), -1))})
+    q = queries.select("query").distinct().withColumns({"k2": F.lower(F.trim("query")), "k3": F.lower(F.try_element_at(F.split(F.trim("query"), " "), F.lit(-1)))})
+    i = index.select("ord", "name").withColumns({"k2": F.lower(F.trim("name")), "k3": F.lower(F.try_element_at(F.split(F.trim("name"), " "), F.lit(-1)))})
     single = i.groupBy("k3").agg(F.count("*").alias("n"), F.min("ord").alias("ord")).where("n = 1").select("k3", "ord")
     hits = q.join(i, q["query"] == i["name"]).select("query", "ord", F.lit(1).alias("tier"))
     hits = hits.union(q.join(i.select("k2", "ord"), "k2").select("query", "ord", F.lit(2)))
@@ -146,7 +146,7 @@ def strict_cascade(queries: DataFrame, index: DataFrame) -> DataFrame:
     term; 5 a last word of five letters or more that ends one name alone. Every tier is an equi-join; tier 4 joins on the
     last word. Null and blank queries find nothing.
     """
-    word = lambda c, i: F.element_at(F.filter(F.split(c, "\\s+"), lambda x: x != ""), i)
+    word = lambda c, i: F.try_element_at(F.filter(F.split(c, "\\s+"), lambda x: x != ""), F.lit(i))
     q = queries.select("query").distinct().withColumn("k", F.lower(F.trim("query"))).where("k <> ''")
     q = q.withColumns({"first": word(F.col("k"), 1), "last": word(F.col("k"), -1), "two": F.instr("k", " ") > 0})
     i = index.select("ord", F.lower("name").alias("n"), "terms").where("trim(n) <> ''").withColumns({"nf": word(F.col("n"), 1), "nl": word(F.col("n"), -1), "ntwo": F.instr("n", " ") > 0})
@@ -199,7 +199,7 @@ def exact_then_inside(names: list[str], variants: str) -> list:
 def mutual(least: int = 2) -> list:
     """Tests: equal, equal last words longer than `least`, one inside the other; in any case."""
     a, b = F.lower("query"), F.lower("_name")
-    last = lambda c: F.element_at(F.split(c, " "), -1)
+    last = lambda c: F.try_element_at(F.split(c, " "), F.lit(-1))
     return [a == b, (last(a) == last(b)) & (F.length(last(a)) > least), F.contains(a, b) | F.contains(b, a)]
 
 

@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import extract, graph, link, resolve, segment
 from ..sources import html
 from . import file_queries, graph_queries, span_queries, text_queries  # noqa: F401  they register
-from .registry import QUERIES, SQL, query, t
+from .registry import QUERIES, SQL, query, t, values
 
 def queries() -> dict:
     return dict(QUERIES)
@@ -41,14 +41,14 @@ def q_clean_whitespace(s, d):
     return t(s, d, "documents").select("doc_id", F.md5(X.collapse_lines(F.col("text"))).alias("cleaned"))
 
 
-@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '(?i)password[^\\n]*', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))) AS cleaned FROM documents")
+@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '(?i)password[^\\n]*', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) AS cleaned FROM documents")
 def q_clean_boilerplate(s, d):
     return t(s, d, "documents").select("doc_id", F.md5(X.clean(F.col("text"), ("password[^\\n]*",))).alias("cleaned"))
 
 
-@query()
+@query("SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split_regex(text, '\\n\\n+'), lambda p: CASE WHEN regexp_matches(trim(p), '^(>|#|---|\\*\\*\\*|- |\\* |[0-9]+\\. )') THEN trim(p) ELSE trim(regexp_replace(p, '\\s*\\n\\s*', ' ', 'g')) END), lambda p: p <> ''), chr(10) || chr(10))) AS unwrapped FROM documents")
 def q_unwrap_paragraphs(s, d):
-    return t(s, d, "documents").select("doc_id", X.unwrap(F.col("text")).alias("unwrapped"))
+    return t(s, d, "documents").select("doc_id", F.md5(X.unwrap(F.col("text"))).alias("unwrapped"))
 
 
 @query("SELECT p_partkey, 'part-' || CASE WHEN x = '' THEN 'unknown' ELSE x END AS slug FROM (SELECT p_partkey, substring(regexp_replace(trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}_ \\-]', '', 'g')), ' +', '-', 'g'), 1, 50) AS x FROM part)")
@@ -84,7 +84,7 @@ def q_line_batches(s, d):
     return segment.line_batches(doc_lines(s, d), 50).select("doc_id", "batch", "n_lines", F.md5("text").alias("text"))
 
 
-@query()
+@query("WITH RECURSIVE l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x)) AS ls FROM documents), r AS (SELECT doc_id, 0 AS i, 0 AS chunk, 0 AS start, ls[1] AS n FROM l UNION ALL SELECT r.doc_id, i + 1, CASE WHEN n >= 4000 THEN chunk + 1 ELSE chunk END, CASE WHEN n >= 4000 THEN i + 1 ELSE start END, CASE WHEN n >= 4000 THEN ls[i + 2] ELSE n + 1 + ls[i + 2] END FROM r JOIN l ON r.doc_id = l.doc_id WHERE i + 1 < len(ls)) SELECT doc_id, chunk AS chunk_id, start AS line_start, max(i) AS line_end, arg_max(n, i) AS n_chars FROM r GROUP BY 1, 2, 3")
 def q_greedy_chunks(s, d):
     return segment.packed_chunks(t(s, d, "documents"), 4000)
 
@@ -406,6 +406,21 @@ def q_link_entities(s, d):
     return link.link(t(s, d, "documents"), [("idiot", "PERSON", "person-idiot"), ("thing", "EVENT", "event-thing")])
 
 
+PAGES = [("<h1>T</h1><p>a <b>b</b><br>c<script>x</p></script></p><ul><li>i</ul>", "# T\n\na **b**\nc\n\n- i"), ("<style>p{}</style><p>x <i>y</i></p><hr><img alt='z' src=q>", "x *y*\n\n---\n\nz"), ("plain &amp; simple", "plain & simple"), ("", "")]
+LINKED = [("Ann Lee met Bob; bob, ANN.", "[[P:p2|Ann Lee]] met [[P:p3|Bob]]; [[P:p3|bob]], [[P:p1|ANN]].", 4), ("# Ann\n> Ann\n**Ann** x", "# Ann\n> Ann\n**Ann** x", 0), ("[[P:p1|Ann]] annex", "[[P:p1|Ann]] annex", 0)]
+
+
+@query(f"SELECT html, markdown FROM {values(PAGES, 'html, markdown')}")
+def q_html_fixed(s, d):
+    return s.createDataFrame([(h,) for h, _ in PAGES], "html string").select("html", html.html_to_markdown("html").alias("markdown"))
+
+
+@query(f"SELECT text, linked, n_links FROM {values(LINKED, 'text, linked, n_links')}")
+def q_link_fixed(s, d):
+    docs = s.createDataFrame([(x,) for x, _, _ in LINKED], "text string").withColumn("key", F.col("text"))
+    return link.link(docs, [("Ann", "P", "p1"), ("Ann Lee", "P", "p2"), ("Bob", "P", "p3")], "key").withColumnRenamed("key", "text")
+
+
 MARKED = "SELECT n_nationkey, 'In [[LOCATION:' || lower(n_name) || '|' || n_name || ']] and [[EVENT:e1|it]].' AS x FROM nation"
 
 

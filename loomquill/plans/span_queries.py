@@ -1 +1,269 @@
-"""Queries."""
+"""Queries of spans, extraction and linking; transcripts are made of the suppliers of each nation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import extract, link, segment, spans
+from .registry import query, t, values
+
+# One session a nation: each supplier is called, sworn, named in one of several ways, heard and thanked.
+CALL = "I call the witness Mr. Caller X. "
+HEARD = "**Q.** And then?\n**A.** It was so.\n"
+WAYS = ["**Witness:** My name is Dr. Anna Berta Stone.\n", "**Witness:** Dr. Emil Gold and\n", "**Judge:** Your full name?\n**A.** Carl Dunn\n", "**Judge:** Yes.\n**Witness Ilk:** I do.\n", "**Attorney:** Go on.\n"]
+OVER = ["**Presiding Judge:** Thank you, you have concluded your testimony. Go.\nafterwards\n", "**Presiding Judge:** Thank you, Mr. Dunn.\nafterwards\n", "nothing more\n"]
+SWEAR = ["[The witness is sworn.]", "[Witness Stone was sworn]", "[The Witness affirms, in Yiddish]"]
+
+
+def session_text() -> str:
+    case = lambda xs, k: "([" + ", ".join("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in xs) + f"])[CAST({k} % {len(xs)} + 1 AS BIGINT)]"
+    return f"sessions AS (SELECT s_nationkey AS doc_id, 'Opening.' || chr(10) || string_agg('{CALL}' || {case(SWEAR, 's_suppkey')} || chr(10) || {case(WAYS, 's_suppkey')} || replace('{HEARD}', chr(10), chr(10)) || {case(OVER, 's_suppkey')}, '' ORDER BY s_suppkey) AS text FROM supplier GROUP BY 1)".replace("\n", "' || chr(10) || '")
+
+
+def sessions(s, d):
+    pick = lambda xs: F.get(F.array(*map(F.lit, xs)), (F.col("s_suppkey") % len(xs)).cast("int"))
+    one = F.concat(F.lit(CALL), pick(SWEAR), F.lit("\n"), pick(WAYS), F.lit(HEARD), pick(OVER))
+    parts = t(s, d, "supplier").select(F.col("s_nationkey").alias("doc_id"), "s_suppkey", one.alias("x"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "x"))), lambda p: p["x"]), "")
+    return parts.groupBy("doc_id").agg(F.concat(F.lit("Opening.\n"), joined).alias("text"))
+
+
+MARK = "(?i)\\[(the witness is sworn\\.|witness stone was sworn|the witness affirms, in yiddish)\\]"
+
+
+@query(f"WITH {session_text()}, p AS (SELECT doc_id, string_split_regex(text, '{MARK}') AS p FROM sessions) SELECT doc_id, i AS span, md5(p[i + 2]) AS text FROM (SELECT doc_id, p, unnest(range(len(p) - 1)) AS i FROM p)")
+def q_testimony_spans(s, d):
+    return spans.between_markers(sessions(s, d)).select("doc_id", F.col("span").cast("long").alias("span"), F.md5("text").alias("text"))
+
+
+NAMES = ["Anna Berta Stone", "Emil Gold", "Carl Dunn", "Ilk", "Caller X"]
+
+
+@query("SELECT s_nationkey AS doc_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS span, (['" + "', '".join(NAMES) + "'])[CAST(s_suppkey % 5 + 1 AS BIGINT)] AS name, CASE s_suppkey % 3 WHEN 0 THEN 'testimony' WHEN 1 THEN 'Dunn.' ELSE 'more' END AS last FROM supplier")
+def q_testimonies(s, d):
+    out = spans.testimonies(sessions(s, d))
+    last = F.when(F.endswith("text", F.lit("you have concluded")), "testimony").when(F.endswith("text", F.lit("Mr. Dunn.")), "Dunn.").when(F.regexp_like("text", F.lit("nothing more\\s*(I call the witness Mr. Caller X.)?$")), "more")
+    return out.select("doc_id", F.col("span").cast("long").alias("span"), F.regexp_replace("name", "\\s+[Qq]?$", "").alias("name"), last.alias("last"))
+
+
+# Hebrew transcripts: lines made by number, one document a case.
+M = spans.Marks()
+CAST = [("w1", ["כהן", "יוסף כהן"], ["כהן", "לוי", "גולד"]), ("w2", ["לוי"], ["כהן", "לוי", "גולד"])]
+
+
+def hebrew(case: int) -> list[str]:
+    lines = [f"שורה מספר {i} של דברים שנאמרו בבית המשפט" for i in range(120)]
+    lines[5], lines[8] = "[העד הושבע]", "העד כהן: כן"
+    if case == 1:
+        lines[30] = "אב בית הדין: תודה מר כהן"
+    if case == 2:
+        lines[70], lines[73] = "[העדה הושבעה]", "העד לוי: כן"
+    if case == 3:
+        lines[60] = "העד גולד אומר דבר"
+    if case == 4:
+        lines[40] = "אני קורא לעד הבא"
+    if case == 5:
+        lines[10], lines[20], lines[30] = "אני קורא לעד", "העד לוי: לא", "תודה מר גולד"
+    if case == 6:
+        lines[16] = "סיימת את עדותך כהן"
+    return lines
+
+
+CASES = [(1, "w1", 5, 30, 1), (2, "w1", 5, 69, 2), (2, "w2", 70, 119, 0), (3, "w1", 5, 59, 3), (4, "w1", 5, 39, 4), (5, "w1", 5, 119, 0), (6, "w1", 5, 16, 1), (7, "w1", 5, 119, 0)]
+
+
+def hebrew_lines(s):
+    return s.createDataFrame([(c, i, x) for c in range(1, 8) for i, x in enumerate(hebrew(c))], "doc_id long, line_no int, line string")
+
+
+def cast(s):
+    return s.createDataFrame(CAST, "witness string, variants array<string>, others array<string>")
+
+
+def hebrew_spans(s):
+    lines = hebrew_lines(s)
+    return spans.ends(lines, spans.starts(lines, cast(s)), cast(s))
+
+
+@query(f"SELECT doc_id, witness, start, stop, rule FROM {values(CASES, 'doc_id, witness, start, stop, rule')}")
+def q_guarded_ends(s, d):
+    return hebrew_spans(s).withColumnRenamed("end", "stop")
+
+
+def _chars(case: int, a: int, z: int) -> int:
+    return len("\n".join(hebrew(case)[a : z + 1]))
+
+
+PURE = [(c, w, a, (19 if (c, w) == (5, "w1") else z)) for c, w, a, z, _ in CASES]
+PURE = [(c, w, a, z, _chars(c, a, z), 0) for c, w, a, z in PURE if _chars(c, a, z) >= 500]
+
+
+@query(f"SELECT doc_id, witness, start, stop, n_chars, n_issues FROM {values(PURE, 'doc_id, witness, start, stop, n_chars, n_issues')}")
+def q_pure_spans(s, d):
+    return spans.pure_spans(hebrew_lines(s), hebrew_spans(s), cast(s)).withColumnRenamed("end", "stop")
+
+
+@query(f"SELECT doc_id, name, start, stop FROM {values([(1, 'Gold', 3, 6), (1, 'Dunn', 8, 11), (2, 'Ilk', 2, 5)], 'doc_id, name, start, stop')}")
+def q_lookback_spans(s, d):
+    texts = ["call Gold\nx\ncall nobody here\n[sworn]\na\nb\nyou are done\ncall Dunn\n[sworn]\nc\nd\ne", "x\ncall Ilk\n[sworn]\na\nb\nc", "[sworn]\na\nyou are done"]
+    lines = segment.lines(s.createDataFrame([(i + 1, x) for i, x in enumerate(texts)], "doc_id long, text string"))
+    line = F.col("line")
+    return spans.sworn_spans(lines, F.contains(line, F.lit("[sworn]")), F.regexp_extract(line, "^call ([A-Z][a-z]+)", 1), F.contains(line, F.lit("done"))).withColumnRenamed("end", "stop")
+
+
+@query(f"SELECT doc_id, witness, start, stop FROM {values([(1, 'w', 10, 42), (2, 'w', 28, 62), (3, 'w', 60, 82)], 'doc_id, witness, start, stop')}")
+def q_mention_spans(s, d):
+    def text(case: int) -> str:
+        x = [f"l{i}" for i in range(100)]
+        x[30] = x[35] = "Gold said"
+        if case == 1:
+            x[10], x[40] = "[sworn]", "done"
+        if case == 2:
+            x[28], x[61] = "your name?", "Session 4"
+            x[60] = "Gold"
+        if case == 3:
+            x[30] = x[35] = ""
+            x[60], x[80] = "Gold", "Gold"
+        return "\n".join(x)
+
+    lines = segment.lines(s.createDataFrame([(c, text(c)) for c in (1, 2, 3)], "doc_id long, text string"))
+    names = s.createDataFrame([("w", ["Gold"])], "witness string, variants array<string>")
+    line = F.col("line")
+    hit = lambda x: F.contains(line, F.lit(x))
+    return spans.mention_spans(lines, names, hit("[sworn]"), hit("your name?"), hit("done"), hit("Session")).withColumnRenamed("end", "stop")
+
+
+@query("SELECT user_id AS doc_id, event_type AS witness, greatest(min(event_id) - 100, 0) AS start, max(event_id) + 505 AS stop FROM events GROUP BY 1, 2")
+def q_source_spans(s, d):
+    e = t(s, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("witness"), F.col("event_id").alias("start"), (F.col("event_id") + 5).alias("end"))
+    return spans.source_spans(e).withColumnRenamed("end", "stop")
+
+
+LINE = "lines AS (SELECT doc_id, unnest(range(len(p))) AS line_no, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))"
+
+
+@query(f"WITH {LINE} SELECT doc_id, a || '-' || (a + 3) AS range, md5(string_agg(line, chr(10) ORDER BY line_no)) AS text FROM (SELECT *, doc_id % 4 + 1 AS a FROM lines) WHERE line_no BETWEEN a - 2 AND a + 3 GROUP BY doc_id, a")
+def q_line_range(s, d):
+    docs = t(s, d, "documents")
+    a = F.col("doc_id") % 4 + 1
+    ranges = docs.select("doc_id", F.concat(a.cast("string"), F.lit("-"), (a + 3).cast("string")).alias("r")).union(docs.select("doc_id", F.lit("x")))
+    return spans.line_range(segment.lines(docs), ranges, "r", 1).select("doc_id", "range", F.md5("text").alias("text"))
+
+
+@query("SELECT conv_id, turn, md5(CASE WHEN role = 'user' THEN '**Q:** ' || trim(text) ELSE '**A:** ' || trim(text) END) AS line FROM conversations")
+def q_relabel(s, d):
+    c = t(s, d, "conversations").select("conv_id", "turn", F.concat(F.when(F.col("role") == "user", "Q. ").otherwise("A: "), "text").alias("line"))
+    return c.select("conv_id", "turn", F.md5(spans.relabelled(F.col("line"), [("Q[.:] ", "**Q:**"), ("A[.:] ", "**A:**")])).alias("line"))
+
+
+@query(f"WITH {LINE}, g AS (SELECT *, CASE WHEN contains(line, 'license') THEN 'documents' WHEN regexp_matches(line, '^The') THEN 'start' WHEN contains(line, '@') THEN 'decision' END AS tag, last_value(TRY_CAST(nullif(regexp_extract(line, '([0-9]{{3}})', 1), '') AS INTEGER) IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS session FROM lines) SELECT doc_id, line_no, session, tag FROM g WHERE tag IS NOT NULL")
+def q_tagged_lines(s, d):
+    return spans.tagged(segment.lines(t(s, d, "documents")), [("license", "documents"), ("^The", "start"), ("@", "decision")], "([0-9]{3})")
+
+
+@query("SELECT doc_id, substring(text, 1, 5) || substring(text, 11, 10) AS x FROM documents")
+def q_anchored_text(s, d):
+    seg = F.array(F.struct(F.lit(0).alias("start"), F.lit(5).alias("end")), F.struct(F.lit(10).alias("start"), F.lit(20).alias("end")))
+    return t(s, d, "documents").select("doc_id", spans.anchored(F.col("text"), seg).alias("x"))
+
+
+@query("SELECT p_partkey, CAST(f AS INTEGER) AS first, CAST(least(f + 14, p_size) AS INTEGER) AS last FROM (SELECT p_partkey, p_size, unnest(range(1, p_size + 1, 15)) AS f FROM part)")
+def q_page_ranges(s, d):
+    return spans.page_ranges(t(s, d, "part"), "p_size").select("p_partkey", "first", "last")
+
+
+# Extraction ----------------------------------------------------------------------------------------------------------
+
+TERMS = [("A", "the"), ("A", "license"), ("B", "and the"), ("C", "of the th"), ("C", " in the "), ("D", "nowhere at all")]
+
+
+@query(f"WITH {LINE}, h AS (SELECT DISTINCT entity, doc_id, line_no FROM lines JOIN {values(TERMS, 'entity, term')} ON contains(line, term)) SELECT entity, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM h GROUP BY 1")
+def q_substring_hits(s, d):
+    return extract.substring_hits(segment.lines(t(s, d, "documents")), s.createDataFrame(TERMS, "entity string, term string"))
+
+
+@query("SELECT doc_id, entity, n FROM (SELECT doc_id, 'council' AS entity, len(regexp_extract_all(text, '(?i)(idiot|moron)s?')) AS n FROM documents UNION ALL SELECT doc_id, 'site', len(regexp_extract_all(text, '(?i)https?://[a-z.]+')) FROM documents) WHERE n > 0")
+def q_pattern_mentions(s, d):
+    return extract.pattern_mentions(t(s, d, "documents"), [("council", "(idiot|moron)s?"), ("site", "https?://[a-z.]+")])
+
+
+@query("SELECT doc_id, name, substring(text, greatest(instr(text, name) - 50, 1), instr(text, name) + length(name) + 50 - greatest(instr(text, name) - 50, 1)) AS context FROM (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '([A-Z][a-z]+)[.]', 1))) AS name FROM documents) WHERE length(name) BETWEEN 3 AND 40")
+def q_captured_names(s, d):
+    return extract.captured(t(s, d, "documents"), "([A-Z][a-z]+)[.]")
+
+
+@query("SELECT doc_id, kind, array_to_string(names, '|') AS names FROM (SELECT doc_id, 'number' AS kind, list_sort(list_distinct(regexp_extract_all(text, '[0-9]{4,}'))) AS names FROM documents UNION ALL SELECT doc_id, 'mail', list_sort(list_distinct(regexp_extract_all(text, '[a-z]+@[a-z]+'))) FROM documents) WHERE len(names) > 0")
+def q_pattern_sets(s, d):
+    return extract.pattern_sets(t(s, d, "documents"), {"number": "[0-9]{4,}", "mail": "[a-z]+@[a-z]+"}).select("doc_id", "kind", F.array_join("names", "|").alias("names"))
+
+
+@query(f"WITH {LINE} SELECT doc_id, count(*) AS n FROM (SELECT *, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS x FROM lines) WHERE contains(line, 'the') AND regexp_matches(x, 'license|@') GROUP BY 1")
+def q_near_context(s, d):
+    rows = extract.near_context(segment.lines(t(s, d, "documents")), "license|@")
+    return rows.where(F.contains("line", F.lit("the")) & F.col("near")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+SAID = [("the witness Gold came", "Gold", True), ("Gold testified", "Gold", True), ("Gold came", "Gold", False), ("sworn", "Gold", False), (None, "Gold", None)]
+
+
+@query(f"SELECT line, hit FROM {values(SAID, 'line, term, hit')}")
+def q_in_testimony(s, d):
+    rows = s.createDataFrame([(a, b) for a, b, _ in SAID], "line string, term string")
+    return rows.select("line", extract.in_testimony(F.col("line"), F.col("term")).alias("hit"))
+
+
+@query(f"SELECT page, name FROM {values([(1, 'Carl Gold'), (2, 'Carl Gold'), (3, 'Carl Gold'), (5, 'Ann Ilk')], 'page, name')}")
+def q_spoilt_names(s, d):
+    pages = s.createDataFrame([(1, "x Carl Gold y"), (2, "G o l d"), (3, "a d l o G b"), (4, "gold"), (5, "Ilk"), (6, None)], "page int, text string")
+    return extract.pages_with(pages, s.createDataFrame([("Carl Gold",), ("Ann Ilk",)], "name string"), "page", "text")
+
+
+JUDGED = [("x", "PERSON", True), ("q.", "PERSON", True), ("42", "PERSON", True), ("*Gold", "PERSON", True), ("Gold", "ORGANIZATION", True), ("Gold Corp", "ORGANIZATION", False), ("Berlin", "ORGANIZATION", True), ("Hilfe", "ORGANIZATION", False), ("Gold", "LOCATION", True), ("Berlin", "LOCATION", False), ("Ann", "PERSON", True)]
+
+
+@query(f"SELECT name, kind, bad FROM {values(JUDGED, 'name, kind, bad')}")
+def q_bad_names(s, d):
+    rows = s.createDataFrame([(n, k) for n, k, _ in JUDGED], "name string, kind string").withColumn("key", F.lower("name"))
+    bad = extract.bad_entity(F.col("name"), F.col("key"), ("q.", "court")) | extract.rejected_by_type(F.col("kind"), F.col("name"), F.col("key"), ("gold",), ("berlin",), ("hilfe",))
+    return rows.select("name", "kind", bad.alias("bad"))
+
+
+@query("SELECT doc_id, name, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-ZÀ-Þ][a-zß-ÿ]+(?: [A-ZÀ-Þ][a-zß-ÿ]+)+')) AS name FROM documents) WHERE length(name) <= 100 GROUP BY 1, 2")
+def q_model_entities(s, d):
+    return extract.model_entities(t(s, d, "documents")).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, 'k' || CAST(json_extract(props, '$.k') AS BIGINT) AS name, event_type AS file FROM events WHERE event_id % 5 <> 0")
+def q_replayed(s, d):
+    e = t(s, d, "events")
+    k = F.get_json_object("props", "$.k")
+    answer = F.when(F.col("event_id") % 5 == 0, "no json").otherwise(F.concat(F.lit('```json\n{"entities": [{"name": "k'), k, F.lit('"}]}\n```')))
+    found = extract.replayed(e.select("event_id", answer.alias("a")), "entities array<struct<name: string>>", "event_id", "a")
+    return extract.with_source(found.join(e.select("event_id", "event_type"), "event_id"), "event_type").select("event_id", "name", F.col("source.event_type").alias("file"))
+
+
+# Linking -------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT term, id FROM (SELECT *, row_number() OVER (PARTITION BY lower(term) ORDER BY l DESC, id) AS r FROM (SELECT s_name AS term, length(s_name) AS l, 's' || s_suppkey AS id FROM supplier UNION ALL SELECT n_name, length(n_name), 'n' || n_nationkey FROM nation WHERE length(n_name) > 2 AND n_name <> 'NATION_1')) WHERE r = 1")
+def q_link_terms(s, d):
+    a = t(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("PERSON").alias("type"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("english"), F.concat(F.lit("a"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("ord"))
+    b = t(s, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("LOCATION").alias("type"), F.col("n_name").alias("name"), F.col("n_name").alias("english"), F.concat(F.lit("b"), F.lpad(F.col("n_nationkey").cast("string"), 9, "0")).alias("ord"))
+    skipped = s.createDataFrame([("d1", "DATE", "Some Date", None, "c")], a.schema)
+    return link.term_table(a.union(b).union(skipped), stop=("NATION_1",)).select("term", "id")
+
+
+@query("SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS links FROM (SELECT doc_id, len(regexp_extract_all(text, '(?i)(^|[^\\p{L}\\p{N}_])(moron|idiot)([^\\p{L}\\p{N}_]|$)')) AS n FROM documents) WHERE n > 0")
+def q_link_by_words(s, d):
+    """The way without a limit on terms: words joined to a table of terms."""
+    terms = s.createDataFrame([("idiot", "PERSON", "p1"), ("moron", "PERSON", "p2"), ("idiot nowhere", "EVENT", "e1")], "term string, type string, id string")
+    out = link.link_by_words(t(s, d, "documents"), terms)
+    return out.where("n_links > 0").agg(F.count("*").alias("n_docs"), F.sum("n_links").alias("links"))
+
+
+@query("SELECT n_nationkey, 'LOCATION' AS type, lower(n_name) AS id, n_name AS name FROM nation WHERE n_nationkey % 2 = 0")
+def q_link_targets(s, d):
+    n = t(s, d, "nation")
+    marked = n.select("n_nationkey", F.concat(F.lit("In [[LOCATION:"), F.lower("n_name"), F.lit("|"), "n_name", F.lit("]]")).alias("x"))
+    entities = n.where("n_nationkey % 2 = 0").select(F.lower("n_name").alias("id"), F.col("n_name").alias("name"))
+    return link.targets(link.markers(marked, "n_nationkey", "x"), entities).select("n_nationkey", "type", "id", "name")
