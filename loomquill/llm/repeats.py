@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -102,7 +102,8 @@ def chosen(place: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def hashes(spans: list[bytes], seed: int = 0) -> np.ndarray:
     """XXH64 of each."""
-    return np.frombuffer(b"".join(map(partial(xxhash.xxh64_digest, seed=seed), spans)), ">u8").astype(np.uint64)
+    digests = map(xxhash.xxh64_intdigest, spans, repeat(seed)) if seed else map(xxhash.xxh64_intdigest, spans)
+    return np.fromiter(digests, np.uint64, len(spans))
 
 
 @dataclass(frozen=True)
