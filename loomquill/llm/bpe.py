@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import texts
+from .common import lean, texts
 
 #: Entries of each worker's memories of encoded chunks and of pieces; each is emptied when full.
 MEMO = 500_000
@@ -161,7 +161,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 ids = pa.array((c.encode(x) for x in s.column(1).to_pylist()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([s.column(0), ids], ["doc_id", "ids"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -172,7 +172,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array((c.decode(x or ()) for x in b.column(1).to_pylist()), pa.binary())], ["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,4 +207,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         finally:
             gc.enable()
 
-    return texts(docs, id_col, text_col).mapInArrow(run, out)
+    return texts(docs, id_col, text_col).mapInArrow(lean(run), out)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import lean, texts, written
 from .words import word_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, PIECES)
+    return texts(docs, id_col, text_col).mapInArrow(lean(run, keeps=True), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,7 +126,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
             copies = found["copies"][at]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(found["base"][at] + nth // copies), pa.array(found["offset"][at] + nth % copies * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def sequences(docs: DataFrame, packed: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,7 +140,7 @@ def sequences(docs: DataFrame, packed: DataFrame, tokenizer_path: str, capacity:
                 cuts = [raw[at : at + capacity] for at in range(0, len(raw), capacity)]
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(cuts), pa.int64()), pa.array(range(len(cuts)), pa.int32()), pa.array(cuts, pa.list_(pa.int32()))], ["doc_id", "piece", "ids"])
 
-    cut = texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, ids array<int>")
+    cut = texts(docs, id_col, text_col).mapInArrow(lean(run, keeps=True), "doc_id long, piece int, ids array<int>")
     joined = packed.select("doc_id", "piece", "sequence_id", "offset").join(cut, ["doc_id", "piece"])
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))  # one sequence: at most `capacity` ids
     return joined.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, written
+from .common import BROADCAST_ROWS, lean, written
 from .labelled import fold, sample
 
 FEATURES = ("one", "log_words", "word_len", "distinct", "commonest", "repeats", "symbols", "marked", "digits", "upper", "stops", "bars", "lines", "long")
@@ -51,7 +51,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(x.as_py()) for x in b.column(0)], pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
-    rows = known.select("text", "label").mapInArrow(run, "x array<double>, y int").collect()  # a bounded sample
+    rows = known.select("text", "label").mapInArrow(lean(run), "x array<double>, y int").collect()  # a bounded sample
     k = len(FEATURES)
     x = np.asarray([r.x for r in rows], float).reshape(-1, k)
     y = np.asarray([r.y for r in rows], float)
@@ -84,7 +84,7 @@ def evidence(docs: DataFrame, weights: np.ndarray, host_col: str, path_col: str
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), host.alias("host"), path.alias("path"))
-    return rows.mapInArrow(run, "doc_id long, host string, path string, logit double")
+    return rows.mapInArrow(lean(run), "doc_id long, host string, path string, logit double")
 
 
 def strength(n, mean, variance, within):

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .repeats import HELD, Kind, chosen, covered, hashes, keyed, least, lots, mix, repeated, unique_ids, with_spans
 
 #: A run this long is named by its two ends; its inside gives way to them.
@@ -138,7 +139,7 @@ def agreed(rows: DataFrame, rounds: int = ROUNDS) -> tuple[int, ...]:
 
     if not rounds:
         return ()
-    counted = rows.select("text").mapInArrow(count, "path array<int>, n long").groupBy("path").agg(F.sum("n").alias("n"))
+    counted = rows.select("text").mapInArrow(lean(count), "path array<int>, n long").groupBy("path").agg(F.sum("n").alias("n"))
     n_of = {tuple(r.path): r.n for r in counted.collect()}  # SPLITS ** rounds numbers
     splits: tuple[int, ...] = ()
     for _ in range(rounds):
@@ -212,7 +213,7 @@ def repeated_words(docs: DataFrame, window: int = 20, rounds: int = ROUNDS, id_c
                 yield pa.RecordBatch.from_arrays([s.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "removed"])
 
     k = kind(agreed(keyed(docs, id_col, text_col, True), rounds), window, bits)
-    return with_spans(docs, k, id_col, text_col, held).mapInArrow(run, out)
+    return with_spans(docs, k, id_col, text_col, held).mapInArrow(lean(run), out)
 
 
 def without_repeats(docs: DataFrame, window: int = 50, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
@@ -235,7 +236,7 @@ def without_repeats(docs: DataFrame, window: int = 50, rounds: int = ROUNDS, id_
                 cols = [*s.columns[:at], pa.array(out, pa.string()), *s.columns[at + 1 : -1]]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    kept = joined.mapInArrow(run, docs.schema)
+    kept = joined.mapInArrow(lean(run), docs.schema)
     if size_col and size_col in docs.columns:
         kept = kept.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
     return kept

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, release, remove, spread_join, trimmed, written
+from .common import fresh_path, lean, release, remove, spread_join, written
 
 #: Contexts of one anchor that a task orders in memory; anchors with more are parted first.
 HELD = 10_000
@@ -180,11 +180,10 @@ def anchors(rows: DataFrame, kind: Kind, seed: int = 0) -> DataFrame:
     w = kind.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with trimmed():
-            for b in batches:
-                id_, h = (b.column(i).to_numpy() for i in (0, 1))
-                for place, lot in lots(b.column(2)):
-                    yield from of_lot(place, lot, id_, h)
+        for b in batches:
+            id_, h = (b.column(i).to_numpy() for i in (0, 1))
+            for place, lot in lots(b.column(2)):
+                yield from of_lot(place, lot, id_, h)
 
     def of_lot(place: int, lot: list[str], id_: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
         raw, at, tokens, sizes = kind.cut(lot)
@@ -209,7 +208,7 @@ def anchors(rows: DataFrame, kind: Kind, seed: int = 0) -> DataFrame:
         cols = (ah[rows], ch[rows], id_[place + doc[rows]], h[place + doc[rows]], *(c[rows].astype(np.int32) for c in (c0, n, o, size_of)))
         yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(more, pa.list_(pa.int32()))], ["ah", "ch", "id", "h", "c0", "n", "o", "l", "more"])
 
-    return rows.select("id", "h", "text").mapInArrow(run, ANCHORS)
+    return rows.select("id", "h", "text").mapInArrow(lean(run), ANCHORS)
 
 
 def digits(data: np.ndarray) -> tuple[np.ndarray, int]:
@@ -335,7 +334,7 @@ def _attempt(rows: DataFrame, kind: Kind, held: int, seed: int) -> DataFrame | N
     source = F.col("first") if kind.later else F.when(is_first, F.col("last")).otherwise(F.col("first"))
     pieces = pieces.where(~is_first) if kind.later else pieces
     piece = F.struct("a", (F.col("a") + F.col("n") - w).alias("b"), source["id"].alias("sid"), source["h"].alias("sh"), source["c0"].alias("sa"))
-    runs = written(pieces.select("id", "h", piece.alias("p")).groupBy("id", "h").agg(F.collect_list("p").alias("p")).mapInArrow(merge, f"id long, h long, runs array<{RUN}>"), "runs", passing)
+    runs = written(pieces.select("id", "h", piece.alias("p")).groupBy("id", "h").agg(F.collect_list("p").alias("p")).mapInArrow(lean(merge), f"id long, h long, runs array<{RUN}>"), "runs", passing)
     release(spark)
 
     # One occurrence of each context of an anchor that has several, and both ends of every run, are cut out of the texts.
@@ -354,7 +353,7 @@ def _attempt(rows: DataFrame, kind: Kind, held: int, seed: int) -> DataFrame | N
 
     wanted = wanted.union(side("id", "h", "a")).union(side("sid", "sh", "sa").distinct())
     asked = wanted.groupBy("id", "h").agg(F.collect_list("want").alias("asked")).join(rows.select("id", "h", "text"), ["id", "h"])
-    cuts = written(asked.select("id", "h", "asked", "text").mapInArrow(cutting(kind), CUTS), "cuts", passing)
+    cuts = written(asked.select("id", "h", "asked", "text").mapInArrow(lean(cutting(kind)), CUTS), "cuts", passing)
     release(spark)
 
     slices = cuts.where("ah is null").groupBy("sid", "sh", "sa", "n").agg(F.min("data").alias("low"), F.max("data").alias("high"))
@@ -374,11 +373,6 @@ def _attempt(rows: DataFrame, kind: Kind, held: int, seed: int) -> DataFrame | N
 
 def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, h, pieces) to (id, h, runs): pieces of a document that repeat another at the same distance and meet are one run."""
-    with trimmed():
-        yield from _merged(batches)
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
         row = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
         a, z, sid, sh, sa = (c.to_numpy().astype(np.int64) for c in b.column(2).flatten().flatten())
@@ -404,10 +398,6 @@ def cutting(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     """(id, h, asked, text) to a row for every part that the documents are asked for."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with trimmed():
-            yield from parts(batches)
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             for id_, h, want, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 raw, at, _, _ = kind.cut([x.as_py()])
@@ -431,16 +421,15 @@ def _ordered(cuts: DataFrame, kind: Kind, held: int, seed: int, passing: list[st
     few, hot = cuts.where(F.col("contexts") <= held), cuts.where(F.col("contexts") > held)
     while not hot.isEmpty():
         spans.append(_spelled(hot.where(F.col("l") == kind.window), kind, passing))
-        parted = written(hot.where(F.col("l") < kind.window).drop("contexts").mapInArrow(longer(kind, seed), CONTEXT), "parted", passing)
+        parted = written(hot.where(F.col("l") < kind.window).drop("contexts").mapInArrow(lean(longer(kind, seed)), CONTEXT), "parted", passing)
         sizes = parted.groupBy("ah").agg(F.count("*").alias("contexts")).where("contexts > 1")
         parted = written(spread_join(parted, written(sizes, "sizes", passing), ["ah"], "contexts", ["id", "c0"]), "parted", passing)
         few, hot = few.unionByName(parted.where(F.col("contexts") <= held)), parted.where(F.col("contexts") > held)
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with trimmed():
-            yield from order(batches, kind)
+        yield from order(batches, kind)
 
-    out = few.select("ah", "id", "h", "c0", "o", "data").repartition("ah").sortWithinPartitions("ah").mapInArrow(ordered, "id long, h long, a int, b int")
+    out = few.select("ah", "id", "h", "c0", "o", "data").repartition("ah").sortWithinPartitions("ah").mapInArrow(lean(ordered), "id long, h long, a int, b int")
     for s in spans:
         out = out.union(s)
     return out

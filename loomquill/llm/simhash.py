@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, texts, written
+from .common import BROADCAST_ROWS, lean, texts, written
 from .components import components
 
 SEGMENTS = ((0, 11), (11, 22), (22, 32))
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
             fp = np.fromiter((simhash(x.as_py(), shingle) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def counted(fp: np.ndarray) -> np.ndarray:
@@ -182,15 +182,15 @@ def links(nodes: DataFrame, reach: int = 4, most: int = MOST) -> DataFrame:
             x, y = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    grid = nodes.select("fp", "node").mapInArrow(spread, GRID)
-    full = nodes.select("fp").mapInArrow(sizes, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    grid = nodes.select("fp", "node").mapInArrow(lean(spread), GRID)
+    full = nodes.select("fp").mapInArrow(lean(sizes), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > most)
     full = written(full.select("cell"), "full-cells")
     n = full.count()
     if n:
         named = F.broadcast(full) if n <= BROADCAST_ROWS else full
-        parted = grid.join(named, "cell", "left_semi").select("cell", "guest", "fp", "node").mapInArrow(part, GRID)
+        parted = grid.join(named, "cell", "left_semi").select("cell", "guest", "fp", "node").mapInArrow(lean(part), GRID)
         grid = grid.join(named, "cell", "left_anti").select("cell", "guest", "fp", "node").union(parted)
-    return grid.repartition("cell").sortWithinPartitions("cell", "guest").mapInArrow(meet, "a long, b long")
+    return grid.repartition("cell").sortWithinPartitions("cell", "guest").mapInArrow(lean(meet), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, reach: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
 from .repeats import HELD, Kind, chosen, covered, least, prefix, span_hash, with_spans
 
 
@@ -65,4 +66,4 @@ def repeated_bytes(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(span))
                 yield pa.RecordBatch.from_arrays([s.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"])
 
-    return with_spans(docs, kind(window, bits), id_col, text_col, held).mapInArrow(run, out)
+    return with_spans(docs, kind(window, bits), id_col, text_col, held).mapInArrow(lean(run), out)

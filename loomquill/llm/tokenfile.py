@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import partitions, texts
+from .common import lean, partitions, texts
 from .words import word_encoder
 
 #: Stands for a null document id in the .doc file.
@@ -93,7 +93,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
 
     ordered = texts(docs, id_col, text_col).repartitionByRange(parts or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     # One row a partition comes back, never one a document.
-    rows = sorted(ordered.mapInArrow(run, "part long, n_docs long, n_tokens long").collect())
+    rows = sorted(ordered.mapInArrow(lean(run, keeps=True), "part long, n_docs long, n_tokens long").collect())
     index, base = {"dtype": dtype, "end_id": end_id, "parts": []}, 0
     for r in rows:
         index["parts"].append({"part": r.part, "n_docs": r.n_docs, "n_tokens": r.n_tokens, "base": base})
@@ -117,7 +117,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([_ids(docs[at : at + 10_000]), pa.array(base + o[:-1]), pa.array(np.diff(o)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _part_rows(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _part_rows(spark, path).mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _index(path: str) -> dict:
@@ -151,4 +151,4 @@ def _scan(spark: SparkSession, path: str, one, column: str, kind: pa.DataType) -
                 rows = pa.array([ids[a:b].astype("<i8") for a, b in zip(o[:-1], o[1:], strict=True)], kind)
                 yield pa.RecordBatch.from_arrays([_ids(docs[at : at + 512]), pa.array(base + o[:-1]), rows], ["doc_id", "start", column.split()[0]])
 
-    return _part_rows(spark, path).mapInArrow(run, f"doc_id long, start long, {column}")
+    return _part_rows(spark, path).mapInArrow(lean(run), f"doc_id long, start long, {column}")

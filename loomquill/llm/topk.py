@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import fresh_path, lean, written
 
 #: Queries that are sent out at once, and how many of them a task takes at a time.
 BLOCK, AT_ONCE = 32_768, 1024
@@ -218,7 +218,7 @@ def _one_block(base: DataFrame, asked: DataFrame, number: int, k: int, scale: fl
             j, _, s = b.kept()
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), n, np.int32)), pa.array(j), pa.array(s)], ["n", "j", "s"])
 
-    lists = base.mapInArrow(gather, "n int, j long, s long")
+    lists = base.mapInArrow(lean(gather), "n int, j long, s long")
     place = F.row_number().over(Window.partitionBy("n", "j").orderBy(F.desc("s")))
     cutoff = {n: np.full(len(i), -np.inf) for n, (i, _) in queries.items()}
     for r in lists.withColumn("r", place).where(F.col("r") == k).select("n", "j", "s").collect():  # a number a query of the block
@@ -239,6 +239,6 @@ def _one_block(base: DataFrame, asked: DataFrame, number: int, k: int, scale: fl
             row = (np.int64(number) << np.int64(40)) + (np.int64(n) << np.int64(20)) + j
             yield pa.RecordBatch.from_arrays([pa.array(shared.value[n][0][j]), pa.array(row), pa.array(ids), pa.array(s)], ["query", "row", "vec_id", "score"])
 
-    base.mapInArrow(resolve, "query long, row long, vec_id long, score long").write.mode("append").parquet(path)
+    base.mapInArrow(lean(resolve), "query long, row long, vec_id long, score long").write.mode("append").parquet(path)
     sent.destroy()
     shared.destroy()

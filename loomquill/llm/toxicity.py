@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, trimmed, written
+from .common import lean, texts, written
 from .labelled import fold, sample
 
 TOKEN = re.compile(r"\w+")
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["w", "fold", "c", "t"])
 
     picked = known.select("text", "label", F.col("fold").cast("int").alias("fold"))
-    counts = picked.mapInArrow(count, "w string, fold int, c long, t long").groupBy("w", "fold").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    counts = picked.mapInArrow(lean(count), "w string, fold int, c long, t long").groupBy("w", "fold").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
     counts = written(counts, "toxic-counts")
 
     def tables(*folds: int) -> list[Table]:
@@ -235,7 +235,7 @@ def calibrate_on(known: DataFrame, model: Model) -> list:
             tops = [sorted((s for *_, s in f), reverse=True)[:BEST] for _, f in got]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([t[0] if t else 0.0 for t in tops], pa.float64()), pa.array(tops, pa.list_(pa.float64()))], ["y", "n", "s", "best"])
 
-    return known.mapInArrow(run, "y int, n long, s double, best array<double>").collect()
+    return known.mapInArrow(lean(run), "y int, n long, s double, best array<double>").collect()
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,11 +258,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
                 kept.append([{"start": a, "end": e, "score": s} for a, e, s in found if posterior(m, evidence(m, n, [(a, e, s)])) >= threshold])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array([int(v >= threshold) for v in p], pa.int32()), pa.array(kept, pa.list_(passage))], ["doc_id", "score", "predicted", "segments"])
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with trimmed():
-            yield from run(batches)
-
-    return texts(docs, id_col, text_col).mapInArrow(whole, "doc_id long, score double, predicted int, segments array<struct<start int, end int, score double>>")
+    return texts(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, score double, predicted int, segments array<struct<start int, end int, score double>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

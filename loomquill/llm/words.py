@@ -9,6 +9,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from .common import kept
+
 #: Entries of each worker's memories of words and of pieces; each is emptied when full.
 MEMO = 450_000
 #: Characters of texts whose new words are asked for together, at least.
@@ -191,3 +193,12 @@ def word_encoder(path: str) -> WordEncoder:
     if path not in _loaded:
         _loaded[path] = WordEncoder(path)
     return _loaded[path]
+
+
+def forget() -> None:
+    for encoder in _loaded.values():
+        encoder.memo.clear()
+        encoder.pieces.clear()
+
+
+kept.append(forget)
