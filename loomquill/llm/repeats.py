@@ -346,6 +346,7 @@ def _attempt(rows: DataFrame, kind: Kind, held: int, seed: int) -> DataFrame | N
     ends = ends.withColumn("g", F.explode(F.sequence(F.floor(F.col("sa") / PIECE), F.floor((F.col("z") - 1) / PIECE))))
     from_ = F.greatest("sa", F.col("g") * PIECE)
     ends = ends.select("id", "h", (F.col("a") + from_ - F.col("sa")).cast("int").alias("a"), "sid", "sh", from_.cast("int").alias("sa"), (F.least("z", (F.col("g") + 1) * PIECE) - from_).cast("int").alias("n"))
+    ends = written(ends, "ends", passing)
 
     def side(id_: str, h: str, at: str) -> Column:
         key = (none.cast("long").alias("ah"), F.col(at).alias("c0"), F.col("n"), none.cast("int").alias("o"), none.cast("int").alias("l"), none.cast("long").alias("contexts"), F.col("sid"), F.col("sh"), F.col("sa"))
