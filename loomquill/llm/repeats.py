@@ -37,7 +37,7 @@ AT_ONCE = 400_000
 #: Characters of texts that are looked at together, at least.
 LOT = 1 << 19
 #: Tokens of a run that are compared as one piece, at most.
-PIECE = 1024
+PIECE = 8192
 #: How often the work is done under other hashes before an error is raised.
 TRIES = 20
 
