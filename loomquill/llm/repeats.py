@@ -2,11 +2,12 @@
 
 1. Each document names anchors: places that depend on the tokens of one window alone, at least one in every
    window. Windows that are equal hold the same anchor, so only suffixes near an anchor seen twice can repeat.
-   Text that repeats with a short period gives one context again and again: a document tells of it once.
+   Text that repeats with a short period, or a line that a document has many times, gives one context again and
+   again: these are compared in the document itself, byte by byte, and it tells the corpus of them once.
 2. Anchors are counted by their hash; of those seen twice, occurrences with the same surroundings (all windows
    whose anchor it is) are one context, by two 64-bit hashes. Windows of a context that occurs twice repeat:
-   what lies next to each other in both documents is put together to runs, and every run is compared with the
-   run it is taken to repeat, byte by byte. Should one differ, all is done again under other hashes.
+   what lies next to each other in both documents is put together to runs, and every run is compared with the run
+   that it is taken to repeat in another document or place, byte by byte. Should one differ, all is done again under other hashes.
 3. Where an anchor has several contexts, the suffixes of one occurrence of each are ordered through the window's
    tokens alone by most-significant-digit passes, singletons going after each pass; equal groups, whose tokens
    are compared, are the repeated windows. An anchor with more contexts than a task should hold is parted by
@@ -41,8 +42,8 @@ PIECE = 8192
 #: How often the work is done under other hashes before an error is raised.
 TRIES = 20
 
-#: One row for equal contexts of a document: c0 is where the first begins, more where the others do (null: nowhere);
-#: n tokens, the anchor of l tokens o behind their begin.
+#: One row for equal contexts of a document: c0 is where the first begins, more where others of the same bytes do
+#: (null: nowhere); n tokens, the anchor of l tokens o behind their begin.
 ANCHORS = "ah long, ch long, id long, h long, c0 int, n int, o int, l int, more array<int>"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -144,8 +145,11 @@ def unique_ids(docs: DataFrame, id_col: str) -> bool:
     return docs.groupBy(id_col).count().where("count > 1").isEmpty()
 
 
-def once(doc: np.ndarray, ah: np.ndarray, ch: np.ndarray, n: np.ndarray, o: np.ndarray, c0: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """(the first of each context of each document, [(its number among these, places of the others)])."""
+def once(doc: np.ndarray, ah: np.ndarray, ch: np.ndarray, n: np.ndarray, o: np.ndarray, c0: np.ndarray, spans: list[bytes]) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(the first of each context of each document, [(its number among these, places of the others)]).
+
+    Others have the bytes of the first, not its hashes alone: each is compared with the one before it.
+    """
     key = mix(ah.view(np.uint64) + mix(doc.astype(np.uint64) + _STEP))
     order = np.argsort(key, kind="stable")
     same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
@@ -156,6 +160,8 @@ def once(doc: np.ndarray, ah: np.ndarray, ch: np.ndarray, n: np.ndarray, o: np.n
     order = at[np.lexsort((c0[at], o[at], n[at], ch[at], ah[at], doc[at]))]
     new = np.ones(len(order), bool)
     new[1:] = np.any([np.diff(x[order]) != 0 for x in (doc, ah, ch, n, o)], axis=0)
+    for i in np.flatnonzero(~new).tolist():
+        new[i] = spans[order[i]] != spans[order[i - 1]]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(order))
     alone = np.flatnonzero(~again)
@@ -198,10 +204,11 @@ def anchors(rows: DataFrame, kind: Kind, seed: int = 0) -> DataFrame:
         np.add.at(inside, (begin + size - w + 1)[long], -1)
         start, end, c0, c1 = kind.anchors(raw, tokens, np.cumsum(inside)[: total - w + 1] > 0)
         c1 = c1 + w
-        ah, ch = kind.names(kind.spans(raw, at, start, end), 2 * seed), kind.names(kind.spans(raw, at, c0, c1), 2 * seed + 1)
+        around = kind.spans(raw, at, c0, c1)
+        ah, ch = kind.names(kind.spans(raw, at, start, end), 2 * seed), kind.names(around, 2 * seed + 1)
         doc = np.searchsorted(begin, start, "right") - 1
         n, o, size_of, c0 = c1 - c0, start - c0, end - start, c0 - begin[doc]
-        rows, places = once(doc, ah, ch, n, o, c0)
+        rows, places = once(doc, ah, ch, n, o, c0, around)
         more: list = [None] * len(rows)
         for i, others in places:
             more[i] = others
@@ -326,14 +333,16 @@ def _attempt(rows: DataFrame, kind: Kind, held: int, seed: int) -> DataFrame | N
     last = F.max(F.struct("id", "h", F.greatest("c0", F.coalesce(F.array_max("more"), F.lit(0))).alias("c0")))
     contexts = written(near.groupBy(*shape).agg(F.sum(times).alias("k"), F.min(F.struct("id", "h", "c0")).alias("first"), last.alias("last")), "contexts", passing)
 
-    # All occurrences of a context that occurs twice repeat whole; where order counts, all but the first.
+    # All occurrences of a context that occurs twice repeat whole; where order counts, all but the first. Those that a
+    # document has besides its first are settled there, and where order doesn't count they settle the first one too.
+    at = lambda a: F.struct(a.alias("a"), (a + F.col("n") - w).alias("b"))
+    inner = F.transform("more" if kind.later else F.concat("more", F.array("c0")), at)
+    inner = near.where("more is not null").select("id", "h", inner.alias("spans"))
     again = spread_join(near, contexts.where("k > 1"), shape, "k", ["id", "h", "c0"])
-    places = F.concat(F.array("c0"), F.coalesce("more", F.array().cast("array<int>")))
-    pieces = again.select("id", "h", "n", "first", "last", F.explode(places).alias("a"))
-    is_first = (F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h")) & (F.col("a") == F.col("first.c0"))
+    is_first = (F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h")) & (F.col("c0") == F.col("first.c0"))
     source = F.col("first") if kind.later else F.when(is_first, F.col("last")).otherwise(F.col("first"))
-    pieces = pieces.where(~is_first) if kind.later else pieces
-    piece = F.struct("a", (F.col("a") + F.col("n") - w).alias("b"), source["id"].alias("sid"), source["h"].alias("sh"), source["c0"].alias("sa"))
+    pieces = again.where(~is_first) if kind.later else again.where("more is null")
+    piece = F.struct(F.col("c0").alias("a"), (F.col("c0") + F.col("n") - w).alias("b"), source["id"].alias("sid"), source["h"].alias("sh"), source["c0"].alias("sa"))
     runs = written(pieces.select("id", "h", piece.alias("p")).groupBy("id", "h").agg(F.collect_list("p").alias("p")).mapInArrow(lean(merge), f"id long, h long, runs array<{RUN}>"), "runs", passing)
     release(spark)
 
@@ -364,7 +373,7 @@ def _attempt(rows: DataFrame, kind: Kind, held: int, seed: int) -> DataFrame | N
         return None
     spans = _ordered(cuts.where("ah is not null").select("ah", "id", "h", "c0", "o", "l", "contexts", "data"), kind, held, seed, passing)
     spans = spans.select("id", "h", F.array(F.struct("a", "b")).alias("spans"))
-    spans = spans.union(runs.select("id", "h", F.transform("runs", lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"))).alias("spans")))
+    spans = spans.union(inner).union(runs.select("id", "h", F.transform("runs", lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"))).alias("spans")))
     spans = written(spans.groupBy("id", "h").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
     for p in passing:
         remove(spark, p)

@@ -66,6 +66,34 @@ def test_frequent_passages_with_different_neighbours(spark):
         assert bytes_of(spark, data, held=held) == brute_bytes(data)
 
 
+def test_a_line_that_documents_have_many_times_goes_to_the_corpus_once(spark, monkeypatch):
+    """Repeats inside a document are compared there: what is compared between documents doesn't grow with them."""
+    line = " ".join(f"line{i}" for i in range(30))
+    sizes: dict[str, list[int]] = {}
+    real = repeats.written
+
+    def counted(df, name, passing=None):
+        out = real(df, name, passing)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(repeats, "written", counted)
+    data = [(d, " ".join(f"{line} {hashlib.md5(f'{d} {i}'.encode()).hexdigest()}" for i in range(40))) for d in range(12)]
+    data += [(50, f"{line} {line} {line}"), (51, line), (52, f"alone {' '.join(f'p{i}' for i in range(60))} " * 3)]
+    assert words_of(spark, data) == brute_words(data)
+    assert bytes_of(spark, data) == brute_bytes(data)
+    assert max(sizes["ends"]) < 12 * 40 / 2
+
+
+def test_a_document_compares_its_own_contexts():
+    """Equal hashes of different bytes stay rows of their own."""
+    import numpy as np
+
+    same = np.zeros(4, np.int64)
+    got, more = repeats.once(same, same, same, same, same, np.array([5, 1, 9, 12]), [b"x", b"x", b"x", b"y"])
+    assert got.tolist() == [1, 3] and [(i, p.tolist()) for i, p in more] == [(0, [5, 9])]
+
+
 def test_what_equal_hashes_tell_is_compared(spark, monkeypatch):
     """Hashes of a few bits, at the first try, take different contexts for equal; runs differ then, and all is done under other hashes."""
     tries = []
