@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
@@ -116,17 +116,41 @@ def undirected_first(edges: DataFrame, order: str) -> DataFrame:
     return edges.groupBy(F.least("a", "b"), F.greatest("a", "b"), "type").agg(first.alias("e")).select("e.a", "e.b", "type")
 
 
+def _not_after(order: list[str], bound: Row) -> Column:
+    """Whether a row stands at or before the bound, nulls last."""
+    out = F.lit(True)
+    for c, v in reversed([(F.col(c), bound[i]) for i, c in enumerate(order)]):
+        out = c.isNotNull() | out if v is None else F.when(c < F.lit(v), True).when(c == F.lit(v), out).otherwise(False)
+    return out
+
+
+def _range_of(order: list[str], bounds: list[Row], first: int = 0) -> Column:
+    """The place of a row among sorted bounds, by halving."""
+    if not bounds:
+        return F.lit(first)
+    mid = len(bounds) // 2
+    return F.when(_not_after(order, bounds[mid]), _range_of(order, bounds[:mid], first)).otherwise(_range_of(order, bounds[mid + 1 :], first + mid + 1))
+
+
 def numbered(new: DataFrame, edges: DataFrame, order: list[str], prefix: str = "edge_") -> DataFrame:
-    """new with ids that go on from the greatest number of the ids that edges have. New edges are numbered in ranges:
-    each range's first number comes from the counts of those before it, so no task holds all of them."""
+    """new with ids that go on from the greatest number of the ids that edges have, nulls of the order last. New edges are
+    numbered in ranges: each range's first number comes from the counts of those before it, so no task holds all of them.
+
+    The ranges' bounds are values, so a row is in the same range however often the plan runs; only where the bounds
+    lie comes from a sample.
+    """
     last = edges.agg(F.coalesce(F.max(F.regexp_extract("id", f"^{prefix}([0-9]+)$", 1).try_cast("long")), F.lit(0)).alias("m")).first().m
-    ranged = new.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    counts = {r["_p"]: r["count"] for r in ranged.groupBy("_p").count().collect()}  # a number a partition
+    ranges = min(1024, int(new.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = [F.col(c).asc_nulls_last() for c in order]
+    sample = new.select(*order).sample(min(1.0, 50 * ranges / max(1, new.count())), 42).orderBy(*ordered).collect()  # about 50 a range
+    bounds = [sample[at] for at in sorted({len(sample) * i // ranges for i in range(1, ranges)})] if sample else []
+    ranged = new.withColumn("_p", _range_of(order, bounds))
+    counts = {r["_p"]: r["count"] for r in ranged.groupBy("_p").count().collect()}  # a number a range
     before, at = {}, last
     for p in sorted(counts):
         before[p], at = at, at + counts[p]
-    base = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(last))
-    number = base[F.col("_p")] + F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    base = F.create_map(*[x for p, n in (before or {0: last}).items() for x in (F.lit(p), F.lit(n).cast("long"))])
+    number = base[F.col("_p")] + F.row_number().over(Window.partitionBy("_p").orderBy(*ordered))
     return ranged.withColumn("id", F.concat(F.lit(prefix), number.cast("string"))).drop("_p")
 
 

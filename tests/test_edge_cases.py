@@ -79,3 +79,14 @@ def test_linking_by_words_is_linking(spark):
     a = sorted(map(tuple, link.link(docs, terms).collect()))
     b = sorted(map(tuple, link.link_by_words(docs, spark.createDataFrame(terms, "term string, type string, id string")).collect()))
     assert a == b and a[0][2] == 4
+
+
+def test_edge_ids_of_many_rows_and_nulls(spark):
+    old = spark.createDataFrame([("edge_9",)], "id string")
+    new = spark.range(0, 300_000, 1, 8).select((F.col("id") * 7919 % 300_000).alias("n"))
+    got = graph.numbered(new, old, ["n"])
+    assert got.where(F.coalesce(F.col("id") != F.concat(F.lit("edge_"), (F.col("n") + 10).cast("string")), F.lit(True))).count() == 0
+    assert got.count() == 300_000
+    rows = spark.createDataFrame([(None, 1), (2, None), (2, 1), (1, 5)], "n int, m int")
+    got = {(r.n, r.m): r.id for r in graph.numbered(rows, old, ["n", "m"]).collect()}
+    assert got == {(1, 5): "edge_10", (2, 1): "edge_11", (2, None): "edge_12", (None, 1): "edge_13"}
