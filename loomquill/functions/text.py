@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 KEY_PREFIXES = ("the ", "a ", "an ", "this ", "that ", "these ", "those ")
 #: Direction controls, and the Hebrew quotation marks with their ASCII forms.
 BIDI = "[\\u200e\\u200f\\u202a-\\u202e\\u2066-\\u2069]"
+#: Unicode's space separators (Zs).
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 HEBREW_QUOTES, PLAIN_QUOTES = "\u05f4\u05f3", "\"'"
 
 
@@ -29,8 +31,8 @@ def clean(c: Column, boilerplate: tuple[str, ...] = ()) -> Column:
 
 
 def collapse_lines(c: Column) -> Column:
-    """Blanks and tabs collapse within lines, which are trimmed; line ends stay."""
-    return F.array_join(F.transform(F.split(F.regexp_replace(c, "[ \t]+", " "), "\n"), F.trim), "\n")
+    """Blanks and tabs collapse within lines, which lose the blanks of any width at their ends; line ends stay."""
+    return F.array_join(F.transform(F.split(F.regexp_replace(c, "[ \t]+", " "), "\n"), lambda x: F.btrim(x, F.lit(SPACES))), "\n")
 
 
 def plain_quotes(c: Column) -> Column:

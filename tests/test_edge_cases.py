@@ -90,3 +90,8 @@ def test_edge_ids_of_many_rows_and_nulls(spark):
     rows = spark.createDataFrame([(None, 1), (2, None), (2, 1), (1, 5)], "n int, m int")
     got = {(r.n, r.m): r.id for r in graph.numbered(rows, old, ["n", "m"]).collect()}
     assert got == {(1, 5): "edge_10", (2, 1): "edge_11", (2, None): "edge_12", (None, 1): "edge_13"}
+
+
+def test_lines_lose_blanks_of_any_width(spark):
+    rows = spark.createDataFrame([(" a  b　\n \n c​",)], "x string")
+    assert rows.select(X.collapse_lines(F.col("x"))).first()[0] == "a  b\n\nc​"
