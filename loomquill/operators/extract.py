@@ -50,10 +50,14 @@ def substring_hits(rows: DataFrame, terms: DataFrame, key: str = "doc_id", by_se
     loose = dealt.where("_w is null").select("entity", "term")
     if loose.limit(BROADCAST_TERMS + 1).count() > BROADCAST_TERMS:
         raise ValueError(f"more than {BROADCAST_TERMS} terms that may start inside a word: use term_hits, which joins on words")
+    fixed = dealt.where("_w is not null")
     words = rows.select(key, "line_no", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(f"({w})"), 1))).alias("_w"))
-    found = words.join(dealt.where("_w is not null"), "_w").where(F.contains("line", F.col("term"))).select("entity", key, "line_no")
-    found = found.union(rows.join(F.broadcast(loose), F.contains(F.col("line"), F.col("term"))).select("entity", key, "line_no")).distinct()
-    return found.groupBy("entity").agg(F.count("*").alias("n_lines"), F.countDistinct(key).alias("n_docs"))
+    if fixed.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        fixed = F.broadcast(fixed)  # else every word goes through a shuffle with its line
+    found = words.join(fixed, "_w").where(F.contains("line", F.col("term"))).select("entity", key, "line_no")
+    found = found.union(rows.join(F.broadcast(loose), F.contains(F.col("line"), F.col("term"))).select("entity", key, "line_no"))
+    per = found.groupBy("entity", key).agg(F.countDistinct("line_no").alias("_n"))  # one shuffle: by entity and document
+    return per.groupBy("entity").agg(F.sum("_n").alias("n_lines"), F.count(key).alias("n_docs"))
 
 
 def pattern_mentions(docs: DataFrame, patterns: list[tuple[str, str]], key: str = "doc_id", text: str = "text") -> DataFrame:

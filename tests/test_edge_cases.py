@@ -101,3 +101,10 @@ def test_lines_lose_blanks_of_any_width(spark):
 def test_neighbours_of_one_blank_count_as_in_sql(spark, tmp_path):
     spark.createDataFrame([(1, "idiot moron, idiot"), (2, "an idiot"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert tuple(span_queries.q_link_by_words(spark, str(tmp_path)).first()) == (2, 3)
+
+
+def test_hits_of_repeated_documents_and_no_shuffle_of_words(spark):
+    rows = segment.lines(spark.createDataFrame([(1, "a the b\nx the y"), (1, "z the z"), (2, "the"), (None, "of the c")], "doc_id long, text string"))
+    found = extract.substring_hits(rows, spark.createDataFrame([("A", " the "), ("A", "the"), ("B", "x the y")], "entity string, term string"))
+    assert sorted(map(tuple, found.collect())) == [("A", 4, 2), ("B", 1, 1)]
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
