@@ -124,10 +124,15 @@ def file_sessions(files: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def first_of(rows: DataFrame, keys: Column, other: DataFrame, key: str, order: list[str], distinct: str) -> DataFrame:
-    """rows with other's first rows for any of their keys, each `distinct` value once, the first by order."""
+    """rows with other's first rows for any of their keys, each `distinct` value once, the first by order.
+
+    Of other's rows only the first of each key and value can be the first of several keys, so the join meets these alone.
+    """
+    best = F.min_by(F.struct(*other.columns), F.struct(*order))
+    other = other.groupBy(F.col(key).alias("_k"), F.col(distinct).alias("_d")).agg(best.alias("_o")).select("_o.*")
     met = rows.withColumn(key, F.explode(keys)).join(other, key)
-    w = Window.partitionBy(*rows.columns, distinct).orderBy(*order)
-    return met.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    first = F.min_by(F.struct(*[c for c in met.columns if c not in rows.columns]), F.struct(*order))
+    return met.groupBy(*rows.columns, F.col(distinct).alias("_d")).agg(first.alias("_o")).select(*rows.columns, "_o.*")
 
 
 def _tiers(hits: list[DataFrame], by_index: bool) -> DataFrame:

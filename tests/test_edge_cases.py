@@ -108,3 +108,11 @@ def test_hits_of_repeated_documents_and_no_shuffle_of_words(spark):
     found = extract.substring_hits(rows, spark.createDataFrame([("A", " the "), ("A", "the"), ("B", "x the y")], "entity string, term string"))
     assert sorted(map(tuple, found.collect())) == [("A", 4, 2), ("B", 1, 1)]
     assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
+
+
+def test_first_of_several_keys_and_its_join(spark):
+    rows = spark.createDataFrame([("n", [1, 2]), ("m", [2]), ("o", None)], "node string, keys array<int>")
+    other = spark.createDataFrame([(1, 5, "x"), (2, 3, "x"), (2, 9, "y"), (1, 4, None), (3, 0, "z")] + [(2, 100 + i, "y") for i in range(50)], "k int, v int, d string")
+    out = resolve.first_of(rows, F.col("keys"), other, "k", ["v"], "d")
+    assert sorted(map(tuple, out.select("node", F.coalesce("d", F.lit("-")), "v").collect())) == [("m", "x", 3), ("m", "y", 9), ("n", "-", 4), ("n", "x", 3), ("n", "y", 9)]
+    assert "Aggregate" in out._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
