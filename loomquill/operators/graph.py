@@ -61,13 +61,22 @@ def padded_links(keys: DataFrame, members: DataFrame, entities: DataFrame, limit
 
     keys (key, session) and members (node, session) say who shares a session: those come first, in the order of
     entities (node, type, ord). What is missing is filled up with the first of the type, linked already or not.
+    A session's first few of each type are found once, so a key meets these and not all who share its session.
     """
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
     typed = entities.where(F.col("type").isin(*limits))
-    met = keys.join(members, "session").select("key", "node").distinct().join(typed, "node")
-    w = Window.partitionBy("key", "type").orderBy("ord", "node")
-    near = met.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit[F.col("type")])
-    first = typed.withColumn("_r", F.row_number().over(Window.partitionBy("type").orderBy("ord", "node"))).where(F.col("_r") <= limit[F.col("type")])
+    most = max([0, *limits.values()])
+
+    def ranked(rows: DataFrame, *by: str) -> DataFrame:
+        """The first few of each type; the fixed bound lets Spark cut before it shuffles."""
+        out = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "type").orderBy("ord", "node", "_i")))
+        return out.where(F.col("_r") <= most).where(F.col("_r") <= limit[F.col("type")])
+
+    # _i tells equal rows of entities apart; a node that a key meets in two sessions is one
+    typed = typed.groupBy("node", "type", "ord").agg(F.count("*").alias("_c")).withColumn("_i", F.explode(F.sequence(F.lit(1), F.least("_c", F.lit(max(1, most)))))).drop("_c")
+    heads = ranked(members.select("node", "session").distinct().join(typed, "node"), "session").drop("_r")
+    near = ranked(keys.join(heads, "session").drop("session").distinct(), "key")
+    first = ranked(typed)
     every = keys.select("key").distinct().select("key", F.explode(F.array(*map(F.lit, limits))).alias("type"))
     have = near.groupBy("key", "type").agg(F.count("*").alias("_n"))
     # first has as many rows as the limits add up to

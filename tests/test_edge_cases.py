@@ -116,3 +116,15 @@ def test_first_of_several_keys_and_its_join(spark):
     out = resolve.first_of(rows, F.col("keys"), other, "k", ["v"], "d")
     assert sorted(map(tuple, out.select("node", F.coalesce("d", F.lit("-")), "v").collect())) == [("m", "x", 3), ("m", "y", 9), ("n", "-", 4), ("n", "x", 3), ("n", "y", 9)]
     assert "Aggregate" in out._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+
+
+def test_padded_links_over_sessions_and_their_cut(spark):
+    keys = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (3, 9)], "key int, session int")
+    members = spark.createDataFrame([(10, 1), (10, 2), (11, 2), (12, 1), (13, 1), (13, 1)], "node int, session int")
+    entities = spark.createDataFrame([(10, "P", 3), (11, "P", 1), (12, "P", 2), (13, "Q", 1), (13, "Q", 1), (14, "P", 0)], "node int, type string, ord int")
+    out = graph.padded_links(keys, members, entities, {"P": 2, "Q": 2})
+    got = sorted(tuple(r)[:4] for r in out.collect())
+    m, r = "MENTIONED_IN", "RELATED_TO"
+    assert got == [(1, 11, "P", m), (1, 12, "P", m), (1, 13, "Q", m), (1, 13, "Q", m), (2, 10, "P", m), (2, 11, "P", m), (2, 13, "Q", r), (2, 13, "Q", r), (3, 11, "P", r), (3, 13, "Q", r), (3, 13, "Q", r), (3, 14, "P", r)]
+    keyed = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit [session" in keyed
