@@ -2,15 +2,87 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Nodes of a group up to which its pairs are made by a join; so many smaller groups may go with the larger ones.
+SMALL_GROUP, FEW_GROUPS = 64, 10_000
+#: The most nodes of a block: a task counts the pairs of two blocks in one table.
+BLOCK = 4096
 
 
 def cooccurrence(members: DataFrame, group: str, node: str) -> DataFrame:
-    """(a, b, weight), a < b: unordered pairs by the number of groups that hold both; an equi-join on the group."""
-    m = members.select(group, node).distinct()
-    pairs = m.withColumnRenamed(node, "a").join(m.withColumnRenamed(node, "b"), group).where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("weight"))
+    """(a, b, weight), a < b: unordered pairs by the number of groups that hold both.
+
+    Pairs of small groups come from an equi-join on the group. Those of larger groups, of which there are far more than
+    members, are counted where they are made: nodes are dealt into blocks, and a task counts two blocks' pairs over all groups.
+    """
+    m = members.select(F.col(group).alias("g"), F.col(node).alias("node")).where("g is not null and node is not null").distinct()
+    sizes = m.groupBy("g").agg(F.count("*").alias("n"))
+    few, many = sizes.agg(F.count_if(F.col("n") <= SMALL_GROUP), F.count_if(F.col("n") > SMALL_GROUP)).first()
+    if many and few <= FEW_GROUPS:
+        return _counted_by_blocks(m)
+    small = m.join(sizes.where(F.col("n") <= SMALL_GROUP).select("g"), "g", "left_semi") if many else m
+    pairs = small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "g").where("a < b")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("weight"))
+    if not many:
+        return pairs
+    large = _counted_by_blocks(m.join(sizes.where(F.col("n") > SMALL_GROUP).select("g"), "g", "left_semi"))
+    return pairs.union(large).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+
+
+def _counted_by_blocks(m: DataFrame) -> DataFrame:
+    """(a, b, weight) of members (g, node), each once. What is shuffled grows with the members and the blocks, not with the pairs."""
+    spark, kind = m.sparkSession, m.schema["node"].dataType
+    nodes = m.select("node").distinct()
+    n = nodes.count()
+    blocks = max(-(-n // (BLOCK // 2)), min(8, -(-n // 128)))
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+    lists = nodes.groupBy(block.alias("b")).agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    places = lists.select("b", F.posexplode("nodes").alias("at", "node")).select("b", F.col("at").cast("short").alias("at"), "node")
+    part = m.join(places, "node").groupBy("g", "b").agg(F.collect_list("at").alias("at"))
+    part = part.groupBy("g").agg(F.collect_list(F.struct("b", "at")).alias("parts"))
+    met = part.select(F.explode("parts").alias("x"), "parts").select("x", F.explode(F.filter("parts", lambda y: y["b"] >= F.col("x.b"))).alias("y"))
+    none = lambda t: F.lit(None).cast(t)
+    met = met.select(F.col("x.b").alias("i"), F.col("y.b").alias("j"), F.col("x.at").alias("x"), F.col("y.at").alias("y"), none(T.ArrayType(kind)).alias("left"), none(T.ArrayType(kind)).alias("right"))
+    # each pair of blocks has its nodes in a row that comes first
+    two = lists.select(F.col("b").alias("i"), F.col("nodes").alias("left")).join(lists.select(F.col("b").alias("j"), F.col("nodes").alias("right")), F.col("i") <= F.col("j"))
+    named = two.select("i", "j", none("array<short>").alias("x"), none("array<short>").alias("y"), "left", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = right = table = own = None
+        for b in batches:
+            i, j = (b.column(k).to_numpy() for k in (0, 1))
+            for r in range(b.num_rows):
+                if b.column(4)[r].is_valid:
+                    if table is not None:
+                        yield from pairs(table, left, right, own)
+                    left, right, own = b.column(4)[r].values, b.column(5)[r].values, i[r] == j[r]
+                    table = np.zeros((len(left), len(right)), np.int32)
+                else:
+                    x, y = (b.column(k)[r].values.to_numpy() for k in (2, 3))
+                    table[x[:, None], y] += 1
+        if table is not None:
+            yield from pairs(table, left, right, own)
+
+    def pairs(table: np.ndarray, left: pa.Array, right: pa.Array, own: bool) -> Iterator[pa.RecordBatch]:
+        if own:
+            table = np.triu(table, 1)
+        for at in range(0, len(left), 64):
+            x, y = np.nonzero(table[at : at + 64])
+            if len(x):
+                yield pa.RecordBatch.from_arrays([left.take(pa.array(x + at)), right.take(pa.array(y)), pa.array(table[at : at + 64][x, y].astype(np.int64))], ["a", "b", "weight"])
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = named.union(met).repartition(tasks, "i", "j").sortWithinPartitions("i", "j", F.col("left").isNull())
+    out = dealt.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("weight", T.LongType())]))
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight")
 
 
 def capped(members: DataFrame, group: str, node: str, order: list, cap: int) -> DataFrame:

@@ -128,3 +128,22 @@ def test_padded_links_over_sessions_and_their_cut(spark):
     assert got == [(1, 11, "P", m), (1, 12, "P", m), (1, 13, "Q", m), (1, 13, "Q", m), (2, 10, "P", m), (2, 11, "P", m), (2, 13, "Q", r), (2, 13, "Q", r), (3, 11, "P", r), (3, 13, "Q", r), (3, 13, "Q", r), (3, 14, "P", r)]
     keyed = out._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit [session" in keyed
+
+
+def test_pairs_of_large_groups_are_counted(spark):
+    import random
+    from collections import Counter
+
+    r = random.Random(3)
+    groups = {g: r.sample(range(400), r.choice([2, 3, 90, 150])) for g in range(40)}
+    want = Counter((f"n{min(a, b, key=lambda v: f'n{v}')}", f"n{max(a, b, key=lambda v: f'n{v}')}") for v in groups.values() for i, a in enumerate(v) for b in v[:i])
+    rows = [(g, f"n{x}") for g, v in groups.items() for x in [*v, v[0]]] + [(None, "n1"), (None, "n2"), (1, None)]
+    members = spark.createDataFrame(rows, "g int, x string")
+    found = graph.cooccurrence(members, "g", "x")
+    assert {(p.a, p.b): p.weight for p in found.collect()} == want
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    few, graph.FEW_GROUPS = graph.FEW_GROUPS, 1
+    try:
+        assert {(p.a, p.b): p.weight for p in graph.cooccurrence(members, "g", "x").collect()} == want
+    finally:
+        graph.FEW_GROUPS = few
