@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomquill.llm import minhash, packing, quality, recompression, toxicity
-from loomquill.llm.common import BROADCAST_ROWS, read_documents, written
+from loomquill.llm.common import BROADCAST_ROWS, read_documents, small_batches, written
+
+#: Words that a worker of the last stage remembers: executors come to it with the memory that four stages left in use.
+MEMO = 120_000
 
 #: The stages are models, fingerprints and a tokenizer: no SQL gives their rows; tests/llm checks near duplicates by brute force.
 ORACLE_SQL = None
@@ -58,7 +61,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+    with small_batches(spark):  # the texts are read in here
+        return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0, memo=MEMO)
 
 
 STAGES = [

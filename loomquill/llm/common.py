@@ -64,6 +64,18 @@ def written(df: DataFrame, name: str, passing: list[str] | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
+    """What runs meanwhile sends Python so many rows at once, at most: buffers of texts on both sides grow with that."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps: they go when their handles are collected."""
     gc.collect()

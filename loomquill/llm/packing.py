@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lean, texts, written
-from .words import word_encoder
+from .words import MEMO, word_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -79,11 +79,11 @@ def lookup(planned: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.nda
     return dict(zip(("length", "rank", "base", "copies", "offset"), table.T, strict=True))
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
     """The pieces of every document, with the partition that made each and its rank there among its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, part, tail = word_encoder(tokenizer_path), TaskContext.get().partitionId(), np.asarray([end_id], "<u4").tobytes()
+        w, part, tail = word_encoder(tokenizer_path, memo), TaskContext.get().partitionId(), np.asarray([end_id], "<u4").tobytes()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows = []
@@ -102,13 +102,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
     return texts(docs, id_col, text_col).mapInArrow(lean(run, keeps=True), PIECES)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
 
     Null and empty texts are a piece of the end id alone; rows that repeat are packed each; an empty table
-    gives no pieces. What reaches the driver is one count for each length, at most `capacity` rows.
+    gives no pieces. What reaches the driver is one count for each length, at most `capacity` rows. memo: the entries that
+    a worker remembers of words; fewer take less memory and more time.
     """
-    made = written(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
+    made = written(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, memo), "pieces")
     counts = made.groupBy("part", "length").agg(F.count("*").alias("n"))
     by_length = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     found = lookup(plan(by_length, capacity))

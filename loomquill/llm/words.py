@@ -46,6 +46,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets
+        self.most = MEMO
         self.memo: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
@@ -74,7 +75,7 @@ class WordEncoder:
             cut = _PIECE_OR_BLANK.findall(" ".join(plain).lower())
             parts = set(cut)
             missing = [p for p in parts if p not in pieces]
-            if len(pieces) + len(missing) > MEMO:
+            if len(pieces) + len(missing) > self.most:
                 pieces.clear()
                 missing = list(parts)
             self.ask_pieces([p for p in missing if p != " "])
@@ -177,7 +178,7 @@ class WordEncoder:
                     gaps.append((parts, ids, at))
                     new.update([parts[i] for i in at])
             if new:
-                if len(memo) + len(new) > MEMO:
+                if len(memo) + len(new) > self.most:
                     memo.clear()
                 self.add(new, marked)
                 for parts, ids, at in gaps:
@@ -189,9 +190,13 @@ class WordEncoder:
                 gc.enable()
 
 
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, most: int = MEMO) -> WordEncoder:
+    """The process's encoder for a file; most bounds the entries of each of its memories from now on."""
     if path not in _loaded:
         _loaded[path] = WordEncoder(path)
+    if most < _loaded[path].most:
+        forget()
+    _loaded[path].most = most
     return _loaded[path]
 
 

@@ -28,3 +28,14 @@ def test_another_file():
     w = words.WordEncoder(P.path("byte_bpe_50k.json"))
     texts = [*ODD, "plain words  here\n\n and there"]
     assert list(w.encode_all(texts)) == [w.whole(t) for t in texts]
+
+
+def test_memories_are_bounded_by_what_is_asked_for(monkeypatch):
+    monkeypatch.setattr(words, "GROUP", 500)
+    path = P.path("word_bpe_49k.json")
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randint(0, 5000)}x" for _ in range(40)) for _ in range(300)]
+    w = words.word_encoder(path, 200)
+    assert list(w.encode_all(texts)) == [w.whole(t) for t in texts]
+    assert len(w.memo) <= 200 and len(w.pieces) <= 201
+    assert words.word_encoder(path).most == words.MEMO
