@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, texts, written
+from .common import lean, small_batches, texts, written
 from .words import MEMO, word_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -109,7 +109,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     gives no pieces. What reaches the driver is one count for each length, at most `capacity` rows. memo: the entries that
     a worker remembers of words; fewer take less memory and more time.
     """
-    made = written(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, memo), "pieces")
+    with small_batches(docs.sparkSession):  # the texts are read in here
+        made = written(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, memo), "pieces")
     counts = made.groupBy("part", "length").agg(F.count("*").alias("n"))
     by_length = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     found = lookup(plan(by_length, capacity))

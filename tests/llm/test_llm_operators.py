@@ -46,6 +46,15 @@ def test_packing(spark):
     assert sum(map(len, ids.values())) == sum(size.values())
 
 
+def test_packing_reads_texts_in_small_batches(spark, monkeypatch):
+    """Buffers of 10,000 texts on both sides of a worker took an executor beyond its memory."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, write = spark.conf.get(name), packing.written
+    monkeypatch.setattr(packing, "written", lambda *a: (seen.append(int(spark.conf.get(name))), write(*a))[1])
+    assert packing.pack(frame(spark, rows()), WORDS, 256, 0).count() >= len(rows())
+    assert seen == [2_000] and spark.conf.get(name) == before
+
+
 def test_fullest_is_the_best_subset_sum():
     r = random.Random(2)
     for _ in range(200):
