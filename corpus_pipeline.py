@@ -41,7 +41,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays, the one of smallest id, and every row without an id.
 
-    Rows are told apart by id and text, so different texts that share an id are decided each.
+    Candidates by SimHash's segment counts and by MinHash, checked on whole shingle sets (`minhash`). Rows are told apart by
+    id and text, so different texts that share an id are decided each.
     """
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("key"))
     rows = docs.where("doc_id is not null").select(key.alias("r")).groupBy("r").count()

@@ -1,9 +1,11 @@
 """Near duplicates: every pair of texts whose five-word shingles are 0.8 similar (Jaccard), checked on the whole sets.
 
-Candidates are texts that agree in all rows of one of many MinHash bands. How likely that is depends on the
-similarity alone, not on where a text was edited: at 0.8 all bands miss a pair once in 150,000, above it more
-rarely. In each band's cell all are compared with the first one, of the cells that a text shares with the same one
-once, and not where other links have joined them already; then those that aren't linked yet are compared
+Candidates come by two ways, under the same check. By SimHash: texts whose fingerprints differ in few bits, found by the
+bit counts of segments (`simhash.links`), and those of one fingerprint with its first text. SimHash loses copies whose edit
+lies in one place, so candidates are also texts that agree in all rows of one of many MinHash bands. How likely that is
+depends on the similarity alone, not on where a text was edited: at 0.8 all bands miss a pair once in 150,000, above it
+more rarely. A text is compared with the candidate that it meets most often, then with the others where no link has joined them
+yet; in each band's cell all are candidates of the first one. Then those of a cell that aren't linked yet are compared
 with each other, so a cell of many copies costs one comparison each and yet no pair of a cell is left out.
 """
 
@@ -17,11 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import lean, partitions, texts, written
 from .components import components
 
 SHINGLE = 5
 BANDS, ROWS = 30, 5
+#: Bits in which the SimHash fingerprints of candidates differ at most.
+REACH = 4
 #: Similarity asked for, as a fraction.
 LEAST = (4, 5)
 #: Of the BANDS * ROWS bytes of two signatures so many must agree before the sets are compared: at 0.8, 120 do on
@@ -90,16 +95,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for b in batches:
             got = [signature(shingles(x.as_py())) for x in b.column(1)]
             cells = pa.array([c for c, _ in got], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), cells, pa.array([s for _, s in got], pa.binary())], ["doc_id", "key", "cells", "sig"])
+            fp = np.fromiter((simhash.simhash(x.as_py()) for x in b.column(1)), np.uint64, b.num_rows)
+            columns = [b.column(0), b.column(2), cells, pa.array([s for _, s in got], pa.binary()), pa.array(fp.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "cells", "sig", "fp"])
 
-    signed = rows.mapInArrow(lean(sign), "doc_id long, key string, cells array<long>, sig binary")
-    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("cells").alias("cells"), F.first("sig").alias("sig"))
+    signed = rows.mapInArrow(lean(sign), "doc_id long, key string, cells array<long>, sig binary, fp long")
+    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("cells", "sig", "fp")))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "signatures")
 
     met = nodes.select("node", F.posexplode("cells").alias("band", "cell"))
     heads = met.groupBy("band", "cell").agg(F.min("node").alias("head"), F.max("node").alias("_last")).where("head <> _last").drop("_last")
     crowd = written(met.join(heads, ["band", "cell"]), "crowd")
-    members = crowd.select("node").distinct().join(nodes.select("node", "doc_id", "key"), "node")
+
+    prints = written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "prints")
+    near = simhash.links(prints, REACH).select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("head"))
+    same = nodes.select("fp", "node").join(prints.select("fp", F.col("node").alias("head")), "fp").where("node <> head").select("node", "head")
+    by_bits = written(near.union(same).groupBy("node", "head").agg(F.count("*").alias("times")), "by-bits")
+    members = crowd.select("node").union(by_bits.select("node")).union(by_bits.select("head")).distinct().join(nodes.select("node", "doc_id", "key"), "node")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,8 +129,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         both = pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
         return written(both.where(F.size(F.array_intersect("sa", "sb")) * (p + q) >= (F.col("na") + F.col("nb")) * p).select("a", "b"), "similar")
 
-    # Each text is compared with the first one that it shares most cells with; then with those of its other cells that this has not joined it to.
-    shared = crowd.where("node <> head").groupBy("node", "head").agg(F.count("*").alias("times"))
+    # Each text is compared with the candidate that it shares most cells with, of both kinds; then with the others that this has not joined it to.
+    by_bands = crowd.where("node <> head").groupBy("node", "head").agg(F.count("*").alias("times"))
+    shared = by_bands.union(by_bits).groupBy("node", "head").agg(F.sum("times").alias("times"))
     likest = written(shared.groupBy("node").agg(F.min_by("head", F.struct(-F.col("times"), F.col("head"))).alias("a")), "likest")
     first = similar(likest.select("a", F.col("node").alias("b")))
     joined = written(components(first), "joined")

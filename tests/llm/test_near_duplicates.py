@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from loomquill.llm import minhash
+from loomquill.llm import minhash, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -70,6 +70,30 @@ def test_copies_of_every_kind_are_found_and_nothing_else_goes(spark, monkeypatch
     assert want - got == set(), "texts below 0.8 go"
 
 
+def test_simhash_finds_its_pairs_by_itself_and_they_are_checked(spark, monkeypatch):
+    """Without any band in common: pairs within reach stay groups, and one fingerprint for different texts is no link."""
+
+    def unlike(h):
+        import numpy as np
+
+        return np.frombuffer(np.random.default_rng(h).bytes(8 * 30), np.int64), bytes(150)
+
+    monkeypatch.setattr(minhash, "signature", unlike)
+    r = random.Random(3)
+    data = []
+    for _ in range(20):
+        base = words(r, 300)
+        data += [base, [*base[:-1], "changed"], ["changed", *base[1:]]]
+    data += [["a"] * 500 + words(r, 100) for _ in range(3)]
+    data = [" ".join(x) for x in data]
+    bits = [simhash.simhash(x) for x in data]
+    near = [all((bits[i] ^ bits[j]).bit_count() <= 4 for j in range(i - i % 3, i)) for i in range(len(data))]
+    assert len(set(bits[-3:])) == 1 and sum(near[:-3]) > 50
+    got = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, frame(spark, list(enumerate(data))), "").collect()}
+    assert not [i for i in range(60) if i % 3 and near[i] and i in got], "pairs within reach were lost"
+    assert got >= {*range(0, 60, 3), 60, 61, 62}, "texts below 0.8 go"
+
+
 def test_pairs_of_a_cell_that_miss_its_first_text_are_compared():
     import numpy as np
 
