@@ -1,12 +1,13 @@
 """Near duplicates: every pair of texts whose five-word shingles are 0.8 similar (Jaccard), checked on the whole sets.
 
-Candidates come by two ways, under the same check. By SimHash: texts whose fingerprints differ in few bits, found by the
-bit counts of segments (`simhash.links`), and those of one fingerprint with its first text. SimHash loses copies whose edit
-lies in one place, so candidates are also texts that agree in all rows of one of many MinHash bands. How likely that is
-depends on the similarity alone, not on where a text was edited: at 0.8 all bands miss a pair once in 150,000, above it
-more rarely. A text is compared with the candidate that it meets most often, then with the others where no link has joined them
-yet; in each band's cell all are candidates of the first one. Then those of a cell that aren't linked yet are compared
-with each other, so a cell of many copies costs one comparison each and yet no pair of a cell is left out.
+Candidates come by two ways, under the same check. By SimHash: texts whose fingerprints differ in few bits, found by
+the bit counts of segments (`simhash.links`, which joins each group by a spanning forest, so not all its pairs are
+tried), and those of one fingerprint with its first text. SimHash loses copies whose edit lies in one place, so
+candidates are also texts that agree in all rows of one of many MinHash bands. How likely that is depends on the
+similarity alone, not on where a text was edited: at 0.8 all bands miss a pair once in 150,000, above it more rarely. A
+text is compared with the candidate that it meets most often, then with the others where no link has joined them yet;
+in each band's cell all are candidates of the first one. Then those of a cell that aren't linked yet are compared with
+each other, so a cell of many copies costs one comparison each and yet no pair of a cell is left out.
 """
 
 from __future__ import annotations
